@@ -24,13 +24,13 @@ Query = Callable[[Warehouse], DataFrame]
 
 def _bronze_ingest(w: Warehouse) -> DataFrame:
     """The raw lines through a CSV file and back, all columns text."""
-    path = f"{w.folder.root}/landing/sales_lines"
+    path = w.folder.fresh("landing")
     write_raw(w.bronze, path)
     return read_raw(w.bronze.sparkSession, path, RAW_COLUMNS)
 
 
 def _silver_snapshot(w: Warehouse) -> DataFrame:
-    return w.folder.replace(w.bronze, "silver/snapshot")
+    return w.folder.keep(w.bronze, "snapshot")
 
 
 def _bronze_column(w: Warehouse, **values: Column) -> DataFrame:

@@ -88,8 +88,12 @@ def _accumulated(
     name: str,
     folder: SharedFolder,
     slices: int | None,
+    in_order: bool = False,
 ) -> DataFrame:
-    """Accumulate ``local`` inside (slice, group) and add what earlier slices hold of the group."""
+    """Accumulate ``local`` inside (slice, group) and add what earlier slices hold of the group.
+
+    With ``in_order`` the result is sorted by (within, order), using the two slice numbers
+    instead of the keys."""
     groups = [F.col(c).asc_nulls_first() for c in within]
     in_slice = (
         Window.partitionBy(_SLICE, *within)
@@ -113,9 +117,10 @@ def _accumulated(
     for c in within:
         same_group = same_group & F.col(c).eqNullSafe(F.col(f"__tail_{c}"))
     total = F.col(_LOCAL) + F.coalesce(F.col(_CARRY), F.lit(0))
-    return kept.join(F.broadcast(carried), same_group, "left").select(
-        *df.columns, total.alias(name)
-    )
+    summed = kept.join(F.broadcast(carried), same_group, "left").withColumn(name, total)
+    if in_order:
+        summed = summed.orderBy(_SLICE, _POS)
+    return summed.select(*df.columns, name)
 
 
 def grouped_row_number(
@@ -138,9 +143,10 @@ def running_sum(
     folder: SharedFolder,
     within: Sequence[str] = (),
     slices: int | None = None,
+    in_order: bool = False,
 ) -> DataFrame:
     """SUM(value) OVER (PARTITION BY within ORDER BY order ROWS UNBOUNDED PRECEDING)."""
-    return _accumulated(df, F.sum(value), within, order, name, folder, slices)
+    return _accumulated(df, F.sum(value), within, order, name, folder, slices, in_order)
 
 
 def peer_totals(

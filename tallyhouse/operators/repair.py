@@ -5,33 +5,24 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def strict_cast(name: str, data_type: str) -> Column:
-    """Cast, failing the job on the first value that does not fit."""
+def parse(name: str, data_type: str, date_formats: Sequence[str] = ()) -> Column:
+    """The text column as ``data_type``; NULL where it does not fit. Dates that are not ISO are
+    tried against ``date_formats`` in turn."""
     value = F.col(name).try_cast(data_type)
-    message = F.concat(F.lit(f"column {name}: not a valid {data_type}: "), F.col(name))
-    failed = F.col(name).isNotNull() & value.isNull()
-    return F.when(failed, F.raise_error(message).cast(data_type)).otherwise(value)
+    if data_type == "date":
+        value = F.coalesce(value, *[F.try_to_date(F.col(name), f) for f in date_formats])
+    return value
 
 
-def lenient_cast(name: str, data_type: str) -> Column:
-    """Cast, turning values that do not fit into NULL."""
-    return F.col(name).try_cast(data_type)
+def misfit(name: str, parsed: Column) -> Column:
+    """Whether the column holds text that could not be parsed."""
+    return F.col(name).isNotNull() & parsed.isNull()
 
 
-def cast_failed(name: str, data_type: str) -> Column:
-    return F.col(name).isNotNull() & F.col(name).try_cast(data_type).isNull()
-
-
-def date_cast(name: str, date_format: str | None, strict: bool = True) -> Column:
-    """Cast to DATE, with an explicit pattern when the text is not ISO."""
-    if date_format is None:
-        return strict_cast(name, "date") if strict else lenient_cast(name, "date")
-    value = F.to_date(F.try_to_timestamp(F.col(name), F.lit(date_format)))
-    if not strict:
-        return value
-    message = F.concat(F.lit(f"column {name}: not a date like {date_format}: "), F.col(name))
-    failed = F.col(name).isNotNull() & value.isNull()
-    return F.when(failed, F.raise_error(message).cast("date")).otherwise(value)
+def strict(name: str, parsed: Column, data_type: str) -> Column:
+    """``parsed``, failing the job on the first text that does not fit."""
+    message = F.concat(F.lit(f"column {name} is not a valid {data_type}: "), F.col(name))
+    return F.when(misfit(name, parsed), F.raise_error(message).cast(data_type)).otherwise(parsed)
 
 
 def fill_null(name: str, replacement: str) -> Column:
@@ -51,10 +42,10 @@ def replace_values(value: Column, corrections: Mapping[str, str]) -> Column:
     return out
 
 
-def quarantine(df: DataFrame, types: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
+def quarantine(df: DataFrame, parsed: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Split untyped rows into (castable, rejected); rejected rows name the failing columns."""
     reasons = F.array_compact(
-        F.array(*[F.when(cast_failed(c, t), F.lit(c)) for c, t in types.items()])
+        F.array(*[F.when(misfit(c, p), F.lit(c)) for c, p in parsed.items()])
     )
     tagged = df.withColumn("failed_columns", reasons)
     good = tagged.filter(F.size("failed_columns") == 0).drop("failed_columns")

@@ -248,9 +248,10 @@ def running_total_by_category(
     )
     keys = lines.select("Category", "Order_Date", "Order_ID", "Product_ID", "Sales")
     order = [F.col(c).asc_nulls_first() for c in ("Order_Date", "Order_ID", "Product_ID")]
-    summed = running_sum(keys, "Sales", order, "running", folder, within=["Category"])
-    in_order = summed.orderBy("Category", "Order_Date", "Order_ID", "Product_ID")
-    return in_order.select(
+    summed = running_sum(
+        keys, "Sales", order, "running", folder, within=["Category"], in_order=True
+    )
+    return summed.select(
         F.col("Category").alias("category"),
         F.col("Order_Date").alias("order_date"),
         F.col("Order_ID").alias("order_id"),
@@ -302,19 +303,26 @@ def pareto_products(fact: DataFrame, product: DataFrame, folder: SharedFolder) -
     return _pareto(fact, "Product_ID", product, "product_pct_driving_80_pct_revenue", folder)
 
 
+def distinct_customer_years(fact: DataFrame) -> DataFrame:
+    return fact.select(
+        F.col("Customer_ID").alias("customer_id"), F.year("Order_Date").alias("current_yr")
+    ).distinct()
+
+
 def yoy_churn(fact: DataFrame) -> DataFrame:
     """Customers of a year who bought again in exactly the next one; the last year is left out.
 
-    A customer's years are collected as one small set (at most one entry per calendar year), so
-    the look-ahead needs one shuffle and no self join.
+    One look-ahead per customer over the distinct years replaces a self join; a customer has at
+    most one row per calendar year there.
     """
-    years = fact.groupBy("Customer_ID").agg(F.collect_set(F.year("Order_Date")).alias("years"))
-    active = years.select("Customer_ID", "years", F.explode("years").alias("current_yr"))
-    returned = F.col("Customer_ID").isNotNull() & F.array_contains("years", F.col("current_yr") + 1)
+    by_customer = Window.partitionBy("customer_id").orderBy("current_yr")
+    next_yr = F.lead("current_yr").over(by_customer)
+    active = distinct_customer_years(fact).withColumn("next_yr", next_yr)
+    returned = F.col("customer_id").isNotNull() & (F.col("next_yr") == F.col("current_yr") + 1)
     per_year = (
         active.groupBy("current_yr")
         .agg(
-            F.count("Customer_ID").alias("total_customers"),
+            F.count("customer_id").alias("total_customers"),
             F.count_if(returned).alias("retained_customers"),
         )
         .withColumn("last_yr", F.max("current_yr").over(Window.partitionBy()))
@@ -330,12 +338,6 @@ def yoy_churn(fact: DataFrame) -> DataFrame:
     ).orderBy("current_yr")
 
 
-def distinct_customer_years(fact: DataFrame) -> DataFrame:
-    return fact.select(
-        F.col("Customer_ID").alias("customer_id"), F.year("Order_Date").alias("current_yr")
-    ).distinct()
-
-
 def self_join_next_year(fact: DataFrame) -> DataFrame:
     """Each (customer, year) with the same customer's next year, where there is one."""
     now = distinct_customer_years(fact)

@@ -9,11 +9,12 @@ from tallyhouse.functions.text import sentence_case
 from tallyhouse.operators.dedup import first_per_key, total_order
 from tallyhouse.operators.ordering import grouped_row_number
 from tallyhouse.operators.repair import (
-    date_cast,
     fill_null,
+    parse,
+    quarantine,
     replace_sentinels,
     replace_values,
-    strict_cast,
+    strict,
 )
 from tallyhouse.sources.shared import SharedFolder
 
@@ -24,13 +25,15 @@ STATE_CORRECTIONS = {"Ca-2015-108119": "Arkansas"}
 MISPLACED_STATE = "Ca-20%"
 CATEGORY_CORRECTIONS = {"Technlogy": "Technology", "Furnture": "Furniture"}
 LINE_KEY = ("Order_ID", "Product_ID")
-DATE_COLUMNS = ("Order_Date", "Ship_Date")
-NUMBER_TYPES = {
+TYPES = {
+    "Order_Date": "date",
+    "Ship_Date": "date",
     "Sales": "decimal(18,4)",
     "Profit": "decimal(18,6)",
     "Discount": "decimal(18,4)",
     "Quantity": "int",
 }
+DATE_FORMATS = ("M/d/yyyy",)
 # Which of two lines of the same key is first: the date, then everything else.
 DEDUP_ORDER = (
     "Order_Date", "Ship_Date", "Sales", "Quantity", "Discount", "Profit", "City", "State",
@@ -38,14 +41,21 @@ DEDUP_ORDER = (
 )
 
 
-def typed_columns(date_format: str | None = None) -> dict[str, Column]:
-    dates = {c: date_cast(c, date_format) for c in DATE_COLUMNS}
-    return dates | {c: strict_cast(c, t) for c, t in NUMBER_TYPES.items()}
+def typed_columns(strictly: bool = True) -> dict[str, Column]:
+    """Text to types. By default a value that does not fit fails the job, else it becomes NULL."""
+    parsed = {c: parse(c, t, DATE_FORMATS) for c, t in TYPES.items()}
+    return {c: strict(c, p, TYPES[c]) for c, p in parsed.items()} if strictly else parsed
 
 
-def postal_code() -> Column:
+def postal_code(strictly: bool = True) -> Column:
     """'10001.0' to 10001."""
-    return strict_cast("Postal_Code", "double").cast("int")
+    parsed = parse("Postal_Code", "double")
+    return (strict("Postal_Code", parsed, "double") if strictly else parsed).cast("int")
+
+
+def castable(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Raw lines that ``repaired`` accepts, and the rejected ones with the columns at fault."""
+    return quarantine(bronze, typed_columns(False) | {"Postal_Code": postal_code(False)})
 
 
 def customer_name() -> Column:
@@ -72,10 +82,10 @@ def category() -> Column:
     return replace_values(F.col("Category"), CATEGORY_CORRECTIONS)
 
 
-def repaired(bronze: DataFrame, date_format: str | None = None) -> DataFrame:
+def repaired(bronze: DataFrame) -> DataFrame:
     """Every type fixed and every value repaired; repeated lines still present."""
     return bronze.withColumns(
-        typed_columns(date_format)
+        typed_columns()
         | {
             "Postal_Code": postal_code(),
             "Customer_Name": customer_name(),
@@ -96,5 +106,5 @@ def duplicate_preview(lines: DataFrame, folder: SharedFolder) -> DataFrame:
     return grouped_row_number(lines, LINE_KEY, order, "rn", folder)
 
 
-def silver_sales(bronze: DataFrame, date_format: str | None = None) -> DataFrame:
-    return dedup(repaired(bronze, date_format))
+def silver_sales(bronze: DataFrame) -> DataFrame:
+    return dedup(repaired(bronze))

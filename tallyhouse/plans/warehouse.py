@@ -22,18 +22,13 @@ class Warehouse:
     Layers are built on first use, so a query that needs only bronze builds only bronze.
     """
 
-    def __init__(
-        self, root: str, bronze: Callable[[], DataFrame], date_format: str | None = None
-    ):
+    def __init__(self, root: str, bronze: Callable[[], DataFrame]):
         self.folder = SharedFolder(root)
         self._source = bronze
-        self._date_format = date_format
 
     @classmethod
-    def from_csv(
-        cls, spark: SparkSession, csv_path: str, root: str, date_format: str | None = None
-    ) -> "Warehouse":
-        return cls(root, lambda: read_raw(spark, csv_path), date_format)
+    def from_csv(cls, spark: SparkSession, csv_path: str, root: str) -> "Warehouse":
+        return cls(root, lambda: read_raw(spark, csv_path))
 
     @cached_property
     def bronze(self) -> DataFrame:
@@ -41,8 +36,7 @@ class Warehouse:
 
     @cached_property
     def silver(self) -> DataFrame:
-        clean = silver.silver_sales(self.bronze, self._date_format)
-        return self.folder.replace(clean, SILVER)
+        return self.folder.replace(silver.silver_sales(self.bronze), SILVER)
 
     @cached_property
     def dim_customer(self) -> DataFrame:

@@ -27,12 +27,18 @@ class SharedFolder:
     def of(cls, spark: SparkSession) -> "SharedFolder":
         return cls(f"{shared_root(spark)}/tallyhouse-{uuid.uuid4().hex}")
 
+    def fresh(self, label: str) -> str:
+        """A path that nothing else uses."""
+        return f"{self.root}/scratch/{label}-{uuid.uuid4().hex}"
+
     def keep(self, df: DataFrame, label: str) -> DataFrame:
-        return self.replace(df, f"scratch/{label}-{uuid.uuid4().hex}")
+        return self._write(df, self.fresh(label))
 
     def replace(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as table ``name``, overwriting an earlier build, and read it back."""
-        path = f"{self.root}/{name}"
+        return self._write(df, f"{self.root}/{name}")
+
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
