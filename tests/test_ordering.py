@@ -1,0 +1,111 @@
+"""The range-partitioned operators equal the plain windows, with hot groups and ties."""
+
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import Window, functions as F
+
+from tallyhouse.operators import ordering as O
+from tests.conftest import SMALL
+
+
+@pytest.fixture(scope="module")
+def lines(spark):
+    """All order lines, a third of them in one group, amounts full of ties, some keys NULL."""
+    raw = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    numbered = raw.withColumn("id", F.row_number().over(Window.orderBy(*raw.columns)))
+    hot = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 != 0, F.col("l_returnflag"))
+    return numbered.select(
+        "id", hot.alias("grp"), F.col("l_quantity").cast("decimal(18,4)").alias("amount"), "l_shipdate"
+    ).cache()
+
+
+ORDER = ("l_shipdate", "id")
+
+
+def keyed(df, *columns):
+    rows = {r["id"]: tuple(r[c] for c in columns) for r in df.collect()}
+    assert len(rows) == df.count()
+    return rows
+
+
+@pytest.mark.parametrize("slices", [1, 7, 40, None])
+def test_global_row_number(lines, folder, slices):
+    order = [F.col(c) for c in ORDER]
+    ours = O.global_row_number(lines, order, "r", folder, slices)
+    plain = lines.withColumn("r", F.row_number().over(Window.orderBy(*order)))
+    assert keyed(ours, "r") == keyed(plain, "r")
+    assert ours.columns == [*lines.columns, "r"]
+
+
+@pytest.mark.parametrize("slices", [7, 40])
+def test_grouped_row_number(lines, folder, slices):
+    order = [F.col(c) for c in ORDER]
+    ours = O.grouped_row_number(lines, ["grp"], order, "r", folder, slices)
+    plain = lines.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(*order)))
+    assert keyed(ours, "r") == keyed(plain, "r")
+
+
+@pytest.mark.parametrize("within", [[], ["grp"]])
+@pytest.mark.parametrize("slices", [7, 40])
+def test_running_sum(lines, folder, slices, within):
+    order = [F.col(c) for c in ORDER]
+    ours = O.running_sum(lines, "amount", order, "s", folder, within, slices)
+    rows = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    assert keyed(ours, "s") == keyed(lines.withColumn("s", F.sum("amount").over(rows)), "s")
+
+
+def test_running_sum_in_order(lines, folder):
+    order = [F.col(c) for c in ORDER]
+    summed = O.running_sum(lines, "amount", order, "s", folder, ["grp"], 9, in_order=True)
+    got = [(r.grp, r.id) for r in summed.collect()]
+    want = [(r.grp, r.id) for r in lines.orderBy(F.col("grp").asc_nulls_first(), *order).collect()]
+    assert got == want
+
+
+def test_running_sum_by_two_columns(lines, folder):
+    wide = lines.withColumn("parity", F.col("id") % 2)
+    order = [F.col(c) for c in ORDER]
+    ours = O.running_sum(wide, "amount", order, "s", folder, ["grp", "parity"], 40)
+    rows = Window.partitionBy("grp", "parity").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    assert keyed(ours, "s") == keyed(wide.withColumn("s", F.sum("amount").over(rows)), "s")
+
+
+@pytest.mark.parametrize("slices", [7, 40])
+def test_running_sum_with_peers(lines, folder, slices):
+    ours = O.running_sum_with_peers(lines, "amount", "s", folder, slices)
+    plain = lines.withColumn("s", F.sum("amount").over(Window.orderBy(F.col("amount").desc())))
+    assert keyed(ours, "s") == keyed(plain, "s")
+
+
+def test_rows_and_range_differ_on_ties(spark, folder):
+    df = spark.createDataFrame([(1, Decimal(5)), (2, Decimal(5)), (3, Decimal(2))], "id int, v decimal(18,4)")
+    rows = O.running_sum(df, "v", [F.col("v").desc(), F.col("id")], "s", folder)
+    peers = O.running_sum_with_peers(df, "v", "s", folder)
+    assert keyed(rows, "s") == {1: (5,), 2: (10,), 3: (12,)}
+    assert keyed(peers, "s") == {1: (10,), 2: (10,), 3: (12,)}
+
+
+@pytest.mark.parametrize("buckets", [1, 5, 7, 100, 6000, 9000])
+def test_ntile(lines, folder, buckets):
+    order = [F.col("amount").desc(), F.col("id")]
+    ours = O.global_ntile(lines, buckets, order, "b", folder, 11)
+    plain = lines.withColumn("b", F.ntile(buckets).over(Window.orderBy(*order)))
+    assert keyed(ours, "b") == keyed(plain, "b")
+    sizes = [r["count"] for r in ours.groupBy("b").count().collect()]
+    assert max(sizes) - min(sizes) <= 1
+
+
+@pytest.mark.parametrize("rows", [0, 1, 4, 5, 6, 9])
+def test_ntile_of_few_rows(spark, folder, rows):
+    df = spark.range(rows)
+    ours = O.global_ntile(df, 5, [F.col("id")], "b", folder)
+    plain = df.withColumn("b", F.ntile(5).over(Window.orderBy("id")))
+    assert keyed(ours, "b") == keyed(plain, "b")
+
+
+def test_no_slice_is_swollen_by_a_hot_group(lines, folder):
+    """A third of the rows share one leading key, yet no slice holds more than a fair share."""
+    order = [F.col("grp").asc_nulls_first(), *[F.col(c) for c in ORDER]]
+    sizes = [r["count"] for r in O._sliced(lines, order, 20).groupBy("__slice").count().collect()]
+    assert max(sizes) < 2 * lines.count() / 20
