@@ -1,0 +1,68 @@
+"""Building, rebuilding, opening and publishing a warehouse, and the command line."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyhouse.__main__ import main
+from tallyhouse.catalogue import QUERIES
+from tallyhouse.plans.warehouse import GOLD, TABLES, Warehouse
+from tallyhouse.sources.raw_csv import write_raw
+from tallyhouse.sources.shared import SharedFolder, shared_root
+
+
+@pytest.fixture(scope="module")
+def csv(spark, house):
+    path = SharedFolder.of(spark).fresh("csv")
+    write_raw(house.bronze, path)
+    return path
+
+
+def contents(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_csv_to_gold_and_back(spark, house, csv):
+    root = SharedFolder.of(spark).root
+    built = Warehouse.from_csv(spark, csv, root).build()
+    for table in ("bronze", "silver", *GOLD):
+        assert contents(built[table].select(*house[table].columns)) == contents(house[table]), table
+    again = Warehouse.from_csv(spark, csv, root).build()  # rebuilding replaces, never appends
+    assert again.fact_sales.count() == house.fact_sales.count()
+    opened = Warehouse.opened(spark, root)
+    assert contents(QUERIES["kpi_summary"](opened)) == contents(QUERIES["kpi_summary"](house))
+
+
+def test_publish(spark, csv):
+    root = SharedFolder.of(spark).root
+    house = Warehouse.from_csv(spark, csv, root).build()
+    house.publish(spark)
+    house.publish(spark)
+    for table in TABLES:
+        assert spark.table(table.replace("/", ".")).count() > 0
+    total = spark.sql("SELECT sum(Sales) FROM gold.fact_sales JOIN gold.dim_date USING (Order_Date)")
+    assert total.first()[0] == house.fact_sales.select(F.sum("Sales")).first()[0]
+
+
+def test_layers_are_built_on_demand(spark, house):
+    folder = SharedFolder.of(spark)
+    lazy = Warehouse(folder.root, lambda: house.bronze)
+    QUERIES["fix_category_typos"](lazy)
+    assert set(lazy.__dict__) & {"bronze", "silver", *GOLD} == {"bronze"}
+
+
+def test_command_line(spark, csv, capsys):
+    root = SharedFolder.of(spark).root
+    assert main(["build", "--csv", csv, "--root", root]) == 0
+    assert main(["check", "--root", root]) == 0
+    assert "FAIL" not in capsys.readouterr().out
+    assert main(["query", "kpi_summary", "--root", root]) == 0
+    assert "avg_order_value" in capsys.readouterr().out
+    out = SharedFolder.of(spark).fresh("out")
+    assert main(["query", "yoy_growth", "--root", root, "--out", out]) == 0
+    assert spark.read.parquet(out).count() == 7
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    configured = spark.conf.get("spark.checkpoint.dir")
+    assert shared_root(spark) == configured
+    assert SharedFolder.of(spark).root.startswith(configured + "/")
