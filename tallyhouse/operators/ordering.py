@@ -152,19 +152,18 @@ def running_sum(
 def peer_totals(
     df: DataFrame, value: str, name: str, folder: SharedFolder, slices: int | None = None
 ) -> DataFrame:
-    """One row per distinct ``value``, largest first: ``__peers`` rows share it, and ``name`` is
-    SUM(value) OVER (ORDER BY value DESC) with its default RANGE frame."""
+    """One row per distinct ``value``: ``peers`` rows share it and add up to ``peer_sum``; ``name``
+    is SUM(value) OVER (ORDER BY value DESC) with its default RANGE frame."""
     per_value = df.groupBy(value).agg(
-        F.count(F.lit(1)).alias("__peers"), F.sum(value).alias("__sum")
+        F.count(F.lit(1)).alias("peers"), F.sum(value).alias("peer_sum")
     )
     largest_first = [F.col(value).desc_nulls_last()]
-    return running_sum(per_value, "__sum", largest_first, name, folder, slices=slices).drop("__sum")
+    return running_sum(per_value, "peer_sum", largest_first, name, folder, slices=slices)
 
 
 def running_sum_with_peers(
     df: DataFrame, value: str, name: str, folder: SharedFolder, slices: int | None = None
 ) -> DataFrame:
     """Each row of ``df`` with its RANGE running sum; equal values share one result."""
-    totals = peer_totals(df, value, name, folder, slices).drop("__peers")
-    totals = totals.withColumnRenamed(value, "__value")
+    totals = peer_totals(df, value, name, folder, slices).select(F.col(value).alias("__value"), name)
     return df.join(totals, df[value].eqNullSafe(totals["__value"])).drop("__value")

@@ -261,7 +261,8 @@ def running_total_by_category(
 
 
 def running_sum_range(fact: DataFrame, folder: SharedFolder) -> DataFrame:
-    summed = running_sum_with_peers(_spend(fact), "sale_per_cust", "running_total", folder)
+    spent = folder.keep(_spend(fact), "spent")  # used twice: summed per value, and joined back
+    summed = running_sum_with_peers(spent, "sale_per_cust", "running_total", folder)
     return summed.select(
         "customer_id",
         F.col("sale_per_cust").cast("double").alias("sale_per_cust"),
@@ -270,9 +271,11 @@ def running_sum_range(fact: DataFrame, folder: SharedFolder) -> DataFrame:
 
 
 def share_of_total(fact: DataFrame) -> DataFrame:
-    """Every customer next to the grand total, which is one scalar subquery over the fact table."""
-    total = fact.select(F.sum("Sales")).scalar()
-    return _spend(fact).select(
+    """Every customer next to the grand total. The total is a scalar subquery over the same
+    per-customer sums, so both share one scan and one shuffle."""
+    spent = _spend(fact)
+    total = spent.select(F.sum("sale_per_cust")).scalar()
+    return spent.select(
         "customer_id",
         money(F.col("sale_per_cust")).alias("sale_per_cust"),
         money(total).alias("total_sales"),
@@ -288,10 +291,10 @@ def _pareto(
     crosses the line is left out."""
     per_member = fact.groupBy(key).agg(F.sum("Sales").alias("revenue"))
     values = peer_totals(per_member, "revenue", "running", folder)
-    total = fact.select(F.sum("Sales")).scalar()
+    total = values.select(F.sum("peer_sum")).scalar()
     members = dimension.select(F.count(F.lit(1))).scalar()
     within = F.col("running") <= F.lit(PARETO_SHARE).cast("decimal(2,1)") * total
-    counted = values.agg(F.coalesce(F.sum(F.when(within, F.col("__peers"))), F.lit(0)).alias("n"))
+    counted = values.agg(F.coalesce(F.sum(F.when(within, F.col("peers"))), F.lit(0)).alias("n"))
     return counted.select(percent(ratio(F.col("n"), members)).alias(output))
 
 
@@ -397,7 +400,7 @@ def rfm_scores(fact: DataFrame, folder: SharedFolder, best_is_high: bool = False
 
 def rfm(fact: DataFrame, folder: SharedFolder, best_is_high: bool = False) -> DataFrame:
     scored = rfm_scores(fact, folder, best_is_high)
-    as_of = fact.select(F.max("Order_Date")).scalar()
+    as_of = scored.select(F.max("last_order")).scalar()
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     # Segment names and score borders, tested in this order.
     segment = (
