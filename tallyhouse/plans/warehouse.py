@@ -1,7 +1,7 @@
 """The layers as tables: bronze (raw text), silver (clean lines), gold (star schema)."""
 
 from collections.abc import Callable
-from functools import cached_property
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,69 +19,75 @@ TABLES = (BRONZE, SILVER, *(f"gold/{t}" for t in GOLD))
 class Warehouse:
     """Builds each layer from the one before it and reads it back as a parquet table.
 
-    Layers are built on first use, so a query that needs only bronze builds only bronze.
+    Tables are built on first use, so a query that needs only bronze builds only bronze.
     """
 
     def __init__(self, root: str, bronze: Callable[[], DataFrame]):
         self.folder = SharedFolder(root)
         self._source = bronze
+        self._tables: dict[str, DataFrame] = {}
+        self._building = RLock()
 
     @classmethod
     def from_csv(cls, spark: SparkSession, csv_path: str, root: str) -> "Warehouse":
         return cls(root, lambda: read_raw(spark, csv_path))
 
-    @cached_property
+    @classmethod
+    def opened(cls, spark: SparkSession, root: str) -> "Warehouse":
+        """A warehouse that was built earlier under ``root``."""
+        house = cls(root, lambda: house.bronze)
+        house._tables = {t: house.folder.read(spark, t) for t in TABLES}
+        return house
+
+    @property
     def bronze(self) -> DataFrame:
-        return self.folder.replace(self._source(), BRONZE)
+        return self._table(BRONZE, self._source)
 
-    @cached_property
+    @property
     def silver(self) -> DataFrame:
-        return self.folder.replace(silver.silver_sales(self.bronze), SILVER)
+        return self._table(SILVER, lambda: silver.silver_sales(self.bronze))
 
-    @cached_property
+    @property
     def dim_customer(self) -> DataFrame:
-        return self._gold("dim_customer", gold.dim_customer(self.silver))
+        return self._table("gold/dim_customer", lambda: gold.dim_customer(self.silver))
 
-    @cached_property
+    @property
     def dim_product(self) -> DataFrame:
-        return self._gold("dim_product", gold.dim_product(self.silver, self.folder))
+        return self._table("gold/dim_product", lambda: gold.dim_product(self.silver, self.folder))
 
-    @cached_property
+    @property
     def dim_geography(self) -> DataFrame:
-        return self._gold("dim_geography", gold.dim_geography(self.silver, self.folder))
+        return self._table(
+            "gold/dim_geography", lambda: gold.dim_geography(self.silver, self.folder)
+        )
 
-    @cached_property
+    @property
     def dim_date(self) -> DataFrame:
-        return self._gold("dim_date", gold.dim_date(self.silver))
+        return self._table("gold/dim_date", lambda: gold.dim_date(self.silver))
 
-    @cached_property
+    @property
     def fact_sales(self) -> DataFrame:
-        fact = gold.fact_sales(self.silver, self.dim_geography, self.dim_product)
-        return self._gold("fact_sales", fact)
+        return self._table(
+            "gold/fact_sales",
+            lambda: gold.fact_sales(self.silver, self.dim_geography, self.dim_product),
+        )
 
     def __getitem__(self, table: str) -> DataFrame:
         """A table by name: bronze, silver or one of the gold tables."""
         return getattr(self, table)
 
-    def _gold(self, name: str, df: DataFrame) -> DataFrame:
-        return self.folder.replace(df, f"gold/{name}")
+    def _table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        with self._building:
+            if name not in self._tables:
+                self._tables[name] = self.folder.replace(make(), name)
+            return self._tables[name]
 
     def build(self) -> "Warehouse":
         """Build every layer, dimensions before the fact table."""
         for name in ("bronze", "silver", *GOLD):
-            getattr(self, name)
+            self[name]
         return self
 
-    @classmethod
-    def opened(cls, spark: SparkSession, root: str) -> "Warehouse":
-        """A warehouse that was built earlier under ``root``."""
-        house = cls(root, lambda: spark.read.parquet(f"{root}/{BRONZE}"))
-        for table in TABLES:
-            layer, name = table.split("/")
-            attribute = name if layer == "gold" else layer
-            house.__dict__[attribute] = house.folder.read(spark, table)
-        return house
-
     def publish(self, spark: SparkSession) -> None:
         """Name the tables in the session catalog: bronze.*, silver.*, gold.*."""
         for table in TABLES:

@@ -106,3 +106,38 @@ def test_results_do_not_depend_on_broadcasts_or_partition_counts(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_totals_share_the_scan_of_the_fact_table(house):
+    df = QUERIES["share_of_total"](house)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final or "ReusedSubquery" in final
+
+
+def test_hot_product_is_split_in_the_fact_join(spark, house):
+    """A third of the lines sell one product; the sort-merge join splits that partition."""
+    from pyspark.sql import functions as F
+
+    from tallyhouse.plans import gold
+
+    hot = house.silver.withColumn(
+        "Product_ID", F.when(F.col("Order_ID").endswith("1") | F.col("Order_ID").endswith("5")
+                             | F.col("Order_ID").endswith("9"), "PR-1").otherwise(F.col("Product_ID")))
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+    }
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        fact = gold.fact_sales(hot.repartition(8), house.dim_geography, house.dim_product)
+        rows = fact.collect()
+        assert "SortMergeJoin(skew=true)" in plan(fact)
+        assert len(rows) == house.silver.count()
+    finally:
+        for k in changed:
+            spark.conf.unset(k)
