@@ -11,12 +11,17 @@ once, so retries and later reads see the same split.
 """
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyhouse.sources.shared import SharedFolder
 
-_SLICE, _POS, _LOCAL, _CARRY = "__slice", "__pos", "__local", "__carry"
+# The largest group that one task sorts on its own.
+GROUP_LIMIT = 1_000_000
+
+_SLICE, _POS, _TAIL, _LOCAL, _CARRY = "__slice", "__pos", "__tail", "__local", "__carry"
 
 
 def _sliced(df: DataFrame, order: Sequence[Column], slices: int | None) -> DataFrame:
@@ -26,7 +31,7 @@ def _sliced(df: DataFrame, order: Sequence[Column], slices: int | None) -> DataF
     return (
         ranged.sortWithinPartitions(*order)
         .withColumn("__id", F.monotonically_increasing_id())
-        .withColumn(_SLICE, F.shiftright("__id", 33))
+        .withColumn(_SLICE, F.shiftright("__id", 33).cast("int"))
         .withColumn(_POS, F.col("__id").bitwiseAND(F.lit(2**33 - 1)) + 1)
         .drop("__id")
     )
@@ -80,9 +85,38 @@ def global_ntile(
     return ranked.withColumn(name, bucket.cast("int")).drop("__r", "__n")
 
 
+def _same_group(left: DataFrame, right: DataFrame, within: Sequence[str]) -> Column:
+    same = left[_SLICE] == right["__in"]
+    for c in within:
+        same = same & left[c].eqNullSafe(right[f"__g_{c}"])
+    return same
+
+
+def _carried(kept: DataFrame, step: Column, within: Sequence[str]) -> DataFrame:
+    """What a slice's first group already has in earlier slices: at most one row per slice.
+
+    Rows are sorted by group first, so only the last group of a slice can continue in the next."""
+    tails = kept.groupBy(_SLICE).agg(step.alias(_TAIL))
+    if within:
+        ends = kept.groupBy(_SLICE).agg(F.max(_POS).alias(_POS))
+        last_groups = kept.join(F.broadcast(ends), [_SLICE, _POS]).select(
+            F.col(_SLICE).alias("__in"), *[F.col(c).alias(f"__g_{c}") for c in within]
+        )
+        in_last_group = kept.join(
+            F.broadcast(last_groups), _same_group(kept, last_groups, within), "left_semi"
+        )
+        tails = in_last_group.groupBy(_SLICE, *within).agg(step.alias(_TAIL))
+    so_far = Window.partitionBy(*within).orderBy(_SLICE)
+    return tails.select(
+        F.lead(_SLICE).over(Window.orderBy(_SLICE)).alias("__in"),
+        *[F.col(c).alias(f"__g_{c}") for c in within],
+        F.sum(_TAIL).over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias(_CARRY),
+    ).filter("__in IS NOT NULL")
+
+
 def _accumulated(
     df: DataFrame,
-    local: Column,
+    step: Column,
     within: Sequence[str],
     order: Sequence[Column],
     name: str,
@@ -90,36 +124,29 @@ def _accumulated(
     slices: int | None,
     in_order: bool = False,
 ) -> DataFrame:
-    """Accumulate ``local`` inside (slice, group) and add what earlier slices hold of the group.
+    """Accumulate the aggregate ``step`` inside each slice and add what earlier slices carry over.
 
-    With ``in_order`` the result is sorted by (within, order), using the two slice numbers
-    instead of the keys."""
+    Two shuffles: by range into slices, and each slice back to one task. With ``in_order`` the
+    result is sorted by (within, order) at no further cost: task i holds slice i, and the window
+    leaves its rows in that order."""
     groups = [F.col(c).asc_nulls_first() for c in within]
-    in_slice = (
+    kept = folder.keep(_sliced(df, [*groups, *order], slices), "sliced")
+    carried = _carried(kept, step, within)
+
+    last_slice = kept.agg(F.max(_SLICE)).first()[0] or 0
+    rows_so_far = (
         Window.partitionBy(_SLICE, *within)
         .orderBy(_POS)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    sliced = _sliced(df, [*groups, *order], slices)
-    kept = folder.keep(sliced.withColumn(_LOCAL, local.over(in_slice)), "accumulated")
-
-    # Rows are sorted by group first: only the last group of a slice can continue in the next one.
-    ends = kept.groupBy(_SLICE).agg(F.max(_POS).alias(_POS))
-    tails = kept.join(F.broadcast(ends), [_SLICE, _POS]).select(_SLICE, *within, _LOCAL)
-    so_far = Window.partitionBy(*within).orderBy(_SLICE)
-    renamed = [F.col(c).alias(f"__tail_{c}") for c in within]
-    carried = tails.select(
-        F.lead(_SLICE).over(Window.orderBy(_SLICE)).alias("__next"),
-        *renamed,
-        F.sum(_LOCAL).over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias(_CARRY),
-    ).filter("__next IS NOT NULL")
-    same_group = F.col(_SLICE) == F.col("__next")
-    for c in within:
-        same_group = same_group & F.col(c).eqNullSafe(F.col(f"__tail_{c}"))
+    local = kept.repartitionById(last_slice + 1, F.col(_SLICE)).withColumn(
+        _LOCAL, step.over(rows_so_far)
+    )
     total = F.col(_LOCAL) + F.coalesce(F.col(_CARRY), F.lit(0))
-    summed = kept.join(F.broadcast(carried), same_group, "left").withColumn(name, total)
+    summed = local.join(F.broadcast(carried), _same_group(local, carried, within), "left")
+    summed = summed.withColumn(name, total)
     if in_order:
-        summed = summed.orderBy(_SLICE, _POS)
+        summed = summed.sortWithinPartitions(_SLICE, *groups, _POS)
     return summed.select(*df.columns, name)
 
 
@@ -130,9 +157,23 @@ def grouped_row_number(
     name: str,
     folder: SharedFolder,
     slices: int | None = None,
+    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    """ROW_NUMBER() OVER (PARTITION BY within ORDER BY order); a hot group spans many tasks."""
-    return _accumulated(df, F.count(F.lit(1)), within, order, name, folder, slices)
+    """ROW_NUMBER() OVER (PARTITION BY within ORDER BY order).
+
+    Groups of up to ``group_limit`` rows take a plain window; larger ones, should there be any,
+    are numbered across slices, so that none has to fit in one task."""
+    counted = df.groupBy(*within).count().filter(F.col("count") > group_limit)
+    large = folder.keep(counted.select(*[F.col(c).alias(f"__g_{c}") for c in within]), "large")
+    in_group = Window.partitionBy(*within).orderBy(*order)
+    number = F.row_number().over(in_group).cast("bigint")
+    if large.isEmpty():
+        return df.withColumn(name, number)
+    same = reduce(and_, [df[c].eqNullSafe(large[f"__g_{c}"]) for c in within])
+    small_groups = df.join(large, same, "left_anti").withColumn(name, number)
+    large_groups = df.join(large, same, "left_semi")
+    numbered = _accumulated(large_groups, F.count(F.lit(1)), within, order, name, folder, slices)
+    return small_groups.unionByName(numbered)
 
 
 def running_sum(

@@ -38,10 +38,11 @@ def test_global_row_number(lines, folder, slices):
     assert ours.columns == [*lines.columns, "r"]
 
 
-@pytest.mark.parametrize("slices", [7, 40])
-def test_grouped_row_number(lines, folder, slices):
+@pytest.mark.parametrize("limit", [10, 1500, 10**6])
+def test_grouped_row_number(lines, folder, limit):
+    """All groups across slices, only the hot one, none."""
     order = [F.col(c) for c in ORDER]
-    ours = O.grouped_row_number(lines, ["grp"], order, "r", folder, slices)
+    ours = O.grouped_row_number(lines, ["grp"], order, "r", folder, 40, limit)
     plain = lines.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(*order)))
     assert keyed(ours, "r") == keyed(plain, "r")
 

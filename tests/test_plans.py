@@ -56,15 +56,28 @@ def test_filters_reach_the_scan(house):
 
 @pytest.mark.parametrize(
     "name", ["rfm", "rfm_scores", "top_pct_customers", "running_sum_range", "running_total_by_category",
-             "duplicate_preview", "pareto_customers", "pareto_products"],
+             "pareto_customers", "pareto_products"],
 )
 def test_global_orders_gather_only_slice_summaries(house, name):
     """SinglePartition may hold per-slice rows or aggregates, never customers, products or lines."""
-    lines = plan(QUERIES[name](house)).splitlines()
+    spark = house.bronze.sparkSession
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several slices
+    try:
+        lines = plan(QUERIES[name](house)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     for i, line in enumerate(lines):
         if "SinglePartition" in line:
             below = " ".join(lines[i + 1 : i + 4])
             assert "partial_" in below or "__slice" in below or "merge_" in below, (name, below)
+    if name in ("running_total_by_category", "running_sum_range"):
+        assert any("shufflepartitionidpassthrough" in line for line in lines)
+
+
+def test_running_total_is_sorted_without_another_shuffle(house):
+    text = plan(QUERIES["running_total_by_category"](house))
+    assert "rangepartitioning" not in text  # the range shuffle is behind the written slices
+    assert text.count("REPARTITION_BY_NUM") == 1
 
 
 def test_dimension_joins_are_broadcast_only_while_small(spark, house):
