@@ -228,7 +228,7 @@ QUERIES: dict[str, Query] = {
     "dedup_orders": lambda w: _doubled(S.dedup(S.repaired(w.bronze))),
     "duplicate_preview": lambda w: _doubled(S.duplicate_preview(S.repaired(w.bronze), w.folder)),
     # joins, aggregates, windows, functions
-    "self_join_next_year": lambda w: A.self_join_next_year(w.fact_sales),
+    "self_join_next_year": lambda w: A.self_join_next_year(w.fact_sales, w.folder),
     "scalar_subquery": _scalar_subquery,
     "case_tiers": lambda w: A.case_tiers(w.fact_sales),
     "agg_basic": _agg_basic,

@@ -341,9 +341,10 @@ def yoy_churn(fact: DataFrame) -> DataFrame:
     ).orderBy("current_yr")
 
 
-def self_join_next_year(fact: DataFrame) -> DataFrame:
-    """Each (customer, year) with the same customer's next year, where there is one."""
-    now = distinct_customer_years(fact)
+def self_join_next_year(fact: DataFrame, folder: SharedFolder) -> DataFrame:
+    """Each (customer, year) with the same customer's next year, where there is one. The pairs are
+    written once: the two sides differ in their NULL filter and would each scan the fact table."""
+    now = folder.keep(distinct_customer_years(fact), "customer_years")
     later = now.select(
         F.col("customer_id").alias("repeated_id"), (F.col("current_yr") - 1).alias("yr_before")
     )

@@ -74,12 +74,12 @@ def test_frequency_tiers(spark):
                             ("One-Time Buyer", 1, "25.00%")]
 
 
-def test_churn_needs_exactly_the_next_year(spark):
+def test_churn_needs_exactly_the_next_year(spark, folder):
     lines = fact(spark, ("O1", "A", "2018-01-01", 1), ("O2", "A", "2020-01-01", 1),
                  ("O3", "B", "2018-03-01", 1), ("O4", "B", "2019-01-01", 1), ("O5", "B", "2018-04-01", 1))
     want = [(2018, 2, 1, 1, "50.00%"), (2019, 1, 0, 1, "100.00%")]
     assert got(A.yoy_churn(lines)) == want
-    joined = A.self_join_next_year(lines)
+    joined = A.self_join_next_year(lines, folder)
     assert sorted(got(joined), key=str) == [("A", 2018, None), ("A", 2020, None), ("B", 2018, "B"),
                                             ("B", 2019, None)]
 

@@ -170,3 +170,26 @@ def test_strict_types_hold_without_ansi(spark):
             S.repaired(raw(spark, {"Sales": "x"})).collect()
     finally:
         spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_percent_against_decimal_arithmetic(spark):
+    """Many quotients, short ones included, whose halves fall exactly on the rounding border."""
+    from decimal import ROUND_HALF_UP
+
+    pairs = [(a, b) for b in (1, 3, 7, 8, 32, 800, 20000, 99999) for a in range(-60, 60, 7)]
+    df = spark.createDataFrame(pairs, "a int, b int")
+    for row in df.select("a", "b", percent(ratio(F.col("a"), F.col("b"))).alias("p")).collect():
+        points = (Decimal(repr(row.a / row.b * 100))).quantize(Decimal("1e-10"), ROUND_HALF_UP)
+        cents = points.quantize(Decimal("0.01"), ROUND_HALF_UP)
+        assert row.p == f"{cents if cents else Decimal('0.00'):,.2f}%", row
+
+
+def test_sentence_case_against_python(spark):
+    import random
+
+    rng = random.Random(7)
+    words = ["".join(rng.choice("aBc Zé-'\t9") for _ in range(rng.randrange(9))) for _ in range(500)]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for row in df.select("w", sentence_case(F.col("w")).alias("s")).collect():
+        t = row.w.strip(" ")
+        assert row.s == t[:1].upper() + t[1:].lower()

@@ -154,3 +154,13 @@ def test_hot_product_is_split_in_the_fact_join(spark, house):
     finally:
         for k in changed:
             spark.conf.unset(k)
+
+
+def test_top_months_are_limited_before_the_shuffle(house):
+    text = plan(QUERIES["topk_months_per_year"](house))
+    assert text.count("WindowGroupLimit") == 2
+
+
+def test_self_join_does_not_scan_the_fact_table_twice(house):
+    text = plan(QUERIES["self_join_next_year"](house))
+    assert "fact_sales" not in text and "Order_Date" not in text
