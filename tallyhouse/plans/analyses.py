@@ -382,20 +382,24 @@ def rfm_scores(fact: DataFrame, folder: SharedFolder, best_is_high: bool = False
         F.count_distinct("Order_ID").alias("frequency"),
         F.round(F.sum("Sales"), 2).alias("monetary"),
     )
+    # A later last order is a smaller recency, so it runs the other way round, NULLs included.
+    last, frequency, monetary = F.col("last_order"), F.col("frequency"), F.col("monetary")
+    if best_is_high:
+        orders = {
+            "r_score": last.asc_nulls_last(),
+            "f_score": frequency.asc_nulls_first(),
+            "m_score": monetary.asc_nulls_first(),
+        }
+    else:
+        orders = {
+            "r_score": last.desc_nulls_first(),
+            "f_score": frequency.desc_nulls_last(),
+            "m_score": monetary.desc_nulls_last(),
+        }
     scored = base
-    # A later last order is a smaller recency, so both measures below run largest first.
-    for measure, score in (
-        ("last_order", "r_score"), ("frequency", "f_score"), ("monetary", "m_score")
-    ):
-        nulls_as_recency = measure == "last_order"
-        if best_is_high:
-            column = F.col(measure)
-            first = column.asc_nulls_last() if nulls_as_recency else column.asc_nulls_first()
-        else:
-            column = F.col(measure)
-            first = column.desc_nulls_first() if nulls_as_recency else column.desc_nulls_last()
-        order = [first, F.col("customer_id").asc_nulls_first()]
-        scored = global_ntile(scored, 5, order, score, folder)
+    for score, order in orders.items():
+        tiebreak = F.col("customer_id").asc_nulls_first()
+        scored = global_ntile(scored, 5, [order, tiebreak], score, folder)
     return scored
 
 

@@ -193,3 +193,16 @@ def test_sentence_case_against_python(spark):
     for row in df.select("w", sentence_case(F.col("w")).alias("s")).collect():
         t = row.w.strip(" ")
         assert row.s == t[:1].upper() + t[1:].lower()
+
+
+def test_dedup_of_a_key_that_holds_a_third_of_all_rows(spark, house):
+    """Copies of one line, dated differently, spread over many tasks: one survives, the earliest."""
+    lines = S.repaired(house.bronze)
+    hot = lines.limit(1).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(3800)))).select(
+        *[F.date_add("Order_Date", F.col("n")).alias(c) if c == "Order_Date" else c for c in lines.columns]
+    )
+    mixed = lines.unionByName(hot).repartition(16)
+    kept = S.dedup(mixed)
+    assert kept.count() == house.silver.count()
+    columns = house.silver.columns
+    assert kept.select(columns).exceptAll(house.silver).count() == 0
