@@ -3,6 +3,8 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from oracle.statements import STATEMENTS
+from tallyhouse.catalogue import QUERIES
 from tests.comparing import differences, duck
 from tests.conftest import SMALL
 
@@ -13,10 +15,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(STATEMENTS)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_matches_sql(spark, con, name):
     assert differences(queries()[name](spark, SMALL), con.sql(oracle_sql()[name])) == []
 
