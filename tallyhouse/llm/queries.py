@@ -2,9 +2,10 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyhouse.llm import exact, mixing
+from tallyhouse.llm import byte_pairs, exact, mixing, packing
 from tallyhouse.llm.common import WORD, SharedFolder
 
 
@@ -26,11 +27,37 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = SharedFolder.of(spark).fresh("token-files")
+    packing.write_token_files(
+        documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2
+    )
+    return packing.read_token_files(spark, path)
+
+
+def byte_pair_digests(docs: DataFrame) -> DataFrame:
+    coded = byte_pairs.byte_pair_ids(
+        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    return coded.select(
+        "doc_id",
+        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pair_digests(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir), SharedFolder.of(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_token_files": op2_token_files,
+    "op8_byte_bpe": op8_byte_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
