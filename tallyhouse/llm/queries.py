@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyhouse.llm import byte_pairs, exact, mixing, packing
+from tallyhouse.llm import byte_pairs, exact, mixing, packing, rules
 from tallyhouse.llm.common import WORD, SharedFolder
 
 
@@ -35,6 +35,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.read_token_files(spark, path)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    judged = rules.cascade(documents(spark, sf_dir), figures=figures)
+    return judged.select("doc_id", *figures, "base_failed", "kept")
+
+
 def byte_pair_digests(docs: DataFrame) -> DataFrame:
     coded = byte_pairs.byte_pair_ids(
         docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -58,6 +64,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_token_files": op2_token_files,
+    "op5_quality_rules": op5_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }

@@ -76,4 +76,35 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (P
 FROM texts
 """
 
-STATEMENTS: dict[str, str] = {"op1_mixing": MIXING, "op10_exact_dedup": EXACT}
+RULES = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents
+), line AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)
+  WHERE regexp_matches(line, '{_WORD}') GROUP BY doc_id
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i : i + 7], ' ') AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM texts)
+), again AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1
+), repeated AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, range(8) r(k) GROUP BY doc_id
+), figures AS (
+  SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS BIGINT) AS n_capitals,
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM texts t LEFT JOIN line USING (doc_id) LEFT JOIN repeated USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM figures
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_capitals > word_chars
+            OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_dup_lines > n_lines) AS kept
+FROM judged
+"""
+
+STATEMENTS: dict[str, str] = {"op1_mixing": MIXING, "op5_quality_rules": RULES, "op10_exact_dedup": EXACT}
