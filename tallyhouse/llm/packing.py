@@ -124,28 +124,66 @@ def read_segment(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
 class WordIds:
     """Ids of words from a tokenizers file.
 
-    The tokenizer drops white space and never joins characters across it, so a text's ids are those of
-    its words; common words are encoded once."""
+    The tokenizer drops white space, never joins characters across it, and folds case, so a text's ids are
+    those of its words, and a word's those of its core in lower case and of the ASCII marks behind it if
+    the core ends in an ASCII letter or digit. What has been encoded once is looked up."""
+
+    # Marks that are neither letters nor digits, without the apostrophe, which begins contractions.
+    MARKS = b""".,!#$%&*|-+()"=<>/:;?@_~[]{}"""
 
     def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
         self.most = most
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text, its ids as little-endian 32-bit integers."""
         split = [t.encode().split() for t in texts]
-        new = [*set().union(*split).difference(self.known)]
+        new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-            new = [*set().union(*split)]
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
+            new = set().union(*split)
+        self._learn(new)
         return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
+    def _learn(self, new: set[bytes]) -> None:
+        parts = {}
+        for w in new:
+            core = w.rstrip(self.MARKS)
+            parts[w] = (core.lower(), w[len(core) :]) if core[-1:].isalnum() else (w, b"")
+        parts_new = {p for pair in parts.values() for p in pair if p}.difference(self.known)
+        alone, letters = [], []
+        for part in parts_new:
+            text = part.decode()
+            (letters if text.isalpha() else alone).append(text)
+        known = self.known
+        for i in range(0, len(letters), 4096):
+            known.update(self._letters(letters[i : i + 4096]))
+        known.update(self._each(alone))
+        for w, (core, marks) in parts.items():
+            known[w] = known[core] + known[marks] if marks else known[core]
+
+    def _letters(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """Words of letters only, in one call: the last id of each is that of a word's end."""
+        (found,) = self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stops) != len(texts):
+            return self._each(texts)
+        data, starts = ids.tobytes(), [0, *stops[:-1].tolist()]
+        return ((t.encode(), data[a:b]) for t, a, b in zip(texts, starts, stops.tolist(), strict=True))
+
+    def _each(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return ((t.encode(), np.array(e.ids, "<u4").tobytes()) for t, e in zip(texts, found, strict=True))
+
 
 _encoders: dict[str, WordIds] = {}
 

@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyhouse.llm import byte_pairs, exact, mixing, packing, rules, simhash
+from tallyhouse.llm import byte_pairs, exact, language_model, mixing, packing, rules, simhash
 from tallyhouse.llm.common import WORD, SharedFolder
 
 
@@ -35,6 +35,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.read_token_files(spark, path)
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir), SharedFolder.of(spark))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), SharedFolder.of(spark))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -69,6 +73,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_token_files": op2_token_files,
+    "op3_lm_scores": op3_lm_scores,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
