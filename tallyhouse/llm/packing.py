@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -126,12 +127,13 @@ class WordIds:
 
     The tokenizer drops white space, never joins characters across it, and folds case, so a text's ids are
     those of its words, and a word's those of its core in lower case and of the ASCII marks behind it if
-    the core ends in an ASCII letter or digit. What has been encoded once is looked up."""
+    the core ends in an ASCII letter or digit. What has been encoded once is looked up: a word has a
+    number, and numbers have places in one pool of ids. Words seen once only make room when it is full."""
 
     # Marks that are neither letters nor digits, without the apostrophe, which begins contractions.
     MARKS = b""".,!#$%&*|-+()"=<>/:;?@_~[]{}"""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -140,35 +142,72 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.known: dict[bytes, bytes] = {}
         self.most = most
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Per text, its ids as little-endian 32-bit integers."""
-        split = [t.encode().split() for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = set().union(*split)
-        self._learn(new)
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
-
-    def _learn(self, new: set[bytes]) -> None:
-        parts = {}
+        self.number: dict[bytes, int] = {}
+        self.pool, self.start, self.length = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        parts = [list(slices(t)) for t in texts]
+        split = pc.ascii_split_whitespace(pa.array([p for own in parts for p in own], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        found = list(map(self.number.get, distinct))
+        if new := [w for w, n in zip(distinct, found) if n is None]:
+            self._learn(new)
+            found = list(map(self.number.__getitem__, distinct))
+        numbers = np.array(found, np.int64)
+        self.uses[numbers] += 1
+        each = numbers[coded.indices.to_numpy()]
+        lengths = self.length[each]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        ids = self.pool[np.repeat(self.start[each] - ends[:-1], lengths) + np.arange(ends[-1])]
+        borders = ends[split.offsets.to_numpy()[np.cumsum([0, *map(len, parts)])]]
+        if len(self.number) > self.most:
+            self._forget()
+        return [ids[i:j] for i, j in zip(borders[:-1].tolist(), borders[1:].tolist())]
+
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.uses > 1)
+        if 2 * len(kept) > self.most:
+            kept = kept[:0]
+        place = dict(zip(kept.tolist(), range(len(kept))))
+        self.number = {w: place[n] for w, n in self.number.items() if n in place}
+        lengths = self.length[kept]
+        ends = np.cumsum(lengths)
+        self.pool = self.pool[np.repeat(self.start[kept] - ends + lengths, lengths) + np.arange(lengths.sum())]
+        self.start, self.length, self.uses = ends - lengths, lengths, np.zeros(len(kept), np.int64)
+
+    def _learn(self, new: list[bytes]) -> None:
+        parts = []
         for w in new:
             core = w.rstrip(self.MARKS)
-            parts[w] = (core.lower(), w[len(core) :]) if core[-1:].isalnum() else (w, b"")
-        parts_new = {p for pair in parts.values() for p in pair if p}.difference(self.known)
+            parts.append((w, core.lower(), w[len(core) :]) if core[-1:].isalnum() else (w, w, b""))
+        fresh = {p for _, core, marks in parts for p in (core, marks)}.difference(self.number)
         alone, letters = [], []
-        for part in parts_new:
+        for part in fresh:
             text = part.decode()
             (letters if text.isalpha() else alone).append(text)
-        known = self.known
+        code: dict[bytes, bytes] = {}
         for i in range(0, len(letters), 4096):
-            known.update(self._letters(letters[i : i + 4096]))
-        known.update(self._each(alone))
-        for w, (core, marks) in parts.items():
-            known[w] = known[core] + known[marks] if marks else known[core]
+            code.update(self._letters(letters[i : i + 4096]))
+        code.update(self._each(alone))
+        for w, core, marks in parts:
+            if w not in code:
+                code[w] = self._code(core, code) + self._code(marks, code)
+        self.number.update(zip(code, range(len(self.start), len(self.start) + len(code))))
+        lengths = np.fromiter(map(len, code.values()), np.int64, len(code)) // 4
+        self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(lengths) - lengths))
+        self.length = np.concatenate((self.length, lengths))
+        self.uses = np.concatenate((self.uses, np.zeros(len(code), np.int64)))
+        self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(code.values()), "<u4")))
+
+    def _code(self, part: bytes, code: dict[bytes, bytes]) -> bytes:
+        if (known := code.get(part)) is None:
+            n = self.number[part]
+            known = self.pool[self.start[n] : self.start[n] + self.length[n]].tobytes()
+        return known
 
     def _letters(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Words of letters only, in one call: the last id of each is that of a word's end."""
@@ -210,7 +249,7 @@ def slices(text: str, most: int = 1 << 20) -> Iterator[str]:
     yield text[at:]
 
 
-def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+def _groups(texts: Iterator[str], most: int = 1 << 22) -> Iterator[list[str]]:
     group, size = [], 0
     for t in texts:
         group.append(t)
@@ -235,11 +274,11 @@ def write_token_files(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, shard, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         doc_ids, lengths, parts, size = [], [], [], 0
 
         def full() -> pa.RecordBatch:
-            data = segment(doc_ids, lengths, np.frombuffer(b"".join(parts), "<u4"))
+            data = segment(doc_ids, lengths, np.concatenate(parts))
             return pa.RecordBatch.from_pylist(
                 [{"shard": shard, "segment": number, "documents": len(doc_ids), "ids": size, "data": data}],
                 schema=pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("documents", pa.int32()), ("ids", pa.int64()), ("data", pa.binary())]),
@@ -248,15 +287,11 @@ def write_token_files(
         for batch in batches:
             keys, texts, at = batch.column(0).to_pylist(), (t.as_py() or "" for t in batch.column(1)), 0
             for group in _groups(texts):
-                if len(group[-1]) > 1 << 21:  # the last one is very long: in parts
-                    coded = ids_of.encode(group[:-1]) + [b"".join(b"".join(ids_of.encode([s])) for s in slices(group[-1]))]
-                else:
-                    coded = ids_of.encode(group)
-                for code in coded:
+                for ids in ids_of.encode(group):
                     doc_ids.append(keys[at])
                     at += 1
-                    lengths.append(len(code) // 4 + 1)
-                    parts += (code, end)
+                    lengths.append(len(ids) + 1)
+                    parts += (ids, end)
                     size += lengths[-1]
                     if size >= SEGMENT_IDS:
                         yield full()
