@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyhouse.llm import byte_pairs, exact, language_model, mixing, packing, rules, simhash
+from tallyhouse.llm import byte_pairs, exact, identifiers, language_model, link_graph, mixing, packing, rules, simhash
 from tallyhouse.llm.common import WORD, SharedFolder
 
 
@@ -50,6 +50,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *figures, "base_failed", "kept")
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = link_graph.judge(table(spark, sf_dir, "pages"), SharedFolder.of(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identifiers.personal_data(documents(spark, sf_dir), SharedFolder.of(spark))
+    counts = [f"n_{kind}" for kind in identifiers.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def byte_pair_digests(docs: DataFrame) -> DataFrame:
     coded = byte_pairs.byte_pair_ids(
         docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -76,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_scores": op3_lm_scores,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op6_url_filters": op6_url_filters,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_personal_data": op9_personal_data,
     "op10_exact_dedup": op10_exact_dedup,
 }
