@@ -16,6 +16,7 @@ frequent words. Counts of rarer words are joined.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,9 +25,10 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyhouse.llm.common import SharedFolder, keyed, words
+from tallyhouse.llm.common import SharedFolder, keyed
 
 #: The end of a text: no word is empty.
 END = b""
@@ -68,6 +70,35 @@ def held_out(id_: Column) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All different tokens of the texts, which of them stands at each place, and how many each text has.
+
+    The end of a text is the empty token: splitting gives one for a blank at either end of a text, so
+    these are taken out and one is added behind every text."""
+    # A new array: the string functions misread slices of another one.
+    whole = pa.array([t or "" for t in texts.to_pylist()], pa.large_string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(whole))
+    coded = pa.concat_arrays([split.flatten(), pa.array([""], pa.large_string())]).dictionary_encode()
+    places, offsets = coded.indices.to_numpy()[:-1].astype(np.int64), split.offsets.to_numpy()
+    end = int(coded.indices[-1].as_py())
+    real = places != end
+    before = np.concatenate(([0], np.cumsum(real)))[offsets]
+    tokens = np.insert(places[real], before[1:], end)
+    return coded.dictionary.cast(pa.large_binary()), tokens, np.diff(before) + 1
+
+
+def _groups(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of at most ``rows`` rows and about 4 MB in ``column``; a longer text is a part by itself."""
+    for batch in batches:
+        sizes = np.cumsum([len(t or "") for t in batch.column(column).to_pylist()])
+        start = 0
+        while start < batch.num_rows:
+            base = sizes[start - 1] if start else 0
+            stop = min(max(int(np.searchsorted(sizes, base + (1 << 22))), start + 1), start + rows)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def token_counts(docs: DataFrame, most: int = 200_000) -> DataFrame:
     """token, c over the column text, the end of each text included. Tasks count before the shuffle."""
 
@@ -77,29 +108,37 @@ def token_counts(docs: DataFrame, most: int = 200_000) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["token", "c"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(words(text.as_py()))
-                seen[END] += 1
-                if len(seen) > most:
-                    yield out()
-                    seen.clear()
+        for part in _groups(batches, 0):
+            different, tokens, _ = tokens_of(part.column(0))
+            for token, n in zip(different.to_pylist(), np.bincount(tokens, minlength=len(different)).tolist()):
+                seen[token] += n
+            if len(seen) > most:
+                yield out()
+                seen.clear()
         if seen:
             yield out()
 
     partial = docs.select("text").mapInArrow(count, "token binary, c bigint")
-    return partial.groupBy("token").agg(F.sum("c").alias("c"))
+    return partial.groupBy("token").agg(F.sum("c").alias("c")).filter("c > 0")
 
 
 def vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
-    """From all counts; only the frequent words and one row per class reach the driver."""
+    """From all counts; the driver gets a row per class and per grade of counts, and the frequent words."""
     class_ = F.crc32(F.when(F.length("token") <= s.ending, F.col("token")).otherwise(F.substring("token", -s.ending, s.ending)))
     sums = counts.groupBy((class_ % s.classes).cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v"))
     n, v = np.zeros(s.classes, np.int64), np.zeros(s.classes, np.int64)
     for row in sums.collect():
         n[row.k], v[row.k] = row.n, row.v
     tokens, types = int(n.sum()), int(v.sum())
-    frequent = {bytes(r.token): r.c for r in counts.orderBy(F.desc("c"), "token").limit(s.frequent).collect()}
+    # Frequent words are those of whole grades, from the top, as long as they are not too many.
+    grade = F.floor(F.log2("c") * 64)
+    border, room = None, s.frequent
+    for g, many in sorted(counts.groupBy(grade.alias("g")).count().collect(), reverse=True):
+        if many > room:
+            break
+        border, room = g, room - many
+    chosen = counts.filter(grade >= border).collect() if border is not None else []
+    frequent = dict(sorted(((bytes(w), c) for w, c in chosen), key=lambda x: (-x[1], x[0])))
     model = list(islice(frequent, s.words))
     for w in model:
         n[class_of(w, s)] -= frequent[w]
@@ -168,9 +207,6 @@ class Model:
             moved = s.rate * sums / np.sqrt(squares[square][rows])[:, None]
             self.parameters[p][rows] -= moved if p < 3 else moved[:, 0]
 
-    def scorer(self) -> Scorer:
-        return Scorer(self)
-
 
 class Scorer:
     """Normalised log-probabilities; normalisers are kept per pair of contexts."""
@@ -196,6 +232,17 @@ class Scorer:
         return (self.first[u, codes] + self.second[v, codes] - norms).astype(np.float64) / np.log(10)
 
 
+_scorers: dict[str, Scorer] = {}
+
+
+def _scorer(name: str, model: Model) -> Scorer:
+    """One per Python worker, so later tasks find its normalisers; that of an earlier model goes."""
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = Scorer(model)
+    return _scorers[name]
+
+
 def encoded(docs: DataFrame, vocabulary_: Vocabulary, s: Settings) -> DataFrame:
     """Per row: row, id, held_out, n_tokens, codes (16-bit), the sums over frequent words, and the rarer words.
 
@@ -204,21 +251,26 @@ def encoded(docs: DataFrame, vocabulary_: Vocabulary, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, counts = shipped.value
-        known = {w: (code[w], float(np.log10(c + 1))) for w, c in counts.items()}
-        for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128)
-                rows = []
-                for text in part.column(3):
-                    tokens = words(text.as_py())
-                    tokens.append(END)
-                    found = list(map(known.get, tokens))
-                    rare = [w for w, f in zip(tokens, found) if f is None] if None in found else []
-                    codes = np.array([s.words + class_of(w, s) if f is None else f[0] for w, f in zip(tokens, found)], np.uint16)
-                    logs = np.array([0.0 if f is None else f[1] for f in found])
-                    rows.append((len(tokens), codes.tobytes(), logs.sum(), logs[codes >= s.words].sum(), len(tokens) - len(rare), rare))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary())))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=names)
+        for part in _groups(batches, 3):
+            different, tokens, lengths = tokens_of(part.column(3))
+            listed = different.to_pylist()
+            count = np.array([counts.get(w, -1) for w in listed])
+            codes = np.array([code[w] if w in code else s.words + class_of(w, s) for w in listed], np.uint16)[tokens]
+            logs = np.log10(np.where(count < 0, 0, count) + 1.0)[tokens]
+            rare = (count < 0)[tokens]
+            ends = np.concatenate(([0], np.cumsum(lengths)))
+            sums = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x)))[ends])
+            raw = codes.tobytes()
+            rares = np.concatenate(([0], np.cumsum(rare)))[ends].astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *part.columns[:3], pa.array(lengths, pa.int64()),
+                    pa.array([raw[2 * i : 2 * j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary()),
+                    pa.array(sums(logs)), pa.array(sums(np.where(codes >= s.words, logs, 0.0))), pa.array(lengths - np.diff(rares), pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(rares, pa.int32()), different.take(pa.array(tokens[rare])).cast(pa.binary())),
+                ],
+                names=names,
+            )
 
     names = ["row", "id", "held_out", "n_tokens", "codes", "all_logs", "class_logs", "n_frequent", "rare"]
     kind = docs.schema["id"].dataType.simpleString()
@@ -273,11 +325,11 @@ def _sum_row(task: int, seen: int, flat: np.ndarray) -> pa.RecordBatch:
 
 def model_scores(texts: DataFrame, model: Model, vocabulary_: Vocabulary, s: Settings) -> DataFrame:
     """row, model_score: log10 of the model's probabilities, but for the counts of words in classes."""
-    sent = texts.sparkSession.sparkContext.broadcast((model, np.log10(vocabulary_.denominators)))
+    sent = texts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model, np.log10(vocabulary_.denominators)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, share = sent.value
-        scorer = own.scorer()
+        name, own, share = sent.value
+        scorer = _scorer(name, own)
         for batch in batches:
             scores = []
             for x in batch.column(1):

@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyhouse.llm import byte_pairs, exact, identifiers, language_model, link_graph, mixing, packing, rules, simhash
+from tallyhouse.llm import byte_pairs, exact, identifiers, language_model, link_graph, main_text, mixing, packing, rules, simhash
 from tallyhouse.llm.common import WORD, SharedFolder
 
 
@@ -55,6 +55,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(table(spark, sf_dir, "pages"), SharedFolder.of(spark))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identifiers.personal_data(documents(spark, sf_dir), SharedFolder.of(spark))
     counts = [f"n_{kind}" for kind in identifiers.KINDS]
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filters": op6_url_filters,
+    "op7_main_text": op7_main_text,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_personal_data": op9_personal_data,
     "op10_exact_dedup": op10_exact_dedup,
