@@ -8,7 +8,7 @@ its blocks by a 64-bit digest, and blocks of different content that share a dige
 blocks) are looked up by content instead.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -41,13 +41,14 @@ def exact_duplicates(
     text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
     digest: Callable[[Column], Column] = F.xxhash64,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if they are the same after A-Z become lower case; NULL counts as empty. The row with
     the largest id of a group stays (NULL ids are smallest); of repeated rows with that id one stays.
-    An empty table gives an empty result. Other columns of ``docs`` are ignored."""
-    rows = keyed(docs, "row", id=id_col, text=text_col).withColumn("text", ascii_lower(F.col("text")))
+    An empty table gives an empty result. ``carry`` names columns of ``docs`` to pass on, others are ignored."""
+    rows = keyed(docs, "row", id=id_col, text=text_col, **{f"carry_{c}": c for c in carry}).withColumn("text", ascii_lower(F.col("text")))
     cut = _blocks(F.col("text"), block_bytes)
     distinct = rows.select(F.explode(cut).alias("block")).distinct()
     numbered = _numbered(distinct, ["block"], "name").select(_key(digest, F.col("block")).alias("key"), "name")
@@ -63,7 +64,7 @@ def exact_duplicates(
     texts = folder.keep(
         rows.select(
             "row", "id", F.sha2("text", 256).alias("sha"), count.alias("blocks"),
-            F.transform(cut, lambda b: _key(digest, b)).alias("keys"),
+            F.transform(cut, lambda b: _key(digest, b)).alias("keys"), *[f"carry_{c}" for c in carry],
         ),
         "texts",
     )
@@ -82,6 +83,7 @@ def exact_duplicates(
         "group_size",
         (F.col("row") == F.col("keep.row")).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *[F.col(f"carry_{c}").alias(c) for c in carry],
     )
 
 

@@ -20,6 +20,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from copy import deepcopy
 from dataclasses import dataclass
 from itertools import islice
 
@@ -160,35 +161,40 @@ class Model:
         self.c = np.zeros((2, m + 1, s.size), np.float32)
         self.q = rng.normal(0, 0.1, (m, s.size)).astype(np.float32)
         self.b = np.log(share).astype(np.float32)
+        # Sums of squared slopes per row: steps get shorter over all rounds.
+        self.squares = [np.full(len(p), 1e-3, np.float32) for p in (*self.c, self.q, self.b)]
 
     @property
     def parameters(self) -> list[np.ndarray]:
         return [self.c[0], self.c[1], self.q, self.b]
 
+    @property
+    def state(self) -> list[np.ndarray]:
+        return [*self.parameters, *self.squares]
+
     def contexts(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         before = np.concatenate((np.full(2, len(self.b), codes.dtype), codes))
         return before[1:-1], before[:-2]
 
-    def train(self, texts: Iterator[np.ndarray], seed: int) -> int:
+    def train(self, texts: Iterator[np.ndarray], *seed: int) -> int:
         """One pass; returns the number of tokens."""
         s, seen = self.s, 0
-        rng = np.random.default_rng([s.seed, seed])
-        squares = [np.full(len(p), 1e-3, np.float32) for p in self.parameters]
+        rng = np.random.default_rng([s.seed, *seed])
         edges = np.cumsum(self.noise)
         rest = np.zeros((3, 0), np.int64)
         for codes in texts:
             u, v = self.contexts(codes)
             rest = np.concatenate((rest, np.stack((u, v, codes))), axis=1)
             while rest.shape[1] >= s.batch:
-                self._step(rest[:, : s.batch], edges, rng, squares)
+                self._step(rest[:, : s.batch], edges, rng)
                 rest = rest[:, s.batch :]
             seen += len(codes)
         if rest.shape[1]:
-            self._step(rest, edges, rng, squares)
+            self._step(rest, edges, rng)
         return seen
 
-    def _step(self, batch: np.ndarray, edges: np.ndarray, rng: np.random.Generator, squares: list[np.ndarray]) -> None:
-        s, (u, v, w) = self.s, batch
+    def _step(self, batch: np.ndarray, edges: np.ndarray, rng: np.random.Generator) -> None:
+        s, squares, (u, v, w) = self.s, self.squares, batch
         noise = np.minimum(np.searchsorted(edges, rng.random(s.noise)), len(edges) - 1)
         h, qw, qn = self.c[0][u] + self.c[1][v], self.q[w], self.q[noise]
         data = np.einsum("ij,ij->i", h, qw) + self.b[w] - self.log_noise[w]
@@ -199,12 +205,12 @@ class Model:
         dh = data[:, None] * qw + other @ qn
         words_, vectors = np.concatenate((w, noise)), np.concatenate((data[:, None] * h, other.T @ h))
         biases = np.concatenate((data, other.sum(axis=0)))
-        for p, square, index, slope in ((0, 0, u, dh), (1, 1, v, dh), (2, 2, words_, vectors), (3, 3, words_, biases[:, None])):
+        for p, index, slope in ((0, u, dh), (1, v, dh), (2, words_, vectors), (3, words_, biases[:, None])):
             order = np.argsort(index, kind="stable")
             rows, starts = np.unique(index[order], return_index=True)
             sums = np.add.reduceat(slope[order], starts, axis=0)
-            squares[square][rows] += (sums * sums).mean(axis=1)
-            moved = s.rate * sums / np.sqrt(squares[square][rows])[:, None]
+            squares[p][rows] += (sums * sums).mean(axis=1)
+            moved = s.rate * sums / np.sqrt(squares[p][rows])[:, None]
             self.parameters[p][rows] -= moved if p < 3 else moved[:, 0]
 
 
@@ -287,15 +293,13 @@ def trained(texts: DataFrame, vocabulary_: Vocabulary, s: Settings, sums: int =
     for number in range(s.rounds):
         sent = texts.sparkSession.sparkContext.broadcast(model)
 
-        def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def learn(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            own, task = Model(sent.value.noise * 0, s), TaskContext.get().partitionId()
-            own.noise, own.log_noise = sent.value.noise, sent.value.log_noise
-            own.c, own.q, own.b = sent.value.c.copy(), sent.value.q.copy(), sent.value.b.copy()
-            seen = own.train((np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for b in batches for x in b.column(0)), task)
+            own, task = deepcopy(sent.value), TaskContext.get().partitionId()
+            seen = own.train((np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for b in batches for x in b.column(0)), number, task)
             if seen:
-                flat = np.concatenate([p.ravel() for p in own.parameters]).astype(np.float64) * seen
+                flat = np.concatenate([p.ravel() for p in own.state]).astype(np.float64) * seen
                 yield _sum_row(task, seen, flat)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +317,7 @@ def trained(texts: DataFrame, vocabulary_: Vocabulary, s: Settings, sums: int =
         seen = sum(p.seen for p in parts)
         if seen:
             flat, at = sum(np.frombuffer(p.flat) for p in parts) / seen, 0
-            for p in model.parameters:
+            for p in model.state:
                 p[...] = flat[at : at + p.size].reshape(p.shape)
                 at += p.size
     return model

@@ -107,4 +107,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-STATEMENTS: dict[str, str] = {"op1_mixing": MIXING, "op5_quality_rules": RULES, "op10_exact_dedup": EXACT}
+# Trust and distrust of ten rounds, each a table of its own.
+_ROUND = """
+, trust_{k} AS (
+  SELECT s.host, s.trust + 0.85 * coalesce(sum(t.trust * e.n / e.n_out), 0) AS trust
+  FROM seeds s LEFT JOIN edges e ON e.dst = s.host LEFT JOIN trust_{j} t ON t.host = e.src GROUP BY s.host, s.trust
+), distrust_{k} AS (
+  SELECT s.host, s.distrust + 0.85 * coalesce(sum(t.distrust * e.n / e.n_in), 0) AS distrust
+  FROM seeds s LEFT JOIN edges e ON e.src = s.host LEFT JOIN distrust_{j} t ON t.host = e.dst GROUP BY s.host, s.distrust
+)"""
+_SLASHED = "split_part(split_part(substr(url, strpos(url, '://') + 3), '?', 1), '#', 1)"
+URLS = (
+    f"""
+WITH parsed AS (
+  SELECT page_id, html, strpos(url, '://') > 0 AS whole, {_SLASHED} AS rest FROM pages
+), parts AS (
+  SELECT page_id, html, CASE WHEN whole THEN translate(split_part(rest, '/', 1), '{UPPER}', '{LOWER}') ELSE '' END AS host,
+         CASE WHEN whole THEN substr(rest, length(split_part(rest, '/', 1)) + 1) ELSE '' END AS path FROM parsed
+), rules(verdict, rule_host, rule_path) AS (
+  VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), fits AS (
+  SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+         arg_max(verdict, length(rule_host || rule_path)) AS told
+  FROM parts JOIN rules ON ('.' || host) LIKE ('%.' || rule_host) AND path LIKE (rule_path || '%') GROUP BY page_id
+), judged AS (
+  SELECT * FROM parts LEFT JOIN fits USING (page_id)
+), links AS (
+  SELECT host AS src, dst, count(*) AS n
+  FROM (SELECT host, unnest(list_distinct(list_transform(
+          regexp_extract_all(html, '(?i)\\b(?:href|src)\\s*=\\s*["'']?\\s*(?:https?:)?//([^\\s"''<>/?#]+)', 1),
+          x -> translate(x, '{UPPER}', '{LOWER}')))) AS dst FROM parts)
+  WHERE host <> '' AND host <> dst GROUP BY ALL
+), edges AS (
+  SELECT *, sum(n) OVER (PARTITION BY src) AS n_out, sum(n) OVER (PARTITION BY dst) AS n_in FROM links
+), seeds AS (
+  SELECT host, avg(CASE WHEN told = 'allow' THEN 1.0 ELSE 0 END) AS trust,
+         avg(CASE WHEN told = 'block' THEN 1.0 ELSE 0 END) AS distrust FROM judged WHERE host <> '' GROUP BY host
+  UNION ALL SELECT DISTINCT dst, 0.0, 0.0 FROM links WHERE dst NOT IN (SELECT host FROM parts)
+), trust_0 AS (SELECT host, trust FROM seeds), distrust_0 AS (SELECT host, distrust FROM seeds)"""
+    + "".join(_ROUND.format(k=k, j=k - 1) for k in range(1, 11))
+    + """
+SELECT page_id, j.host, path, rule,
+       coalesce(told, CASE WHEN distrust > 0.5 AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN trust_10 t ON t.host = j.host LEFT JOIN distrust_10 d ON d.host = j.host
+"""
+)
+
+STATEMENTS: dict[str, str] = {"op1_mixing": MIXING, "op5_quality_rules": RULES, "op6_url_filters": URLS, "op10_exact_dedup": EXACT}
