@@ -134,9 +134,8 @@ WITH parsed AS (
   SELECT * FROM parts LEFT JOIN fits USING (page_id)
 ), links AS (
   SELECT host AS src, dst, count(*) AS n
-  FROM (SELECT host, unnest(list_distinct(list_transform(
-          regexp_extract_all(html, '(?i)\\b(?:href|src)\\s*=\\s*["'']?\\s*(?:https?:)?//([^\\s"''<>/?#]+)', 1),
-          x -> translate(x, '{UPPER}', '{LOWER}')))) AS dst FROM parts)
+  FROM (SELECT host, unnest(list_distinct([translate(x, '{UPPER}', '{LOWER}') FOR x IN
+          regexp_extract_all(html, '(?i)\\b(?:href|src)\\s*=\\s*["'']?\\s*(?:https?:)?//([^\\s"''<>/?#]+)', 1)])) AS dst FROM parts)
   WHERE host <> '' AND host <> dst GROUP BY ALL
 ), edges AS (
   SELECT *, sum(n) OVER (PARTITION BY src) AS n_out, sum(n) OVER (PARTITION BY dst) AS n_in FROM links
