@@ -11,8 +11,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-# Any letter beyond ASCII that lower() would change.
-_OTHER_CAPITAL = r"[\p{IsUppercase}\p{Lt}&&[^\x00-\x7F]]"
+# Any letter beyond ASCII that lower() would change, or that it may know and regular expressions don't.
+_OTHER_CAPITAL = r"[\p{IsUppercase}\p{Lt}\p{Cn}&&[^\x00-\x7F]]"
 
 
 def ascii_lower(text: Column) -> Column:

@@ -42,20 +42,24 @@ _WIDTH = np.full(16, 60, np.int64)
 for _selector, _bits in enumerate(BITS, 1):
     _COUNT[_selector], _WIDTH[_selector] = 60 // _bits, _bits
 _MOST = int(_COUNT.max())
+_LIMITS = np.array([1 << bits for bits in BITS], np.uint64)
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
     """One block of ids below 2**60 as words; the last word may have room left."""
     n = len(ids)
-    at = np.arange(n)
+    level = np.searchsorted(_LIMITS, ids, side="right").astype(np.uint8)  # selectors up to this one are too narrow
     choice = np.full(n, ESCAPE, np.uint8)
     for selector in range(len(BITS), 0, -1):  # from few wide ids to many narrow ones
-        wide = np.concatenate(([0], np.cumsum(ids >= (1 << BITS[selector - 1]))))
-        fits = wide[np.minimum(at + _COUNT[selector], n)] == wide[:-1]
+        count = int(_COUNT[selector])
+        wide = np.zeros(n + 1 + count, np.int32)
+        np.cumsum(level >= selector, out=wide[1 : n + 1])
+        wide[n + 1 :] = wide[n]
+        fits = wide[count : count + n] == wide[:n]
         if not fits.any():
             break  # what doesn't fit here fits no narrower selector
         choice[fits] = selector
-    after = (at + _COUNT[choice]).tolist()
+    after = (np.arange(n) + _COUNT[choice]).tolist()
     starts, i = [], 0
     while i < n:
         starts.append(i)
@@ -133,7 +137,7 @@ class WordIds:
     # Marks that are neither letters nor digits, without the apostrophe, which begins contractions.
     MARKS = b""".,!#$%&*|-+()"=<>/:;?@_~[]{}"""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -160,9 +164,9 @@ class WordIds:
         numbers = np.array(found, np.int64)
         self.uses[numbers] += 1
         each = numbers[coded.indices.to_numpy()]
-        lengths = self.length[each]
-        ends = np.concatenate(([0], np.cumsum(lengths)))
-        ids = self.pool[np.repeat(self.start[each] - ends[:-1], lengths) + np.arange(ends[-1])]
+        ends = np.concatenate(([0], np.cumsum(self.length[each])))
+        offsets = np.append(self.start, len(self.pool))
+        ids = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(self.pool)).take(pa.array(each)).flatten().to_numpy()
         borders = ends[split.offsets.to_numpy()[np.cumsum([0, *map(len, parts)])]]
         if len(self.number) > self.most:
             self._forget()
