@@ -313,7 +313,9 @@ def trained(texts: DataFrame, vocabulary_: Vocabulary, s: Settings, sums: int =
 
         share = texts.filter(~F.col("held_out") & (F.pmod(F.xxhash64("row"), F.lit(s.rounds)) == number)).select("codes")
         schema = "task int, seen bigint, flat binary"
-        parts = share.mapInArrow(learn, schema).repartition(sums, "task").mapInArrow(add, schema).collect()
+        # In two steps, each a running sum: the driver gets one set of parameters, however many tasks there are.
+        summed = share.mapInArrow(learn, schema).repartition(sums, "task").mapInArrow(add, schema)
+        parts = summed.repartition(1).mapInArrow(add, schema).collect()
         seen = sum(p.seen for p in parts)
         if seen:
             flat, at = sum(np.frombuffer(p.flat) for p in parts) / seen, 0
