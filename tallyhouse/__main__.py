@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 from tallyhouse.catalogue import QUERIES
 from tallyhouse.plans.quality import quality_report
-from tallyhouse.plans.warehouse import Warehouse
+from tallyhouse.plans.warehouse import QualityError, Warehouse
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -20,6 +20,7 @@ def main(arguments: list[str] | None = None) -> int:
     commands = parser.add_subparsers(dest="command", required=True)
     build = commands.add_parser("build", help="raw file to bronze, silver and gold tables")
     build.add_argument("--csv", required=True)
+    build.add_argument("--lenient", action="store_true", help="set bad lines aside instead of failing")
     check = commands.add_parser("check", help="constraints and reconciliations")
     query = commands.add_parser("query", help="run one named query")
     query.add_argument("name", choices=sorted(QUERIES))
@@ -30,7 +31,12 @@ def main(arguments: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName(f"tallyhouse {options.command}").getOrCreate()
     if options.command == "build":
-        Warehouse.from_csv(spark, options.csv, options.root).build()
+        house = Warehouse.from_csv(spark, options.csv, options.root, options.lenient)
+        try:
+            house.build(check=True)
+        except QualityError as error:
+            print(error, file=sys.stderr)
+            return 1
         return 0
     house = Warehouse.opened(spark, options.root)
     if options.command == "check":

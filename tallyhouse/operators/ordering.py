@@ -11,16 +11,11 @@ once, so retries and later reads see the same split.
 """
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyhouse.sources.shared import SharedFolder
 
-# The largest group that one task sorts on its own.
-GROUP_LIMIT = 1_000_000
-
 _SLICE, _POS, _TAIL, _LOCAL, _CARRY = "__slice", "__pos", "__tail", "__local", "__carry"
 
 
@@ -142,7 +137,8 @@ def _accumulated(
     local = kept.repartitionById(last_slice + 1, F.col(_SLICE)).withColumn(
         _LOCAL, step.over(rows_so_far)
     )
-    total = F.col(_LOCAL) + F.coalesce(F.col(_CARRY), F.lit(0))
+    # NULL only while neither side has seen a value.
+    total = F.coalesce(F.col(_LOCAL) + F.col(_CARRY), F.col(_LOCAL), F.col(_CARRY))
     summed = local.join(F.broadcast(carried), _same_group(local, carried, within), "left")
     summed = summed.withColumn(name, total)
     if in_order:
@@ -157,23 +153,10 @@ def grouped_row_number(
     name: str,
     folder: SharedFolder,
     slices: int | None = None,
-    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    """ROW_NUMBER() OVER (PARTITION BY within ORDER BY order).
-
-    Groups of up to ``group_limit`` rows take a plain window; larger ones, should there be any,
-    are numbered across slices, so that none has to fit in one task."""
-    counted = df.groupBy(*within).count().filter(F.col("count") > group_limit)
-    large = folder.keep(counted.select(*[F.col(c).alias(f"__g_{c}") for c in within]), "large")
-    in_group = Window.partitionBy(*within).orderBy(*order)
-    number = F.row_number().over(in_group).cast("bigint")
-    if large.isEmpty():
-        return df.withColumn(name, number)
-    same = reduce(and_, [df[c].eqNullSafe(large[f"__g_{c}"]) for c in within])
-    small_groups = df.join(large, same, "left_anti").withColumn(name, number)
-    large_groups = df.join(large, same, "left_semi")
-    numbered = _accumulated(large_groups, F.count(F.lit(1)), within, order, name, folder, slices)
-    return small_groups.unionByName(numbered)
+    """ROW_NUMBER() OVER (PARTITION BY within ORDER BY order), across slices like a running sum, so
+    that no group has to fit in one task."""
+    return _accumulated(df, F.count(F.lit(1)), within, order, name, folder, slices)
 
 
 def running_sum(

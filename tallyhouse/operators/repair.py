@@ -9,6 +9,8 @@ def parse(name: str, data_type: str, date_formats: Sequence[str] = ()) -> Column
     """The text column as ``data_type``; NULL where it does not fit. Dates that are not ISO are
     tried against ``date_formats`` in turn."""
     value = F.col(name).try_cast(data_type)
+    if data_type.startswith("decimal"):  # a value that the cast would round doesn't fit
+        value = F.when(value == F.col(name).try_cast("decimal(38,18)"), value)
     if data_type == "date":
         value = F.coalesce(value, *[F.try_to_date(F.col(name), f) for f in date_formats])
     return value

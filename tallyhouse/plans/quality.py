@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhouse.plans import silver as cleaning
-from tallyhouse.plans.warehouse import Warehouse
 
-Tables = Mapping[str, DataFrame] | Warehouse
+if TYPE_CHECKING:
+    from tallyhouse.plans.warehouse import Warehouse
+
+    Tables = Mapping[str, DataFrame] | Warehouse
 
 # Primary keys of the dimensions and what the fact table refers to.
 KEYS = {
@@ -69,24 +72,22 @@ def check_null_fks(tables: Tables) -> DataFrame:
 
 
 def check_key_types(tables: Tables) -> DataFrame:
-    """Type of each fact key against the dimension key, over all fact rows."""
-
-    def one(dimension: str, key: str) -> DataFrame:
-        expected = F.lit(tables[dimension].schema[key].dataType.simpleString())
-        return (
-            tables["fact_sales"]
-            .groupBy(F.typeof(key).alias("actual"))
-            .agg(F.count(F.lit(1)).alias("rows_checked"))
-            .select(
-                F.lit(f"fact_sales.{key} type").alias("check"),
-                expected.alias("expected"),
-                "actual",
-                "rows_checked",
-                (F.col("actual") == expected).alias("passed"),
-            )
+    """Type of each fact key against the dimension key; one row per key, also for an empty fact."""
+    fact = tables["fact_sales"]
+
+    def one(dimension: str, key: str) -> Column:
+        expected = tables[dimension].schema[key].dataType.simpleString()
+        actual = fact.schema[key].dataType.simpleString()
+        return F.struct(
+            F.lit(f"fact_sales.{key} type").alias("check"),
+            F.lit(expected).alias("expected"),
+            F.lit(actual).alias("actual"),
+            F.col("rows_checked"),
+            F.lit(actual == expected).alias("passed"),
         )
 
-    return _union([one(t, k) for t, k in KEYS.items()])
+    checked = fact.agg(F.count(F.lit(1)).alias("rows_checked"))
+    return checked.select(F.inline(F.array(*[one(t, k) for t, k in KEYS.items()])))
 
 
 def check_primary_keys(tables: Tables) -> DataFrame:
@@ -153,7 +154,20 @@ def reconcile_orders(tables: Tables) -> DataFrame:
     return _compared(orders("silver"), orders("fact_sales"), {"orders": "n"})
 
 
-def dimension_counts(tables: Tables) -> DataFrame:
+def dimension_counts(tables: Tables, expected: Mapping[str, int] | None = None) -> DataFrame:
+    """Rows per dimension; with ``expected`` counts a check of those dimensions."""
+    if expected is not None:
+        counted = [
+            tables[t].agg(F.count(F.lit(1)).alias("actual")).select(
+                F.lit(f"{t} expected rows").alias("check"),
+                F.lit(float(n)).alias("expected"),
+                F.col("actual").cast("double").alias("actual"),
+                (F.col("actual") == n).alias("passed"),
+            )
+            for t, n in expected.items()
+        ]
+        return _union(counted)
+
     def count(t: str) -> DataFrame:
         return tables[t].agg(F.count(F.lit(1)).alias("row_count")).select(
             F.lit(t).alias("dimension"), "row_count"
@@ -180,14 +194,17 @@ def crosscheck_dimensions(tables: Tables) -> DataFrame:
     )
 
 
-def quality_report(tables: Tables) -> DataFrame:
-    """Every pass/fail check in one table."""
+def quality_report(tables: Tables, expected_rows: Mapping[str, int] | None = None) -> DataFrame:
+    """Every pass/fail check in one table; ``expected_rows`` per dimension are checked if given."""
     numeric = [
         check_not_null, check_null_fks, check_primary_keys, check_foreign_keys,
         reconcile_counts, reconcile_totals, reconcile_orders, crosscheck_dimensions,
     ]
     text = ["check", F.col("expected").cast("string"), F.col("actual").cast("string"), "passed"]
-    return _union([c(tables).select(*text) for c in [*numeric, check_key_types]])
+    reports = [c(tables) for c in [*numeric, check_key_types]]
+    if expected_rows:
+        reports.append(dimension_counts(tables, expected_rows))
+    return _union([r.select(*text) for r in reports])
 
 
 def profile_silver(tables: Tables) -> DataFrame:

@@ -16,6 +16,7 @@ from tallyhouse.operators.repair import (
     replace_values,
     strict,
 )
+from tallyhouse.sources.raw_csv import MALFORMED
 from tallyhouse.sources.shared import SharedFolder
 
 # What the source data is known to get wrong, and the target types.
@@ -48,14 +49,22 @@ def typed_columns(strictly: bool = True) -> dict[str, Column]:
 
 
 def postal_code(strictly: bool = True) -> Column:
-    """'10001.0' to 10001."""
-    parsed = parse("Postal_Code", "double")
-    return (strict("Postal_Code", parsed, "double") if strictly else parsed).cast("int")
+    """'10001.0' to 10001; what is no whole number or too large does not fit."""
+    number = parse("Postal_Code", "double")
+    whole = number.try_cast("int")
+    parsed = F.when(whole.cast("double") == number, whole)
+    return strict("Postal_Code", parsed, "int") if strictly else parsed
 
 
 def castable(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Raw lines that ``repaired`` accepts, and the rejected ones with the columns at fault."""
-    return quarantine(bronze, typed_columns(False) | {"Postal_Code": postal_code(False)})
+    """Raw lines that ``repaired`` accepts, and the rejected ones with the columns at fault.
+
+    Lines that the reader kept as malformed are among the rejected."""
+    parsed = typed_columns(False) | {"Postal_Code": postal_code(False)}
+    if MALFORMED in bronze.columns:
+        parsed |= {MALFORMED: F.lit(None).cast("string")}
+    good, rejected = quarantine(bronze, parsed)
+    return good.drop(MALFORMED), rejected
 
 
 def customer_name() -> Column:

@@ -1,36 +1,51 @@
 """The layers as tables: bronze (raw text), silver (clean lines), gold (star schema)."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from threading import RLock
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyhouse.plans import gold, silver
+from tallyhouse.plans.quality import quality_report
 from tallyhouse.sources.raw_csv import read_raw
 from tallyhouse.sources.shared import SharedFolder
 
 # Namespaces and tables.
 BRONZE = "bronze/sales_lines"
+REJECTED = "bronze/rejected_lines"
 SILVER = "silver/sales"
 GOLD = ("dim_customer", "dim_product", "dim_geography", "dim_date", "fact_sales")
 TABLES = (BRONZE, SILVER, *(f"gold/{t}" for t in GOLD))
 
 
+class QualityError(ValueError):
+    """``failed`` names the checks."""
+
+    def __init__(self, failed: list[str]):
+        super().__init__(f"quality checks failed: {', '.join(failed)}")
+        self.failed = failed
+
+
 class Warehouse:
     """Builds each layer from the one before it and reads it back as a parquet table.
 
     Tables are built on first use, so a query that needs only bronze builds only bronze.
     """
 
-    def __init__(self, root: str, bronze: Callable[[], DataFrame]):
+    def __init__(self, root: str, bronze: Callable[[], DataFrame], lenient: bool = False):
         self.folder = SharedFolder(root)
+        self.lenient = lenient
         self._source = bronze
         self._tables: dict[str, DataFrame] = {}
         self._building = RLock()
 
     @classmethod
-    def from_csv(cls, spark: SparkSession, csv_path: str, root: str) -> "Warehouse":
-        return cls(root, lambda: read_raw(spark, csv_path))
+    def from_csv(
+        cls, spark: SparkSession, csv_path: str, root: str, lenient: bool = False
+    ) -> "Warehouse":
+        """With ``lenient``, lines that are malformed or do not fit their types end up in
+        ``rejected`` instead of failing the job."""
+        return cls(root, lambda: read_raw(spark, csv_path, keep_malformed=lenient), lenient)
 
     @classmethod
     def opened(cls, spark: SparkSession, root: str) -> "Warehouse":
@@ -45,7 +60,15 @@ class Warehouse:
 
     @property
     def silver(self) -> DataFrame:
-        return self._table(SILVER, lambda: silver.silver_sales(self.bronze))
+        return self._table(SILVER, lambda: silver.silver_sales(self._accepted()))
+
+    def _accepted(self) -> DataFrame:
+        return silver.castable(self.bronze)[0] if self.lenient else self.bronze
+
+    @property
+    def rejected(self) -> DataFrame:
+        """Raw lines that silver leaves out, with the columns at fault."""
+        return self._table(REJECTED, lambda: silver.castable(self.bronze)[1])
 
     @property
     def dim_customer(self) -> DataFrame:
@@ -82,17 +105,40 @@ class Warehouse:
                 self._tables[name] = self.folder.replace(make(), name)
             return self._tables[name]
 
-    def build(self) -> "Warehouse":
-        """Build every layer, dimensions before the fact table."""
-        for name in ("bronze", "silver", *GOLD):
+    def build(self, check: bool = False) -> "Warehouse":
+        """Build every layer, dimensions before the fact table; with ``check``, refuse bad data."""
+        for name in ("bronze", "silver", *GOLD, *(["rejected"] if self.lenient else [])):
             self[name]
+        if check:
+            self.check()
         return self
 
-    def publish(self, spark: SparkSession) -> None:
-        """Name the tables in the session catalog: bronze.*, silver.*, gold.*."""
+    def check(self, expected_rows: Mapping[str, int] | None = None) -> None:
+        """Raise QualityError, naming the checks that fail."""
+        failed = quality_report(self, expected_rows).filter(~F.coalesce("passed", F.lit(False)))
+        names = sorted(row["check"] for row in failed.collect())  # at most one row per check
+        if names:
+            raise QualityError(names)
+
+    def publish(self, spark: SparkSession, expected_rows: Mapping[str, int] | None = None) -> None:
+        """Name the tables in the session catalog: bronze.*, silver.*, gold.*.
+
+        Refused if a check fails, or if one of the names is taken by a table of somewhere else."""
+        self.check(expected_rows)
+        foreign = [t for t in TABLES if not self._ours(spark, t.replace("/", "."))]
+        if foreign:
+            raise ValueError(f"the catalog has other tables of these names: {', '.join(foreign)}")
         for table in TABLES:
             layer, name = table.split("/")
             spark.sql(f"CREATE SCHEMA IF NOT EXISTS {layer}")
             spark.sql(f"DROP TABLE IF EXISTS {layer}.{name}")
             path = f"{self.folder.root}/{table}".replace("'", "\\'")
             spark.sql(f"CREATE TABLE {layer}.{name} USING parquet LOCATION '{path}'")
+
+    def _ours(self, spark: SparkSession, table: str) -> bool:
+        """Whether there is no such table, or it lies under this root."""
+        if not spark.catalog.tableExists(table):
+            return True
+        about = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").first()
+        plain = lambda path: path.removeprefix("file:").replace("//", "/").rstrip("/")
+        return about is not None and plain(about.data_type).startswith(f"{plain(self.folder.root)}/")

@@ -11,24 +11,39 @@ RAW_COLUMNS = (
     "Product_Name", "Sales", "Quantity", "Discount", "Profit",
 )
 
+#: Holds a line that does not have the header's fields.
+MALFORMED = "malformed_line"
+
 
 def raw_schema(columns: Sequence[str] = RAW_COLUMNS) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
 def read_raw(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str] | None = None,
+    multi_line: bool = False,
+    keep_malformed: bool = False,
 ) -> DataFrame:
     """Read order lines as text. Without ``columns`` the names come from the header line, so files
     with extra columns keep them. A missing field is NULL, a quoted empty one is ''.
 
+    A file whose header differs from the others' fails the job, and so does a line with too few or
+    too many fields; with ``keep_malformed`` such a line comes whole in the column MALFORMED.
+
     Leave ``multi_line`` off unless fields hold line breaks: such files cannot be split."""
     reader = spark.read.option("header", True).option("inferSchema", False)
     reader = reader.option("multiLine", multi_line).option("escape", '"')
+    if columns is None:
+        columns = reader.csv(path).columns
+    schema = raw_schema([*columns, MALFORMED] if keep_malformed else columns)
+    # Every header must have these names in this order.
+    reader = reader.schema(schema).option("enforceSchema", False)
+    reader = reader.option("mode", "PERMISSIVE" if keep_malformed else "FAILFAST")
+    reader = reader.option("columnNameOfCorruptRecord", MALFORMED)
     # With the default null marker (the empty string) quoted empty fields would turn into NULL.
     reader = reader.option("nullValue", r"\N")
-    if columns is not None:
-        reader = reader.schema(raw_schema(columns)).option("enforceSchema", False)
     return reader.csv(path)
 
 

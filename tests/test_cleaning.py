@@ -88,7 +88,12 @@ def test_two_date_spellings(spark):
 
 
 @pytest.mark.parametrize(
-    "change", [{"Postal_Code": "bad"}, {"Sales": "x"}, {"Quantity": "2.5"}, {"Order_Date": "soon"}]
+    "change",
+    [
+        {"Postal_Code": "bad"}, {"Postal_Code": "1e12"}, {"Postal_Code": "NaN"}, {"Postal_Code": "99999999999.0"},
+        {"Postal_Code": "10001.5"}, {"Sales": "x"}, {"Sales": "1.23456789"}, {"Profit": "-0.1234567"},
+        {"Discount": "0.00001"}, {"Quantity": "2.5"}, {"Order_Date": "soon"},
+    ],
 )
 def test_bad_value_fails_or_is_set_aside(spark, change):
     rows = raw(spark, {}, change)

@@ -38,11 +38,10 @@ def test_global_row_number(lines, folder, slices):
     assert ours.columns == [*lines.columns, "r"]
 
 
-@pytest.mark.parametrize("limit", [10, 1500, 10**6])
-def test_grouped_row_number(lines, folder, limit):
-    """All groups across slices, only the hot one, none."""
+@pytest.mark.parametrize("slices", [1, 8, 40])
+def test_grouped_row_number(lines, folder, slices):
     order = [F.col(c) for c in ORDER]
-    ours = O.grouped_row_number(lines, ["grp"], order, "r", folder, 40, limit)
+    ours = O.grouped_row_number(lines, ["grp"], order, "r", folder, slices)
     plain = lines.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(*order)))
     assert keyed(ours, "r") == keyed(plain, "r")
 
@@ -79,6 +78,34 @@ def test_running_sum_with_peers(lines, folder, slices):
     assert keyed(ours, "s") == keyed(plain, "s")
 
 
+NULLS = {
+    "every other": lambda i: i % 2 == 0,
+    "first slice": lambda i: i < 9,
+    "first": lambda i: i == 0,
+    "last": lambda i: i == 39,
+    "middle slice": lambda i: 15 <= i < 25,
+    "one group": lambda i: i % 3 == 1,
+    "all": lambda i: True,
+}
+
+
+@pytest.mark.parametrize("slices", [1, 8, 40])
+@pytest.mark.parametrize("where", NULLS)
+def test_running_sums_over_nulls(spark, folder, where, slices):
+    """As plain windows: a NULL adds nothing, and before the first value the sum is NULL."""
+    rows = [(i, i % 3, None if NULLS[where](i) else Decimal(i % 7)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, grp int, v decimal(18,4)")
+    in_order = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    ours = O.running_sum(df, "v", [F.col("id")], "s", folder, slices=slices)
+    assert keyed(ours, "s") == keyed(df.withColumn("s", F.sum("v").over(in_order)), "s")
+    grouped = O.running_sum(df, "v", [F.col("id")], "s", folder, ["grp"], slices)
+    per_group = Window.partitionBy("grp").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    assert keyed(grouped, "s") == keyed(df.withColumn("s", F.sum("v").over(per_group)), "s")
+    peers = O.running_sum_with_peers(df, "v", "s", folder, slices)
+    plain = df.withColumn("s", F.sum("v").over(Window.orderBy(F.col("v").desc_nulls_last())))
+    assert keyed(peers, "s") == keyed(plain, "s")
+
+
 def test_rows_and_range_differ_on_ties(spark, folder):
     df = spark.createDataFrame([(1, Decimal(5)), (2, Decimal(5)), (3, Decimal(2))], "id int, v decimal(18,4)")
     rows = O.running_sum(df, "v", [F.col("v").desc(), F.col("id")], "s", folder)

@@ -81,3 +81,15 @@ def test_profile(tables):
 def test_dimension_sizes(tables):
     sizes = {r.dimension: r.row_count for r in Q.dimension_counts(tables).collect()}
     assert sizes == {"dim_customer": 150, "dim_product": 200, "dim_geography": 169, "dim_date": 1084}
+
+
+def test_key_types_of_an_empty_fact(tables):
+    wrong = tables["fact_sales"].limit(0).withColumn("Geo_Key", F.col("Geo_Key").cast("string"))
+    rows = Q.check_key_types({**tables, "fact_sales": wrong}).collect()
+    assert len(rows) == 4 and [r["check"] for r in rows if not r.passed] == ["fact_sales.Geo_Key type"]
+    assert {r.rows_checked for r in rows} == {0}
+
+
+def test_expected_dimension_sizes(tables):
+    report = Q.quality_report(tables, {"dim_customer": 150, "dim_product": 7})
+    assert failed(report) == {"dim_product expected rows"}

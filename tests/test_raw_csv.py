@@ -1,0 +1,59 @@
+"""Raw files with irregular lines and headers."""
+
+import pytest
+
+from tallyhouse.plans import silver
+from tallyhouse.plans.warehouse import Warehouse
+from tallyhouse.sources.raw_csv import MALFORMED, RAW_COLUMNS, read_raw
+from tallyhouse.sources.shared import SharedFolder
+
+
+@pytest.fixture()
+def folder_of(tmp_path):
+    def write(*files):
+        for i, lines in enumerate(files):
+            (tmp_path / f"part{i}.csv").write_text("\n".join(lines) + "\n")
+        return str(tmp_path)
+
+    return write
+
+
+GOOD = ["City,Order_ID,Sales", "Paris,O1,4.5"]
+
+
+def test_regular_files(spark, folder_of):
+    rows = read_raw(spark, folder_of(GOOD, GOOD)).collect()
+    assert [tuple(r) for r in rows] == [("Paris", "O1", "4.5")] * 2
+
+
+def test_headers_in_another_order_fail(spark, folder_of):
+    path = folder_of(GOOD, ["Order_ID,City,Sales", "O2,Rome,1"])
+    with pytest.raises(Exception, match="(?i)header"):
+        read_raw(spark, path).collect()
+
+
+@pytest.mark.parametrize("line", ["Rome,O2,1,surplus", "Rome,O2"])
+def test_irregular_lines_fail_or_are_kept_whole(spark, folder_of, line):
+    path = folder_of([*GOOD, line])
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_raw(spark, path).collect()
+    rows = read_raw(spark, path, keep_malformed=True).collect()
+    assert {r[MALFORMED] for r in rows} == {None, line}
+
+
+def test_lenient_warehouse_sets_lines_aside(spark, folder_of):
+    values = dict.fromkeys(RAW_COLUMNS, "x") | {
+        "Order_Date": "2016-11-08", "Ship_Date": "11/9/2016", "Sales": "1.5", "Quantity": "2", "Discount": "0",
+        "Profit": "0.5", "Postal_Code": "10001.0",
+    }
+    line = lambda **change: ",".join((values | change).values())
+    path = folder_of([",".join(RAW_COLUMNS), line(), line(Order_ID="y", Sales="?"), line() + ",more", "too,few"])
+    house = Warehouse.from_csv(spark, path, SharedFolder.of(spark).root, lenient=True).build(check=True)
+    assert house.silver.count() == house.fact_sales.count() == 1
+    assert {tuple(r.failed_columns) for r in house.rejected.collect()} >= {("Sales",)}
+    assert house.rejected.count() == 3
+    assert house.bronze.count() == 4
+    strict = Warehouse.from_csv(spark, path, SharedFolder.of(spark).root)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        strict.build()
+    assert silver.castable(house.bronze)[0].columns == list(RAW_COLUMNS)

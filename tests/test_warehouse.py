@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.__main__ import main
 from tallyhouse.catalogue import QUERIES
-from tallyhouse.plans.warehouse import GOLD, TABLES, Warehouse
+from tallyhouse.plans.warehouse import GOLD, TABLES, QualityError, Warehouse
 from tallyhouse.sources.raw_csv import write_raw
 from tallyhouse.sources.shared import SharedFolder, shared_root
 
@@ -34,7 +34,9 @@ def test_csv_to_gold_and_back(spark, house, csv):
 
 def test_publish(spark, csv):
     root = SharedFolder.of(spark).root
-    house = Warehouse.from_csv(spark, csv, root).build()
+    house = Warehouse.from_csv(spark, csv, root).build(check=True)
+    for table in TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {table.replace('/', '.')}")
     house.publish(spark)
     house.publish(spark)
     for table in TABLES:
@@ -43,6 +45,30 @@ def test_publish(spark, csv):
     assert total.first()[0] == house.fact_sales.select(F.sum("Sales")).first()[0]
 
 
+def test_publish_refuses_bad_data(spark, house):
+    root = SharedFolder.of(spark).root
+    bad = Warehouse(root, lambda: house.bronze)
+    bad.build()
+    bad._tables["gold/dim_customer"] = house.dim_customer.filter("Customer_ID <> 'CU-1'")
+    with pytest.raises(QualityError) as refused:
+        bad.publish(spark)
+    assert "fact_sales.Customer_ID in dim_customer" in refused.value.failed
+    with pytest.raises(QualityError, match="expected rows"):
+        house.check({"dim_date": 1})
+
+
+def test_publish_spares_foreign_tables(spark, csv):
+    house = Warehouse.from_csv(spark, csv, SharedFolder.of(spark).root).build()
+    other = SharedFolder.of(spark).fresh("foreign")
+    spark.sql("CREATE SCHEMA IF NOT EXISTS gold")
+    spark.sql("DROP TABLE IF EXISTS gold.dim_date")
+    spark.range(3).write.option("path", other).saveAsTable("gold.dim_date")
+    with pytest.raises(ValueError, match="gold/dim_date"):
+        house.publish(spark)
+    assert spark.table("gold.dim_date").count() == 3
+    spark.sql("DROP TABLE gold.dim_date")
+
+
 def test_layers_are_built_on_demand(spark, house):
     folder = SharedFolder.of(spark)
     lazy = Warehouse(folder.root, lambda: house.bronze)
