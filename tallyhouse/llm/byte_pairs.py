@@ -10,6 +10,7 @@ an Aho-Corasick automaton over the bytes, written as Latin-1 characters.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +27,16 @@ class BytePairs:
             pairs = [line.split() for line in lines if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
+        self.size = {rank: len(token) for token, rank in self.ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+            self.automaton.add_word(token.decode("latin-1"), (rank, len(token) - 1))
         self.automaton.make_automaton()
         self.pattern = regex.compile(pattern)
         # Between a letter and " letter" the pattern always begins a new match.
         self.border = regex.compile(r"(?<=\p{L})(?= \p{L})")
         self.fits: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.prefixes: dict[int, int | None] = {}
         self.pieces: dict[str, bytes] = {}
         self.most = most_pieces
 
@@ -51,46 +53,45 @@ class BytePairs:
         return [self.ranks[p] for p in parts]
 
     def compatible(self, a: int, b: int) -> bool:
+        """Whether the merges leave the two tokens as they are; -1 stands for the start of a piece."""
         known = self.fits.get((a, b))
         if known is None:
             if len(self.fits) > self.most:
                 self.fits.clear()
-            known = self.fits[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            pair = [b] if a < 0 else [a, b]
+            known = self.fits[a, b] = self.merged(b"".join(map(self.bytes_of.__getitem__, pair))) == pair
         return known
 
-    def reachable(self, token: int) -> bool:
-        known = self.whole.get(token)
-        if known is None:
-            known = self.whole[token] = self.merged(self.bytes_of[token]) == [token]
-        return known
+    def shorter(self, token: int) -> int | None:
+        """The longest token that is a proper prefix of this one."""
+        if token not in self.prefixes:
+            data = self.bytes_of[token]
+            self.prefixes[token] = next((self.ranks[p] for k in range(len(data) - 1, 0, -1) if (p := data[:k]) in self.ranks), None)
+        return self.prefixes[token]
 
     def encode_piece(self, data: bytes) -> list[int]:
         if data in self.ranks:  # a whole token needs no merges
             return [self.ranks[data]]
-        # Per start, the tokens there from short to long.
-        at: list[list[tuple[int, int]]] = [[] for _ in data]
-        for end, (token, length) in self.automaton.iter(data.decode("latin-1")):
-            if length == 1 or self.reachable(token):
-                at[end - length + 1].append((token, length))
-        n, place = len(data), 0
-        dead = bytearray(n + 1)
-        chosen: list[tuple[int, int]] = []
-        left = [len(x) for x in at]  # candidates not yet tried at a place
+        n, size, compatible = len(data), self.size, self.compatible
+        longest = [0] * n  # token at each place; matches come by their ends, so the last one is the longest
+        for end, (token, back) in self.automaton.iter(data.decode("latin-1")):
+            longest[end - back] = token
+        dead = bytearray(n + 1)  # places from which no way leads to the end
+        chosen: list[int] = []
+        place, last, token = 0, -1, longest[0]
         while place < n:
-            last = chosen[-1][0] if chosen else None
-            while left[place]:
-                left[place] -= 1
-                token, length = at[place][left[place]]
-                if not dead[place + length] and (last is None or self.compatible(last, token)):
-                    chosen.append((token, length))
-                    place += length
-                    if place < n:
-                        left[place] = len(at[place])
-                    break
-            else:
+            end = place + size[token]
+            if not dead[end] and compatible(last, token):
+                chosen.append(token)
+                place, last = end, token
+                token = longest[end] if end < n else -1
+                continue
+            while (token := self.shorter(token)) is None:
                 dead[place] = 1
-                place -= chosen.pop()[1]
-        return [token for token, _ in chosen]
+                token = chosen.pop()
+                place -= size[token]
+                last = chosen[-1] if chosen else -1
+        return chosen
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
@@ -102,7 +103,7 @@ class BytePairs:
                 self.pieces.clear()
                 new = set(found)
             for piece in new:
-                self.pieces[piece] = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+                self.pieces[piece] = struct.pack(f"<{len(ids := self.encode_piece(piece.encode()))}I", *ids)
             coded.append(b"".join(map(self.pieces.__getitem__, found)))
         return b"".join(coded)
 
