@@ -88,10 +88,10 @@ def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary.cast(pa.large_binary()), tokens, np.diff(before) + 1
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterator[pa.RecordBatch], column: int, rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Parts of batches of at most ``rows`` rows and about 4 MB in ``column``; a longer text is a part by itself."""
     for batch in batches:
-        sizes = np.cumsum([len(t or "") for t in batch.column(column).to_pylist()])
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
             base = sizes[start - 1] if start else 0

@@ -81,17 +81,23 @@ def category_performance(fact: DataFrame, product: DataFrame) -> DataFrame:
 
 
 def segment_performance(fact: DataFrame, customer: DataFrame) -> DataFrame:
-    """Lines collapse to (customer, order) first: the two distinct counts run over orders."""
-    orders = fact.groupBy("Customer_ID", "Order_ID").agg(*_totals())
-    per_segment = (
-        orders.join(customer.select("Customer_ID", "Segment"), "Customer_ID")
+    """Sums and customers from one row per customer, orders from distinct (segment, order) pairs:
+    no row is multiplied to count two things at once."""
+    segments = customer.select("Customer_ID", "Segment")
+    sums = (
+        fact.groupBy("Customer_ID").agg(*_totals())
+        .join(segments, "Customer_ID")
         .groupBy("Segment")
-        .agg(
-            *_totals(),
-            F.count_distinct("Order_ID").alias("orders"),
-            F.count_distinct("Customer_ID").alias("customers"),
-        )
+        .agg(*_totals(), F.count("Customer_ID").alias("customers"))
+    )
+    orders = (
+        fact.select("Customer_ID", "Order_ID").distinct()
+        .join(segments, "Customer_ID")
+        .select(F.col("Segment").alias("in_segment"), "Order_ID").distinct()
+        .groupBy("in_segment")
+        .agg(F.count("Order_ID").alias("orders"))
     )
+    per_segment = sums.join(orders, F.col("Segment").eqNullSafe(F.col("in_segment")))
     return per_segment.select(
         F.col("Segment").alias("segment"),
         money(F.col("sales")).alias("total_sales"),

@@ -34,6 +34,11 @@ class SharedFolder:
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         return self._write(df, self.fresh(label))
 
+    def close(self, spark: SparkSession) -> None:
+        """Remove what ``keep`` has written; tables read from it are of no use afterwards."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/scratch")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def replace(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as table ``name``, overwriting an earlier build, and read it back."""
         return self._write(df, f"{self.root}/{name}")

@@ -25,6 +25,10 @@ def test_no_python_workers(house):
         assert "Python" not in text and "InPandas" not in text, name
 
 
+def test_distinct_counts_do_not_multiply_rows(house):
+    assert "Expand" not in plan(QUERIES["segment_performance"](house))
+
+
 def test_dedup_limits_before_the_shuffle(house):
     text = plan(S.silver_sales(house.bronze))
     assert text.count("WindowGroupLimit") == 2 and text.count("Exchange") == 1

@@ -1,5 +1,7 @@
 """Building, rebuilding, opening and publishing a warehouse, and the command line."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,12 @@ def test_shared_folder_comes_from_the_session(spark):
     configured = spark.conf.get("spark.checkpoint.dir")
     assert shared_root(spark) == configured
     assert SharedFolder.of(spark).root.startswith(configured + "/")
+
+
+def test_close_removes_working_tables_only(spark, folder):
+    folder.replace(spark.range(3), "kept")
+    folder.keep(spark.range(3), "working")
+    folder.close(spark)
+    folder.close(spark)
+    assert folder.read(spark, "kept").count() == 3
+    assert [p.name for p in Path(folder.root.removeprefix("file:")).iterdir()] == ["kept"]
