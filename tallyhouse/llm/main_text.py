@@ -55,6 +55,7 @@ class Node:
 class Block:
     text: str
     inside: Node
+    worth: float
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -77,9 +78,9 @@ def parse(page: str | None) -> list[Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                blocks.append(Block(text, here))
                 # Links weigh against a container; what stands deeper counts half a level up.
                 worth, node = len(text) - 2.0 * links, here
+                blocks.append(Block(text, here, worth))
                 while node is not None and abs(worth) >= 1:
                     node.score += worth
                     # A paragraph is no container: its parent gets the whole of it.
@@ -180,10 +181,29 @@ def containers(block: Block) -> Iterator[Node]:
 
 
 def best_path(blocks: list[Block]) -> tuple[str, float] | None:
-    """Path and score of the best container; of equal ones the first in code point order."""
-    found = {id(n): n for b in blocks for n in containers(b)}
+    """Path of the whole around the best container, and that one's score; of equal ones the first in code point order."""
+    found: dict[int, Node] = {}
+    worth: defaultdict[int, float] = defaultdict(float)
+    for b in blocks:
+        for n in containers(b):
+            found[id(n)] = n
+            worth[id(n)] += b.worth
     best = min(found.values(), key=lambda n: (-n.score, n.path), default=None)
-    return None if best is None else (best.path, best.score)
+    return None if best is None else (_whole(best, worth).path, best.score)
+
+
+def _whole(best: Node, worth: dict[int, float]) -> Node:
+    """The highest container around ``best`` that adds more text than links: what is beside the largest section belongs
+    to it. An article, and then a main element, is taken as it is, and nothing outside of main is."""
+    around = [best]
+    while around[-1].parent is not None:
+        around.append(around[-1].parent)
+    last = {n.tag: i for i, n in enumerate(around)}  # of each tag the outermost
+    at = last.get("article", last.get("main", 0))
+    for i in range(at + 1, last.get("main", at if "article" in last else len(around) - 1) + 1):
+        if around[i].tag not in _LEAVES and worth[id(around[i])] > worth[id(around[at])]:
+            at = i
+    return around[at]
 
 
 def text_below(blocks: list[Block], path: str | None) -> str:

@@ -72,3 +72,16 @@ def test_whole_table_against_its_template(spark):
         article = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
         blocks = (" ".join(html.unescape(re.sub("<[^>]+>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", article))
         assert r.text == "\n\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<body><div class=ad>x</div><article><h1>T</h1><section class=intro><p>{3}</p></section><section class=body><p>{6}</p></section>"
+     "<section class=end><p>{1}</p></section></article><p>Imprint of the house</p>", "T|{3}|{6}|{1}"),
+    ("<body><article><h1>T</h1><p>{1}</p><div class=body><p>{3}</p><p>{3}</p></div></article>", "T|{1}|{3}|{3}"),
+    ("<body><div class=a><h1>T</h1><div class=b><p>{6}</p></div><div class=c><p>{2}</p></div></div><div><a href=/>{9}</a></div>", "T|{6}|{2}"),
+    ("<body><p>Imprint</p><main><h1>T</h1><article><p>{6}</p></article></main>", "T|{6}"),
+])
+def test_what_stands_beside_the_largest_section_stays(spark, folder, page, text):
+    page, text = (s.format(*(f"part{i} " * 20 * i + "end" for i in range(10))) for s in (page, text))
+    rows = texts(spark, folder, [(i, "http://a.test/", page, "h", 1) for i in range(2)])
+    assert [r.text.split("\n\n") for r in rows] == [text.split("|")] * 2
