@@ -23,7 +23,7 @@ from tallyhouse.llm.link_graph import host_and_path
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-DROPPED = RAW | frozenset("head nav header footer aside form button select template svg canvas object video audio menu dialog".split())
+DROPPED = RAW | frozenset("head nav header footer aside button select template svg canvas object video audio menu dialog".split())
 BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption "
     "blockquote pre figure figcaption address details summary center hgroup fieldset hr".split()
@@ -31,10 +31,12 @@ BLOCKS = frozenset(
 # What an opening tag closes if it is still open, and where the search for it stops.
 CLOSES = {"li": ("li", {"ul", "ol"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr", {"table"})}
 NOT_TEXT = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|"
+    r"(?i)(?<!\S)(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|"
     r"side|aside|header|masthead|footer|cookies?|consent|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|"
-    r"signup|login|search|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|respond)(?=$|[\s_-])"
+    r"signup|login|search|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|respond)(?!\S)"
 )
+# What speaks for the text around it, and the characters of text that make a page of an unwanted element.
+MARKS, LEAST_TEXT = frozenset("article main h1".split()), 200
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 
 _MARKUP = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'](?=[^<\"']*>))*)>", re.S)
@@ -42,12 +44,23 @@ _ATTRIBUTE = re.compile(r"""(?i)(?<![\w-])(class|id|role|hidden)(?:\s*=\s*(?:"([
 _NUMBERS = re.compile(r"\d+")
 
 
+@dataclass
+class Suspect:
+    """An element that is dropped for its class, id, role or being a form, unless the page's text is in it."""
+
+    outer: Suspect | None
+    form: bool
+    chars: int = 0  # of text that is no link
+    marks: frozenset[str] = frozenset()
+
+
 @dataclass
 class Node:
     tag: str
     path: str
     parent: Node | None
     dropped: bool
+    suspect: Suspect | None = None  # what it is dropped for
     score: float = 0.0
 
 
@@ -69,9 +82,38 @@ def _step(tag: str, classes: str) -> str:
 
 def parse(page: str | None) -> list[Block]:
     """Blocks of text in page order, without those in dropped elements; nodes have scores."""
-    page = page or ""
+    kept: set[int] = set()
+    while True:
+        blocks, more = _parse(page or "", kept)
+        if more <= kept:
+            return blocks
+        kept |= more
+
+
+def _holding(suspects: dict[int, Suspect], chars: int, marks: set[str]) -> set[int]:
+    """Numbers of those that hold the page's text. ``chars`` and ``marks``: what stands outside of all."""
+    total = chars + sum(s.chars for s in suspects.values())
+    for s in reversed(suspects.values()):
+        if s.outer is not None:
+            s.outer.chars += s.chars
+            s.outer.marks |= s.marks
+
+    def holds(s: Suspect) -> bool:
+        if s.marks & {"main", "h1"} or s.marks and not marks:
+            return True
+        if s.chars < LEAST_TEXT:
+            return False
+        return s.form and 2 * s.chars > total or chars == 0 and 2 * s.chars > total and (s.outer is None or s.outer.chars == s.chars)
+
+    return {k for k, s in suspects.items() if holds(s)}
+
+
+def _parse(page: str, kept: set[int]) -> tuple[list[Block], set[int]]:
+    """The blocks if the suspects of these numbers, in page order, are kept, and the numbers of those that should be."""
     root = Node("", "", None, False)
     here, blocks, pieces, links, in_link = root, [], [], 0, False
+    suspects: dict[int, Suspect] = {}
+    number, chars, marks = 0, 0, set()
 
     def flush() -> None:
         nonlocal pieces, links
@@ -88,11 +130,33 @@ def parse(page: str | None) -> list[Block]:
             pieces, links = [], 0
 
     def words(text: str) -> None:
-        nonlocal links
-        if text and not here.dropped:
+        nonlocal links, chars
+        if not text:
+            return
+        if not here.dropped:
             pieces.append(text)
             if in_link:
                 links += len(text)
+            else:
+                chars += len(text.strip())
+        elif here.suspect is not None and not in_link:
+            here.suspect.chars += len(text.strip())
+
+    def inside(tag: str, path: str, attributes: dict[str, str]) -> Node:
+        nonlocal number
+        hard = tag in DROPPED or "hidden" in attributes and tag not in ("html", "body")
+        dropped, suspect = here.dropped or hard, None if hard else here.suspect
+        if not hard and _suspicious(tag, attributes):
+            if number not in kept and (suspect is not None or not dropped):
+                dropped, suspect = True, Suspect(here.suspect, tag == "form" or attributes.get("role", "").lower() == "form")
+                suspects[number] = suspect
+            number += 1
+        if tag in MARKS:
+            if suspect is not None:
+                suspect.marks |= {tag}
+            elif not dropped:
+                marks.add(tag)
+        return Node(tag, path, here, dropped, suspect)
 
     at = 0
     while match := _MARKUP.search(page, at):
@@ -112,14 +176,12 @@ def parse(page: str | None) -> list[Block]:
             words(" ")
         elif tag == "a":
             in_link = not match[1]
-        if tag not in BLOCKS and tag not in DROPPED:
-            attributes = _attributes(match[3]) if match[3] and not match[1] else {}
-            if tag in VOID or match[1] or not _unwanted(attributes):
-                if match[1]:
-                    here = _closed(here, tag, inline=True)
-                continue
-            # An unwanted inline element hides its text, but parts no blocks.
-            here = Node(tag, here.path, here, True)
+        if tag not in BLOCKS and tag not in DROPPED and tag != "form":
+            if match[1]:
+                here = _closed(here, tag, inline=True)
+            elif tag not in VOID and match[3] and _unwanted(attributes := _attributes(match[3])):
+                # An unwanted inline element hides its text, but parts no blocks.
+                here = inside(tag, here.path, attributes)
             continue
         flush()
         in_link = False
@@ -130,23 +192,29 @@ def parse(page: str | None) -> list[Block]:
                 here = _closed_by(here, tag)
             attributes = _attributes(match[3])
             path = f"{here.path}/{_step(tag, attributes.get('class', ''))}"
-            here = Node(tag, path, here, here.dropped or tag in DROPPED or _unwanted(attributes) and tag not in ("html", "body"))
+            here = inside(tag, path, attributes)
     words(page[at:])
     flush()
-    return blocks
+    return blocks, kept | _holding(suspects, chars, marks) if suspects else kept
 
 
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr caption blockquote pre figcaption ul ol dl table thead tbody tfoot".split())
 
 
-def _unwanted(attributes: dict[str, str]) -> bool:
+def _suspicious(tag: str, attributes: dict[str, str]) -> bool:
+    if tag in ("html", "body"):
+        return False
     return (
-        "hidden" in attributes
+        tag == "form"
         or attributes.get("role", "").lower() in ROLES
         or any(NOT_TEXT.search(attributes.get(k, "")) for k in ("class", "id"))
     )
 
 
+def _unwanted(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or _suspicious("", attributes)
+
+
 def _closed(here: Node, tag: str, inline: bool = False) -> Node:
     """What is open after </tag>: an end without a beginning changes nothing."""
     node = here

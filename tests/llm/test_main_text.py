@@ -85,3 +85,23 @@ def test_what_stands_beside_the_largest_section_stays(spark, folder, page, text)
     page, text = (s.format(*(f"part{i} " * 20 * i + "end" for i in range(10))) for s in (page, text))
     rows = texts(spark, folder, [(i, "http://a.test/", page, "h", 1) for i in range(2)])
     assert [r.text.split("\n\n") for r in rows] == [text.split("|")] * 2
+
+
+LONG = "<p>" + "words of the article " * 20 + "end</p>"
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div class='layout with-sidebar'>{LONG}</div>", LONG),
+    (f"<main class=no-sidebar><h1>T</h1>{LONG}</main>", "<p>T</p>" + LONG),
+    (f"<article class='post tag-social category-alert'>{LONG}</article>", LONG),
+    (f"<div id=search-result-page><div class=ad>x</div>{LONG}</div>", LONG),
+    (f"<form id=f><div class=menu>m</div>{LONG}</form><p>Imprint</p>", LONG + "<p>Imprint</p>"),
+    (f"<form><div class=banner><h1>T</h1></div>{LONG}</form>", "<p>T</p>" + LONG),
+    (f"<div class=modal><div class=overlay>{LONG}</div></div>", LONG),
+    (f"<article><p>Short.</p></article><div id=comments><article>{LONG}</article></div>", "<p>Short.</p>"),
+    (f"<p>Short.</p><div class=sidebar>{LONG}</div><form>f</form>", "<p>Short.</p>"),
+    (f"<div hidden><h1>T</h1>{LONG}</div><header><h1>T</h1></header>", ""),
+    (f"<div class=modal><span class=overlay><i>{LONG}</i></span></div>", LONG),
+])
+def test_no_name_drops_the_text_of_a_page(page, text):
+    assert [b.text for b in mt.parse(page)] == [t.removeprefix("<p>") for t in text.split("</p>")[:-1]]
