@@ -131,17 +131,24 @@ class WordIds:
 
     The tokenizer drops white space, never joins characters across it, and folds case, so a text's ids are
     those of its words, and a word's those of its core in lower case and of the ASCII marks behind it if
-    the core ends in an ASCII letter or digit. What has been encoded once is looked up: a word has a
+    the core ends in an ASCII letter or digit. With ``special``, the strings of special tokens have those
+    tokens' ids, as by the library's default, and a word with one is encoded whole; otherwise they are
+    ordinary text. What has been encoded once is looked up: a word has a
     number, and numbers have places in one pool of ids. Words seen once only make room when it is full."""
 
     # Marks that are neither letters nor digits, without the apostrophe, which begins contractions.
     MARKS = b""".,!#$%&*|-+()"=<>/:;?@_~[]{}"""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 300_000, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        added = self.tokenizer.get_added_tokens_decoder().values() if special else ()
+        # Looked for in lower case, as a core that is not special may become so by folding it.
+        self.special = [t.content.encode().lower() for t in added]
+        if any(len(t.split()) != 1 for t in self.special):
+            raise ValueError("a special token with white space is in no word")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -186,13 +193,13 @@ class WordIds:
     def _learn(self, new: list[bytes]) -> None:
         parts = []
         for w in new:
-            core = w.rstrip(self.MARKS)
+            core = w.rstrip(self.MARKS) if not self._has_special(w) else b""
             parts.append((w, core.lower(), w[len(core) :]) if core[-1:].isalnum() else (w, w, b""))
         fresh = {p for _, core, marks in parts for p in (core, marks)}.difference(self.number)
         alone, letters = [], []
         for part in fresh:
             text = part.decode()
-            (letters if text.isalpha() else alone).append(text)
+            (letters if text.isalpha() and not self._has_special(part) else alone).append(text)
         code: dict[bytes, bytes] = {}
         for i in range(0, len(letters), 4096):
             code.update(self._letters(letters[i : i + 4096]))
@@ -207,6 +214,9 @@ class WordIds:
         self.uses = np.concatenate((self.uses, np.zeros(len(code), np.int64)))
         self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(code.values()), "<u4")))
 
+    def _has_special(self, word: bytes) -> bool:
+        return any(t in word.lower() for t in self.special)
+
     def _code(self, part: bytes, code: dict[bytes, bytes]) -> bytes:
         if (known := code.get(part)) is None:
             n = self.number[part]
@@ -237,7 +247,7 @@ def encoder(path: str) -> WordIds:
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     if path not in _encoders:
-        _encoders[path] = WordIds(path)
+        _encoders[path] = WordIds(path, special=True)
     return _encoders[path]
 
 

@@ -141,3 +141,21 @@ def test_awkward_digests(spark, reference):
 def test_op8_on_a_whole_table(spark, reference):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
     assert sorted(map(tuple, op8_byte_bpe(spark, SMALL).collect())) == sorted(expected_digests(docs, reference))
+
+
+SPECIAL = ["a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|>y.", "Don't<|startoftext|><|endoftext|>!!", "A<|ENDOFTEXT|>b <|EndOfText|>.",
+           "<|endoftext|", "é<|endoftext|>́ İ<|startoftext|>İ", "(<|endoftext|>)", "<<|endoftext|>>", "\x85<|endoftext|>　z"]
+
+
+def test_special_tokens_as_by_the_librarys_default(spark, folder):
+    tokenizer = Tokenizer.from_file(WORDS)
+    default = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    assert default(SPECIAL[0]) == [320, 49407, 321]
+    ours = packing.WordIds(WORDS, special=True)
+    texts = SPECIAL + scraps(3, 800) + [t + "<|startoftext|>" + t.title() for t in scraps(4, 300)]
+    for text, ids in zip(texts, ours.encode(texts)):
+        assert ids.tolist() == default(text), text
+    path = folder.fresh("files")
+    packing.write_token_files(spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id bigint, text string"), path, WORDS, end_id=2)
+    found = {r.doc_id: r.ids_crc32 for r in packing.read_token_files(spark, path).collect()}
+    assert found == {i: zlib.crc32(np.array([*default(t), 2], "<u4").tobytes()) for i, t in enumerate(SPECIAL)}
