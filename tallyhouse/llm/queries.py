@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyhouse.llm import byte_pairs, exact, identifiers, language_model, link_graph, main_text, mixing, packing, rules, simhash
+from tallyhouse.llm import byte_pairs, exact, identifiers, language_model, link_graph, main_text, mixing, packing, rules, simhash, substrings
 from tallyhouse.llm.common import WORD, SharedFolder
 
 
@@ -85,6 +85,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir), SharedFolder.of(spark))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.cut_repeats(documents(spark, sf_dir), SharedFolder.of(spark))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_token_files": op2_token_files,
@@ -96,4 +101,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_personal_data": op9_personal_data,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_substring_dedup": op13_substring_dedup,
 }

@@ -152,4 +152,35 @@ FROM judged j LEFT JOIN trust_10 t ON t.host = j.host LEFT JOIN distrust_10 d ON
 """
 )
 
-STATEMENTS: dict[str, str] = {"op1_mixing": MIXING, "op5_quality_rules": RULES, "op6_url_filters": URLS, "op10_exact_dedup": EXACT}
+# Every window of 20 words as a text; all but the first of equal ones cover words that go.
+SUBSTRINGS = f"""
+WITH split AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS ws FROM documents
+), spread AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM split
+), starts AS (
+  SELECT doc_id, ws, unnest(range(len(ws) - 19)) AS place FROM split WHERE len(ws) >= 20
+), windows AS (
+  SELECT doc_id, place, row_number() OVER (PARTITION BY array_to_string(ws[place + 1:place + 20], ' ') ORDER BY doc_id, place) AS nth
+  FROM starts
+), marked AS (
+  SELECT s.*, max(w.place) FILTER (w.nth > 1) OVER (
+           PARTITION BY s.doc_id ORDER BY s.place ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM spread s LEFT JOIN windows w USING (doc_id, place)
+), cut AS (
+  SELECT doc_id, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+         string_agg(word, ' ' ORDER BY place) FILTER (NOT gone) AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN cut USING (doc_id)
+"""
+
+STATEMENTS: dict[str, str] = {
+    "op1_mixing": MIXING,
+    "op5_quality_rules": RULES,
+    "op6_url_filters": URLS,
+    "op10_exact_dedup": EXACT,
+    "op13_substring_dedup": SUBSTRINGS,
+}
