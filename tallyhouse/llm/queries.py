@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyhouse.llm import byte_pairs, exact, identifiers, language_model, link_graph, main_text, mixing, packing, rules, simhash, substrings
+from tallyhouse.llm import byte_pairs, exact, identifiers, language_model, link_graph, main_text, mixing, packing, resampling, rules, simhash, substrings, whitening
 from tallyhouse.llm.common import WORD, SharedFolder
 
 
@@ -85,6 +85,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir), SharedFolder.of(spark))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), SharedFolder.of(spark))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"), SharedFolder.of(spark))
+    spread = white.select("*", F.posexplode("whitened").alias("at", "value"))
+    return spread.select(
+        "vec_id",
+        (F.col("at") + 1).cast("int").alias("component"),
+        "n",
+        "deviation",
+        F.col("value").alias("whitened"),
+        F.get("explained", F.col("at")).alias("explained"),
+        "identity_error",
+    )
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.cut_repeats(documents(spark, sf_dir), SharedFolder.of(spark))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -101,5 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_personal_data": op9_personal_data,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_whitening": op12_whitening,
     "op13_substring_dedup": op13_substring_dedup,
 }
