@@ -11,7 +11,8 @@ What goes through a shuffle are hashes, each once per chunk, dealt into buckets
 one per hash sent. A passage that every document has costs one hash per chunk.
 
 Hashes of shorter windows only choose candidates. Windows of full length are equal if 96 bits from two
-independent hashes are: with 10^12 different candidates the chance of any mistake is about 10^-5.
+independent hashes are: with 10^12 different candidates the chance of any mistake is about 10^-5. All
+hashes are sums over bytes or words, made in numpy; no word becomes an object.
 """
 
 from __future__ import annotations
@@ -26,44 +27,56 @@ from pyspark.sql import DataFrame, functions as F
 from tallyhouse.llm.common import SharedFolder
 
 WINDOW, START = 20, 5
-CHUNK_BYTES = 8 << 20
-KNOWN_WORDS = 1 << 18
+CHUNK_BYTES = 4 << 20
 
-# One set of odd factors for each of two independent hashes.
-_FACTORS = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93), (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+_RADIX = 0xD1342543DE82EF95
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+# What each byte adds to a hash, one row for each of two hashes; blanks add nothing.
+_BYTES = np.where(_BLANK, 0, np.random.default_rng(20).integers(1 << 63, size=(2, 256), dtype=np.uint64) | np.uint64(1)).astype(np.uint64)
+_BLOCK = 1 << 20
 
 
-class _Hashes(dict):
-    """Hashes of words, most of which come again and again."""
+class _Powers:
+    """Powers of an odd number modulo 2^64 and their inverses, as many as have been asked for."""
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        value = self[word] = xxh64_intdigest(word)
-        return value
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << (n - 1).bit_length()
+            self.up, self.down = (np.multiply.accumulate(np.append(np.uint64(1), np.full(size - 1, x, np.uint64))) for x in (_RADIX, pow(_RADIX, -1, 1 << 64)))
+        return self.up[:n], self.down[:n]
 
 
-def _joined(left: np.ndarray, right: np.ndarray, lane: int) -> np.ndarray:
+_powers = _Powers()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """In place: each bit depends on all."""
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(_ODD[2])
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Names of pairs of names."""
-    a, b, c = map(np.uint64, _FACTORS[lane])
     out = right << np.uint64(31)
     out |= right >> np.uint64(33)
-    out *= b
-    out += left * a
-    out ^= out >> np.uint64(32)
-    out *= c
-    out ^= out >> np.uint64(29)
-    return out
+    out *= np.uint64(_ODD[1])
+    out += left * np.uint64(_ODD[0])
+    return _mixed(out)
 
 
-def _doubled(names: np.ndarray, length: int, wanted: int, lane: int) -> np.ndarray:
-    """Names of windows of ``wanted`` words from those of ``length`` words, at most half as long."""
+def _doubled(names: np.ndarray, length: int, wanted: int) -> np.ndarray:
+    """Names of windows of ``wanted`` words from those of ``length`` words."""
     while 2 * length <= wanted:
-        names, length = _joined(names[:-length], names[length:], lane), 2 * length
+        names, length = _joined(names[:-length], names[length:]), 2 * length
     rest = wanted - length
-    return _joined(names[:-rest], names[rest:], lane) if rest else names
+    return _joined(names[:-rest], names[rest:]) if rest else names
 
 
 def _sliding(pick: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
@@ -93,22 +106,49 @@ def _borders(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 class Chunk:
     """Documents in order, as one row of words."""
 
-    def __init__(self, texts: Sequence[bytes | None], hashes: _Hashes, window: int):
-        split = [t.split() if t else [] for t in texts]
-        self.counts = np.array([len(w) for w in split], np.int64)
-        self.words = [w for ws in split for w in ws]
-        self.ends = np.cumsum(self.counts)
-        self.window = window
-        n = len(self.words)
-        self.names = np.fromiter(map(hashes.__getitem__, self.words), np.uint64, n)
+    def __init__(self, texts: pa.StringArray, window: int):
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        self.data = data[offsets[0] : offsets[-1]]
+        self.borders = offsets.astype(np.int64) - offsets[0]
+        inside = np.append(~_BLANK[self.data], False)
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        borders = self.borders[:-1]
+        begins[borders] = inside[borders]  # a word at the end of a document ends with it
+        self.begins = np.flatnonzero(begins)
+        self.at = np.searchsorted(self.begins, self.borders)  # the words of document i are at[i] to at[i + 1]
+        self.window, self.n = window, len(self.begins)
+        last = np.repeat(self.at[1:], np.diff(self.at))
         # Windows that no end of a document cuts.
-        self.open = (np.arange(n) + window <= np.repeat(self.ends, self.counts))[: max(0, n - window + 1)]
-        if not self.open.any():
-            self.open = self.open[:0]
+        self.open = (np.arange(self.n) + window <= last)[: max(0, self.n - window + 1)]
+        self.length, self.names = 0, np.zeros(0, np.uint64)
+
+    def _hashes(self, row: int) -> np.ndarray:
+        """Of each word, made for blocks of bytes that hold whole words."""
+        parts, first = [], 0
+        while first < self.n:
+            begin = self.begins[first]
+            end = max(first + 1, int(np.searchsorted(self.begins, begin + _BLOCK)))
+            stop = self.begins[end] if end < self.n else len(self.data)
+            at = self.begins[first:end] - begin
+            up, down = _powers(int(stop - begin))
+            parts.append(np.add.reduceat(_BYTES[row][self.data[begin:stop]] * up, at) * down[at])
+            first = end
+        return _mixed(np.concatenate([np.zeros(0, np.uint64), *parts]))
+
+    def _named(self, length: int) -> np.ndarray:
+        """Names of all windows of ``length`` words; made from those asked for before."""
+        if not self.length or self.length > length:
+            self.length, self.names = 1, self._hashes(0)
+        if self.length < length:
+            self.length, self.names = length, _doubled(self.names, self.length, length)
+        return self.names
 
     def stand_ins(self, length: int, candidates: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per window its stand-in of ``length`` words; the distinct ones of candidates; those at two places."""
-        names = _doubled(self.names, 1, length, 0) | np.uint64(1)
+        names = self._named(length) | np.uint64(1)
         width = self.window - length + 1
         least = _sliding(np.minimum, names, width)
         edge = np.zeros(width - 1, np.uint64)
@@ -121,29 +161,43 @@ class Chunk:
         """The candidates whose stand-in of ``length`` words is repeated, by the bits that came back."""
         least, distinct, _ = self.stand_ins(length, candidates)
         alive = np.append(_bits(reply, distinct, buckets), False)
-        return candidates & alive[np.searchsorted(distinct, least)]
+        runs = np.flatnonzero(np.append(True, least[1:] != least[:-1]))  # neighbours share their stand-in
+        kept = alive[np.searchsorted(distinct, least[runs])]
+        return candidates & np.repeat(kept, np.diff(np.append(runs, len(least))))
 
     def full(self, candidates: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Candidates sorted by content, then place: places, two hashes, and which are the first of their kind."""
         places = np.flatnonzero(candidates)
-        high = _doubled(self.names, 1, self.window, 0)[places]
-        low = (_doubled(self.names, 1, self.window, 1) >> np.uint64(32)).astype(np.uint32)[places]
+        high = self._named(self.window)[places]
+        up, down = _powers(self.n)
+        sums = np.append(np.uint64(0), np.cumsum(self._hashes(1) * up))
+        low = (((sums[places + self.window] - sums[places]) * down[places]) >> np.uint64(32)).astype(np.uint32)
         order = np.lexsort((low, high))
         places, high, low = places[order], high[order], low[order]
         new = np.ones(len(places), bool)
         new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
         return places, high, low, new
 
-    def removed(self, candidates: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-        """Which words go; ``earlier``: of the distinct candidates, those that an earlier chunk has."""
-        if not candidates.any():
-            return np.zeros(len(self.words), bool)
-        places, _, _, new = self.full(candidates)
-        again = places[~new | earlier[np.cumsum(new) - 1]]
-        steps = np.zeros(len(self.words) + 1, np.int64)
-        np.add.at(steps, again, 1)
-        np.add.at(steps, again + self.window, -1)
-        return np.cumsum(steps[:-1]) > 0
+    def gone(self, again: np.ndarray) -> np.ndarray:
+        """Which words the windows at these places cover."""
+        begin = np.zeros(self.n + self.window, np.int64)
+        begin[again + self.window] = 1
+        so_far = np.cumsum(begin)
+        return so_far[self.window :] > so_far[: self.n]
+
+    def spans(self, gone: np.ndarray) -> Iterator[tuple[int, list[list[int]], bytes]]:
+        """Per document its words, the spans of words that go, and the others, joined by blanks."""
+        data = self.data.tobytes()
+        for i in range(len(self.at) - 1):
+            a, b = self.at[i], self.at[i + 1]
+            steps = np.flatnonzero(np.diff(gone[a:b], prepend=False, append=False)).tolist()
+            text = data[self.borders[i] : self.borders[i + 1]]
+            if steps:
+                # What stays lies between the spans.
+                edges = [0, *steps, int(b - a)]
+                place = lambda k: int(self.begins[a + k] if a + k < b else self.borders[i + 1])
+                text = b" ".join(data[place(x) : place(y)] for x, y in zip(edges[::2], edges[1::2], strict=True) if x < y)
+            yield int(b - a), [steps[k : k + 2] for k in range(0, len(steps), 2)], b" ".join(text.split())
 
 
 def _bits(reply: list[dict] | None, hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -198,11 +252,10 @@ def _opened(
     batches: Iterator[pa.RecordBatch], lengths: Sequence[int], window: int, buckets: int
 ) -> Iterator[tuple[pa.RecordBatch, int, Chunk, np.ndarray]]:
     """Each chunk: where it stands, its words, and its candidates after the replies for ``lengths``."""
-    hashes = _Hashes()
     for batch in batches:
         texts = batch.column("texts")
         for i in range(len(batch)):
-            chunk = Chunk(texts[i].values.cast(pa.binary()).to_pylist(), hashes, window)
+            chunk = Chunk(texts[i].values, window)
             candidates = chunk.open
             for length in lengths:
                 if not candidates.any():
@@ -294,7 +347,7 @@ def cut_repeats(
     or further up in the same one. NULL ids come after all others; rows with one id are ordered by a hash of
     their texts, and of equal rows all but one lose what they share. A NULL, blank or short text (fewer words
     than a window) has no window and loses nothing. Long texts are never split: a task holds one chunk, that
-    is ``chunk_bytes`` or the longest text, about fifteen times over. An empty table gives an empty result.
+    is ``chunk_bytes`` or the longest text, about twenty times over. An empty table gives an empty result.
     Other columns are ignored, whatever their names."""
     if not 0 < start <= window:
         raise ValueError("start must be between 1 and window")
@@ -313,27 +366,23 @@ def cut_repeats(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, chunk, candidates in _opened(batches, narrow, window, buckets):
-            earlier = np.zeros(0, bool)
+            again = np.zeros(0, np.int64)
             if candidates.any():
-                _, hashes, _, new = chunk.full(candidates)
+                places, hashes, _, new = chunk.full(candidates)
                 earlier = _bits(batch.column(f"bits_{window}")[i].as_py(), hashes[new], buckets)
-            gone = chunk.removed(candidates, earlier)
-            spans, kept, n_removed = [], [], []
-            for end, n in zip(chunk.ends.tolist(), chunk.counts.tolist(), strict=True):
-                own = gone[end - n : end]
-                steps = np.flatnonzero(np.diff(own, prepend=False, append=False)).reshape(-1, 2)
-                spans.append([{"first": a, "end": b} for a, b in steps.tolist()])
-                stays = chunk.words[end - n : end] if not len(steps) else [chunk.words[end - n + k] for k in np.flatnonzero(~own)]
-                kept.append(b" ".join(stays))
-                n_removed.append(int(own.sum()))
+                again = places[~new | earlier[np.cumsum(new) - 1]]
+            found = list(chunk.spans(chunk.gone(again)))
+            pairs = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("ids")[i].values, pa.array(chunk.counts), pa.array(n_removed, pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
-                    pa.array(kept, pa.binary()).cast(pa.string()),
+                    batch.column("ids")[i].values,
+                    pa.array([n for n, _, _ in found], pa.int64()),
+                    pa.array([sum(b - a for a, b in spans) for _, spans, _ in found], pa.int64()),
+                    pa.array([[{"first": a, "end": b} for a, b in spans] for _, spans, _ in found], pairs),
+                    pa.array([kept for _, _, kept in found], pa.binary()).cast(pa.string()),
                 ],
                 names=["id", "n_words", "n_removed", "cut", "kept"],
-            )
+            )
 
     schema = f"id {kinds}, n_words bigint, n_removed bigint, cut array<struct<first: bigint, end: bigint>>, kept string"
     return known.mapInArrow(cut, schema).withColumnRenamed("id", id_col)
