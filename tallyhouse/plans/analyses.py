@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyhouse.functions import average, days_between, money, month_end, month_name, percent, ratio
 from tallyhouse.operators.ordering import (
-    global_ntile,
-    peer_totals,
+    Key,
+    first_rows,
+    ntile_scores,
+    peers_within,
     running_sum,
     running_sum_with_peers,
+    tile,
 )
 from tallyhouse.sources.shared import SharedFolder
 
@@ -228,15 +231,15 @@ def top_pct_customers(
     fact: DataFrame, customer: DataFrame, folder: SharedFolder, top: int = TOP_PERCENT
 ) -> DataFrame:
     """Equal spenders are ranked by customer id."""
-    spent = _spend(fact).select("customer_id", F.round("sale_per_cust", 2).alias("spent"))
-    order = [F.col("spent").desc_nulls_last(), F.col("customer_id").asc_nulls_first()]
-    ranked = global_ntile(spent, 100, order, "percentile_rank", folder)
+    rounded = _spend(fact).select("customer_id", F.round("sale_per_cust", 2).alias("spent"))
+    spent = folder.keep(rounded, "spent")
+    best, customers = first_rows(spent, "spent", "customer_id", (top, 100), "place", folder)
+    ranked = best.withColumn("percentile_rank", tile("place", str(customers), 100))
     names = customer.select(
         F.col("Customer_ID").alias("customer_id"), F.col("Customer_Name").alias("customer_name")
     )
     return (
-        ranked.filter(F.col("percentile_rank") <= top)
-        .join(names, "customer_id")
+        ranked.join(names, "customer_id")
         .select(
             "customer_id", "customer_name", money(F.col("spent")).alias("total_spent"),
             "percentile_rank",
@@ -296,12 +299,9 @@ def _pareto(
     of the dimension's rows. Members with equal revenue are counted together, and the member that
     crosses the line is left out."""
     per_member = fact.groupBy(key).agg(F.sum("Sales").alias("revenue"))
-    values = peer_totals(per_member, "revenue", "running", folder)
-    total = values.select(F.sum("peer_sum")).scalar()
-    members = dimension.select(F.count(F.lit(1))).scalar()
-    within = F.col("running") <= F.lit(PARETO_SHARE).cast("decimal(2,1)") * total
-    counted = values.agg(F.coalesce(F.sum(F.when(within, F.col("peers"))), F.lit(0)).alias("n"))
-    return counted.select(percent(ratio(F.col("n"), members)).alias(output))
+    n = peers_within(per_member, "revenue", PARETO_SHARE, folder)
+    members = dimension.agg(F.count(F.lit(1)).alias("members"))
+    return members.select(percent(ratio(F.lit(n).cast("bigint"), F.col("members"))).alias(output))
 
 
 def pareto_customers(fact: DataFrame, customer: DataFrame, folder: SharedFolder) -> DataFrame:
@@ -389,24 +389,20 @@ def rfm_scores(fact: DataFrame, folder: SharedFolder, best_is_high: bool = False
         F.round(F.sum("Sales"), 2).alias("monetary"),
     )
     # A later last order is a smaller recency, so it runs the other way round, NULLs included.
-    last, frequency, monetary = F.col("last_order"), F.col("frequency"), F.col("monetary")
     if best_is_high:
-        orders = {
-            "r_score": last.asc_nulls_last(),
-            "f_score": frequency.asc_nulls_first(),
-            "m_score": monetary.asc_nulls_first(),
+        scores = {
+            "r_score": Key("last_order"),
+            "f_score": Key("frequency", nulls_first=True),
+            "m_score": Key("monetary", nulls_first=True),
         }
     else:
-        orders = {
-            "r_score": last.desc_nulls_first(),
-            "f_score": frequency.desc_nulls_last(),
-            "m_score": monetary.desc_nulls_last(),
+        scores = {
+            "r_score": Key("last_order", descending=True, nulls_first=True),
+            "f_score": Key("frequency", descending=True),
+            "m_score": Key("monetary", descending=True),
         }
-    scored = base
-    for score, order in orders.items():
-        tiebreak = F.col("customer_id").asc_nulls_first()
-        scored = global_ntile(scored, 5, [order, tiebreak], score, folder)
-    return scored
+    kept = folder.keep(base, "customers")
+    return ntile_scores(kept, 5, scores, Key("customer_id", nulls_first=True), folder)
 
 
 def rfm(fact: DataFrame, folder: SharedFolder, best_is_high: bool = False) -> DataFrame:

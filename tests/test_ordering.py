@@ -137,3 +137,109 @@ def test_no_slice_is_swollen_by_a_hot_group(lines, folder):
     order = [F.col("grp").asc_nulls_first(), *[F.col(c) for c in ORDER]]
     sizes = [r["count"] for r in O._sliced(lines, order, 20).groupBy("__slice").count().collect()]
     assert max(sizes) < 2 * lines.count() / 20
+
+
+@pytest.mark.parametrize("slices", [1, 13, 40])
+def test_slices_are_buckets(lines, folder, slices):
+    """Task i of a scan holds slice i, whatever the slice's number hashes to."""
+    kept = O._keep_slices(lines, [F.col(c) for c in ORDER], folder, slices)
+    counted = kept.groupBy("__key", "__slice").count()
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    spread = counted.select("__slice", F.spark_partition_id().alias("task")).collect()
+    assert len(spread) == slices and all(r["__slice"] == r["task"] for r in spread)
+
+
+def test_grouped_numbers_take_one_shuffle(lines, folder):
+    """The lines are shuffled into slices once; the window over slices adds nothing."""
+    numbered = O.grouped_row_number(lines, ["grp"], [F.col(c) for c in ORDER], "r", folder, 8)
+    text = numbered._jdf.queryExecution().executedPlan().toString()
+    above = text.split("Window")[1]
+    assert "Bucketed: true" in above and "Exchange" not in above.split("FileScan")[0]
+
+
+NULL_ORDERS = [O.Key("v", d, n) for d in (False, True) for n in (False, True)]
+
+
+@pytest.mark.parametrize("rows", [0, 1, 4, 5, 6, 57])
+def test_scores_are_tiles(spark, folder, rows):
+    """Ties, NULLs in values and in the tiebreak, every direction, and fewer rows than buckets."""
+    data = [(i if i % 11 else None, None if i % 4 == 0 else Decimal(i % 7), str(i % 3), i * 5 % 3 or None) for i in range(1, rows + 1)]
+    df = spark.createDataFrame(data, "id int, v decimal(9,2), w string, u int").filter("id IS NOT NULL OR u IS NOT NULL").dropDuplicates(["id"])
+    scores = {f"s{k}": key for k, key in enumerate(NULL_ORDERS)} | {"sw": O.Key("w", True), "su": O.Key("u", nulls_first=True)}
+    tie = O.Key("id", nulls_first=True)
+    ours = O.ntile_scores(df, 5, scores, tie, folder)
+    plain = df.withColumns({n: F.ntile(5).over(Window.orderBy(k.order(), tie.order())) for n, k in scores.items()})
+    assert keyed(ours, *scores) == keyed(plain, *scores)
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 5, 100])
+def test_scores_of_lines(lines, folder, buckets):
+    scores = {"a": O.Key("amount", True), "d": O.Key("l_shipdate"), "g": O.Key("grp", nulls_first=True)}
+    ours = O.ntile_scores(lines, buckets, scores, O.Key("id"), folder)
+    plain = lines.withColumns({n: F.ntile(buckets).over(Window.orderBy(k.order(), "id")) for n, k in scores.items()})
+    assert keyed(ours, *scores) == keyed(plain, *scores)
+
+
+@pytest.mark.parametrize("rows,buckets", [(0, 5), (3, 5), (5, 5), (23, 5), (100, 7)])
+def test_tile_ends(rows, buckets):
+    small, larger = divmod(rows, buckets)
+    sizes = [small + (k < larger) for k in range(buckets)]
+    ends = [sum(sizes[: k + 1]) for k in range(buckets - 1)]
+    assert O.tile_ends(rows, buckets) == sorted({e for e in ends if 0 < e < rows})
+
+
+@pytest.mark.parametrize("share", [(5, 100), (99, 100)])
+@pytest.mark.parametrize("kind", ["spread", "ties at the border", "nulls", "few"])
+def test_first_rows(spark, folder, kind, share):
+    size = 7 if kind == "few" else 1000
+    value = {"spread": lambda i: i * 37 % size, "ties at the border": lambda i: 9 if i % 3 else i % 5,
+             "nulls": lambda i: None if i % 10 else i, "few": lambda i: i % 2}[kind]
+    df = spark.createDataFrame([(i, value(i)) for i in range(size)], "id int, v int")
+    found, rows = O.first_rows(df, "v", "id", share, "place", folder)
+    ranked = Window.orderBy(F.col("v").desc_nulls_last(), "id")
+    plain = df.withColumns({"place": F.row_number().over(ranked), "t": F.ntile(share[1]).over(ranked)})
+    assert rows == size
+    assert keyed(found, "place") == keyed(plain.filter(F.col("t") <= share[0]), "place")
+
+
+def test_first_rows_of_nothing(spark, folder):
+    found, rows = O.first_rows(spark.createDataFrame([], "id int, v int"), "v", "id", (5, 100), "place", folder)
+    assert (found.count(), rows) == (0, 0)
+
+
+def test_first_rows_sort_few(lines, folder, monkeypatch):
+    """Only the rows above a bound are sorted, not all."""
+    seen = []
+    real = O.global_row_number
+    monkeypatch.setattr(O, "global_row_number", lambda df, *a: seen.append(df.count()) or real(df, *a))
+    unique = lines.withColumn("v", F.col("id") * 3)
+    found, rows = O.first_rows(unique, "v", "id", (5, 100), "place", folder)
+    assert found.count() == -(-rows // 100) * 5 or found.count() <= rows * 0.06
+    assert seen[0] < rows * 0.1
+
+
+VALUES = {
+    "positive": lambda i: Decimal(i * 31 % 101),
+    "ties": lambda i: Decimal(i % 3),
+    "falls again": lambda i: Decimal(i % 40 - 15),
+    "negative": lambda i: Decimal(-i),
+    "nulls": lambda i: Decimal(i) if i % 2 else None,
+    "all null": lambda i: None,
+    "zero": lambda i: Decimal(0),
+}
+
+
+def test_peers_of_nothing(spark, folder):
+    assert O.peers_within(spark.createDataFrame([], "v decimal(18,4)"), "v", "0.8", folder) == 0
+
+
+@pytest.mark.parametrize("slices", [1, 12])
+@pytest.mark.parametrize("values", VALUES)
+def test_peers_within(spark, folder, values, slices):
+    """As counting a plain RANGE running sum, also where it is not monotonous."""
+    df = spark.createDataFrame([(i, VALUES[values](i)) for i in range(120)], "id int, v decimal(18,4)")
+    running = F.sum("v").over(Window.orderBy(F.col("v").desc_nulls_last()))
+    total = F.sum("v").over(Window.partitionBy())
+    for share in ("0.8", "0.1"):
+        plain = df.select((running <= F.lit(share).cast("decimal(18,6)") * total).alias("w")).filter("w").count()
+        assert O.peers_within(df, "v", share, folder, slices) == plain

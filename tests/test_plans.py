@@ -75,13 +75,27 @@ def test_global_orders_gather_only_slice_summaries(house, name):
             below = " ".join(lines[i + 1 : i + 4])
             assert "partial_" in below or "__slice" in below or "merge_" in below, (name, below)
     if name in ("running_total_by_category", "running_sum_range"):
-        assert any("shufflepartitionidpassthrough" in line for line in lines)
+        assert any("Bucketed: true" in line for line in lines)
 
 
 def test_running_total_is_sorted_without_another_shuffle(house):
     text = plan(QUERIES["running_total_by_category"](house))
     assert "rangepartitioning" not in text  # the range shuffle is behind the written slices
-    assert text.count("REPARTITION_BY_NUM") == 1
+    assert "REPARTITION_BY_NUM" not in text and "Bucketed: true" in text
+
+
+@pytest.mark.parametrize("name", ["duplicate_preview", "running_total_by_category"])
+def test_slices_are_not_shuffled_again(house, name):
+    """What stands between the window over slices and the table of slices is a scan, not an exchange."""
+    text = plan(QUERIES[name](house))
+    below = text[text.index("Window [") :].split("FileScan")[0]
+    assert "Exchange" not in below
+
+
+def test_scores_leave_customers_where_they_are(house):
+    """The three scores are comparisons with borders: no window, no join, no shuffle of customers."""
+    text = plan(QUERIES["rfm_scores"](house))
+    assert "Window" not in text and "Join" not in text and "hashpartitioning" not in text
 
 
 def test_dimension_joins_are_broadcast_only_while_small(spark, house):
