@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 from tallyhouse.catalogue import QUERIES
 from tallyhouse.plans.quality import quality_report
+from tallyhouse.plans.silver import DATE_FORMATS
 from tallyhouse.plans.warehouse import QualityError, Warehouse
 
 
@@ -21,6 +22,9 @@ def main(arguments: list[str] | None = None) -> int:
     build = commands.add_parser("build", help="raw file to bronze, silver and gold tables")
     build.add_argument("--csv", required=True)
     build.add_argument("--lenient", action="store_true", help="set bad lines aside instead of failing")
+    build.add_argument(
+        "--date-format", action="append", help="of dates that are not ISO, as M/d/yyyy (the default) or dd.MM.yyyy; may be repeated"
+    )
     check = commands.add_parser("check", help="constraints and reconciliations")
     query = commands.add_parser("query", help="run one named query")
     query.add_argument("name", choices=sorted(QUERIES))
@@ -31,7 +35,9 @@ def main(arguments: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName(f"tallyhouse {options.command}").getOrCreate()
     if options.command == "build":
-        house = Warehouse.from_csv(spark, options.csv, options.root, options.lenient)
+        house = Warehouse.from_csv(
+            spark, options.csv, options.root, options.lenient, options.date_format or DATE_FORMATS
+        )
         try:
             house.build(check=True)
         except QualityError as error:

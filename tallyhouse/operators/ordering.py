@@ -54,7 +54,7 @@ def _keep_slices(
     buckets = min(wanted, int(conf.get("spark.sql.sources.bucketing.maxBuckets")))
     sliced = _sliced(df, order, slices and buckets if wanted == buckets else buckets)
     keyed = sliced.join(F.broadcast(_slice_keys(df, buckets)), _SLICE)
-    return folder.keep_bucketed(keyed, "sliced", buckets, _KEY)
+    return folder.keep_bucketed(keyed, "sliced", buckets, _KEY, one_per_task=True)
 
 
 def _ranked(

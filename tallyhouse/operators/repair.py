@@ -1,21 +1,56 @@
 """Typing and row repair as column expressions."""
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# What a whole text has to look like to be read as a type. Casts alone are not strict: they take years
+# for dates, text behind a date, and suffixes of numbers.
+_NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+_PATTERNS = {"date": r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", "int": r"[+-]?[0-9]+", "bigint": r"[+-]?[0-9]+", "double": _NUMBER, "decimal": _NUMBER}
+WHOLE_PART = r"[+-]?[0-9]+(?:\.[0-9]*)?"
+
+
+def date_pattern(date_format: str) -> str:
+    """What texts of a date format look like: one or two digits for M and d, as many as letters for others."""
+    parts = re.findall(r"y+|M+|d+|[^yMd]+", date_format)
+    out = []
+    for part in parts:
+        if part[0] in "yMd":
+            if len(part) > 2 and part[0] != "y":
+                raise ValueError(f"names in dates are not supported: {date_format}")
+            out.append("[0-9]{1,2}" if len(part) == 1 else f"[0-9]{{{len(part)}}}")
+        elif re.search("[A-Za-z']", part):
+            raise ValueError(f"only y, M and d stand for parts of a date: {date_format}")
+        else:
+            out.append(re.escape(part))
+    return "".join(out)
+
+
+def full_match(name: str, pattern: str) -> Column:
+    """Whether the whole text, but for outer blanks, has this form."""
+    return F.trim(F.col(name)).rlike(f"^(?:{pattern})\\z")
+
 
 def parse(name: str, data_type: str, date_formats: Sequence[str] = ()) -> Column:
-    """The text column as ``data_type``; NULL where it does not fit. Dates that are not ISO are
-    tried against ``date_formats`` in turn."""
-    value = F.col(name).try_cast(data_type)
+    """The text column as ``data_type``; NULL where the whole text does not fit. Dates that are not ISO are
+    tried against ``date_formats`` (of y, M and d) in turn."""
+    value = F.when(full_match(name, _PATTERNS[data_type.split("(")[0]]), F.col(name).try_cast(data_type))
     if data_type.startswith("decimal"):  # a value that the cast would round doesn't fit
         value = F.when(value == F.col(name).try_cast("decimal(38,18)"), value)
     if data_type == "date":
-        value = F.coalesce(value, *[F.try_to_date(F.col(name), f) for f in date_formats])
+        others = [F.when(full_match(name, date_pattern(f)), F.try_to_date(F.trim(F.col(name)), f)) for f in date_formats]
+        value = F.coalesce(value, *others)
     return value
 
 
+def whole_part(name: str) -> Column:
+    """A number without its fraction, as int; NULL for exponents, suffixes and what is too large."""
+    number = F.regexp_extract(F.trim(F.col(name)), r"^([+-]?[0-9]+)", 1)
+    return F.when(full_match(name, WHOLE_PART), number.try_cast("int"))
+
+
 def misfit(name: str, parsed: Column) -> Column:
     """Whether the column holds text that could not be parsed."""
     return F.col(name).isNotNull() & parsed.isNull()

@@ -3,6 +3,8 @@
 All repairs are column expressions in one projection; only the deduplication shuffles.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhouse.functions.text import sentence_case
@@ -15,8 +17,9 @@ from tallyhouse.operators.repair import (
     replace_sentinels,
     replace_values,
     strict,
+    whole_part,
 )
-from tallyhouse.sources.raw_csv import MALFORMED
+from tallyhouse.sources.raw_csv import MALFORMED, SOURCE
 from tallyhouse.sources.shared import SharedFolder
 
 # What the source data is known to get wrong, and the target types.
@@ -42,29 +45,29 @@ DEDUP_ORDER = (
 )
 
 
-def typed_columns(strictly: bool = True) -> dict[str, Column]:
+def typed_columns(strictly: bool = True, date_formats: Sequence[str] = DATE_FORMATS) -> dict[str, Column]:
     """Text to types. By default a value that does not fit fails the job, else it becomes NULL."""
-    parsed = {c: parse(c, t, DATE_FORMATS) for c, t in TYPES.items()}
+    parsed = {c: parse(c, t, date_formats) for c, t in TYPES.items()}
     return {c: strict(c, p, TYPES[c]) for c, p in parsed.items()} if strictly else parsed
 
 
 def postal_code(strictly: bool = True) -> Column:
-    """'10001.0' to 10001; what is no whole number or too large does not fit."""
-    number = parse("Postal_Code", "double")
-    whole = number.try_cast("int")
-    parsed = F.when(whole.cast("double") == number, whole)
+    """'10001.0' to 10001; a fraction is cut off. What is no plain number or too large does not fit."""
+    parsed = whole_part("Postal_Code")
     return strict("Postal_Code", parsed, "int") if strictly else parsed
 
 
-def castable(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
+def castable(
+    bronze: DataFrame, date_formats: Sequence[str] = DATE_FORMATS
+) -> tuple[DataFrame, DataFrame]:
     """Raw lines that ``repaired`` accepts, and the rejected ones with the columns at fault.
 
-    Lines that the reader kept as malformed are among the rejected."""
-    parsed = typed_columns(False) | {"Postal_Code": postal_code(False)}
+    Lines that the reader kept as malformed are among the rejected, which keep the name of their file."""
+    parsed = typed_columns(False, date_formats) | {"Postal_Code": postal_code(False)}
     if MALFORMED in bronze.columns:
         parsed |= {MALFORMED: F.lit(None).cast("string")}
     good, rejected = quarantine(bronze, parsed)
-    return good.drop(MALFORMED), rejected
+    return good.drop(MALFORMED, SOURCE), rejected
 
 
 def customer_name() -> Column:
@@ -91,10 +94,10 @@ def category() -> Column:
     return replace_values(F.col("Category"), CATEGORY_CORRECTIONS)
 
 
-def repaired(bronze: DataFrame) -> DataFrame:
+def repaired(bronze: DataFrame, date_formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
     """Every type fixed and every value repaired; repeated lines still present."""
     return bronze.withColumns(
-        typed_columns()
+        typed_columns(date_formats=date_formats)
         | {
             "Postal_Code": postal_code(),
             "Customer_Name": customer_name(),
@@ -115,5 +118,5 @@ def duplicate_preview(lines: DataFrame, folder: SharedFolder) -> DataFrame:
     return grouped_row_number(lines, LINE_KEY, order, "rn", folder)
 
 
-def silver_sales(bronze: DataFrame) -> DataFrame:
-    return dedup(repaired(bronze))
+def silver_sales(bronze: DataFrame, date_formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+    return dedup(repaired(bronze, date_formats))

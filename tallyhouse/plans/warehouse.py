@@ -1,6 +1,12 @@
-"""The layers as tables: bronze (raw text), silver (clean lines), gold (star schema)."""
+"""The layers as tables: bronze (raw text), silver (clean lines), gold (star schema).
 
-from collections.abc import Callable, Mapping
+Every build writes to a folder of its own under the root and counts only when it is complete: a row in the
+table of builds, which Spark adds in one step, makes it the current one. Until then, and if it fails or is
+killed, readers and published tables keep the build before."""
+
+import time
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,6 +21,7 @@ BRONZE = "bronze/sales_lines"
 REJECTED = "bronze/rejected_lines"
 SILVER = "silver/sales"
 GOLD = ("dim_customer", "dim_product", "dim_geography", "dim_date", "fact_sales")
+BUILDS = "complete_builds"
 TABLES = (BRONZE, SILVER, *(f"gold/{t}" for t in GOLD))
 
 
@@ -32,26 +39,41 @@ class Warehouse:
     Tables are built on first use, so a query that needs only bronze builds only bronze.
     """
 
-    def __init__(self, root: str, bronze: Callable[[], DataFrame], lenient: bool = False):
+    def __init__(
+        self,
+        root: str,
+        bronze: Callable[[], DataFrame],
+        lenient: bool = False,
+        date_formats: Sequence[str] = silver.DATE_FORMATS,
+    ):
         self.folder = SharedFolder(root)
         self.lenient = lenient
+        self.date_formats = tuple(date_formats)
+        self.build_path = f"builds/{uuid.uuid4().hex}"
         self._source = bronze
         self._tables: dict[str, DataFrame] = {}
         self._building = RLock()
 
     @classmethod
     def from_csv(
-        cls, spark: SparkSession, csv_path: str, root: str, lenient: bool = False
+        cls,
+        spark: SparkSession,
+        csv_path: str,
+        root: str,
+        lenient: bool = False,
+        date_formats: Sequence[str] = silver.DATE_FORMATS,
     ) -> "Warehouse":
         """With ``lenient``, lines that are malformed or do not fit their types end up in
-        ``rejected`` instead of failing the job."""
-        return cls(root, lambda: read_raw(spark, csv_path, keep_malformed=lenient), lenient)
+        ``rejected`` instead of failing the job. Dates are ISO or one of ``date_formats``."""
+        return cls(root, lambda: read_raw(spark, csv_path, keep_malformed=lenient), lenient, date_formats)
 
     @classmethod
     def opened(cls, spark: SparkSession, root: str) -> "Warehouse":
-        """A warehouse that was built earlier under ``root``."""
+        """The last complete build under ``root``."""
         house = cls(root, lambda: house.bronze)
-        house._tables = {t: house.folder.read(spark, t) for t in TABLES}
+        builds = house.folder.read(spark, BUILDS)
+        house.build_path = builds.orderBy(F.desc("finished"), "path").first()["path"]
+        house._tables = {t: house.folder.read(spark, f"{house.build_path}/{t}") for t in TABLES}
         return house
 
     @property
@@ -60,15 +82,15 @@ class Warehouse:
 
     @property
     def silver(self) -> DataFrame:
-        return self._table(SILVER, lambda: silver.silver_sales(self._accepted()))
+        return self._table(SILVER, lambda: silver.silver_sales(self._accepted(), self.date_formats))
 
     def _accepted(self) -> DataFrame:
-        return silver.castable(self.bronze)[0] if self.lenient else self.bronze
+        return silver.castable(self.bronze, self.date_formats)[0] if self.lenient else self.bronze
 
     @property
     def rejected(self) -> DataFrame:
         """Raw lines that silver leaves out, with the columns at fault."""
-        return self._table(REJECTED, lambda: silver.castable(self.bronze)[1])
+        return self._table(REJECTED, lambda: silver.castable(self.bronze, self.date_formats)[1])
 
     @property
     def dim_customer(self) -> DataFrame:
@@ -102,15 +124,19 @@ class Warehouse:
     def _table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         with self._building:
             if name not in self._tables:
-                self._tables[name] = self.folder.replace(make(), name)
+                self._tables[name] = self.folder.replace(make(), f"{self.build_path}/{name}")
             return self._tables[name]
 
     def build(self, check: bool = False) -> "Warehouse":
-        """Build every layer, dimensions before the fact table; with ``check``, refuse bad data."""
+        """Build every layer, dimensions before the fact table, and make this build the current one;
+        with ``check``, bad data is refused before that."""
         for name in ("bronze", "silver", *GOLD, *(["rejected"] if self.lenient else [])):
             self[name]
         if check:
             self.check()
+        spark = self.bronze.sparkSession
+        done = spark.range(1).select(F.lit(self.build_path).alias("path"), F.lit(time.time_ns()).alias("finished"))
+        done.coalesce(1).write.mode("append").parquet(f"{self.folder.root}/{BUILDS}")
         return self
 
     def check(self, expected_rows: Mapping[str, int] | None = None) -> None:
@@ -131,9 +157,15 @@ class Warehouse:
         for table in TABLES:
             layer, name = table.split("/")
             spark.sql(f"CREATE SCHEMA IF NOT EXISTS {layer}")
-            spark.sql(f"DROP TABLE IF EXISTS {layer}.{name}")
-            path = f"{self.folder.root}/{table}".replace("'", "\\'")
-            spark.sql(f"CREATE TABLE {layer}.{name} USING parquet LOCATION '{path}'")
+            path = f"{self.folder.root}/{self.build_path}/{table}".replace("'", "\\'")
+            full = f"{layer}.{name}"
+            if spark.catalog.tableExists(full) and spark.table(full).schema == self._tables[table].schema:
+                # Readers see the old build or the new one, never none.
+                spark.sql(f"ALTER TABLE {full} SET LOCATION '{path}'")
+                spark.catalog.refreshTable(full)
+            else:
+                spark.sql(f"DROP TABLE IF EXISTS {full}")
+                spark.sql(f"CREATE TABLE {full} USING parquet LOCATION '{path}'")
 
     def _ours(self, spark: SparkSession, table: str) -> bool:
         """Whether there is no such table, or it lies under this root."""

@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Columns of the raw order-line file that the warehouse uses.
 RAW_COLUMNS = (
@@ -13,6 +13,8 @@ RAW_COLUMNS = (
 
 #: Holds a line that does not have the header's fields.
 MALFORMED = "malformed_line"
+#: The file that a line comes from.
+SOURCE = "source_file"
 
 
 def raw_schema(columns: Sequence[str] = RAW_COLUMNS) -> T.StructType:
@@ -30,7 +32,8 @@ def read_raw(
     with extra columns keep them. A missing field is NULL, a quoted empty one is ''.
 
     A file whose header differs from the others' fails the job, and so does a line with too few or
-    too many fields; with ``keep_malformed`` such a line comes whole in the column MALFORMED.
+    too many fields; with ``keep_malformed`` such a line comes whole in the column MALFORMED, and every
+    line with the path of its file in SOURCE.
 
     Leave ``multi_line`` off unless fields hold line breaks: such files cannot be split."""
     reader = spark.read.option("header", True).option("inferSchema", False)
@@ -44,7 +47,8 @@ def read_raw(
     reader = reader.option("columnNameOfCorruptRecord", MALFORMED)
     # With the default null marker (the empty string) quoted empty fields would turn into NULL.
     reader = reader.option("nullValue", r"\N")
-    return reader.csv(path)
+    lines = reader.csv(path)
+    return lines.select("*", F.col("_metadata.file_path").alias(SOURCE)) if keep_malformed else lines
 
 
 def write_raw(df: DataFrame, path: str) -> None:

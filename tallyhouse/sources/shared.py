@@ -6,6 +6,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
 def shared_root(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder only in local mode."""
     context = spark.sparkContext
@@ -34,11 +37,23 @@ class SharedFolder:
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         return self._write(df, self.fresh(label))
 
-    def keep_bucketed(self, df: DataFrame, label: str, buckets: int, by: str) -> DataFrame:
+    def keep_bucketed(
+        self, df: DataFrame, label: str, buckets: int, by: str, one_per_task: bool = False
+    ) -> DataFrame:
         """Like ``keep``, as a table that Spark knows to be dealt by ``by``: joins and windows on that
-        column read it without a shuffle. The catalog entry is the session's; the files are in the folder."""
+        column read it without a shuffle. The catalog entry is the session's; the files are in the folder.
+
+        With ``one_per_task`` every task holds rows of one bucket, so they are not sorted by bucket before
+        they are written (the session's setting for that is put back afterwards)."""
         name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
-        df.write.bucketBy(buckets, by).option("path", self.fresh(label)).format("parquet").saveAsTable(name)
+        conf = df.sparkSession.conf
+        writers = conf.get(_WRITERS)
+        if one_per_task:
+            conf.set(_WRITERS, "2")
+        try:
+            df.write.bucketBy(buckets, by).option("path", self.fresh(label)).format("parquet").saveAsTable(name)
+        finally:
+            conf.set(_WRITERS, writers)
         return df.sparkSession.table(name)
 
     def close(self, spark: SparkSession) -> None:

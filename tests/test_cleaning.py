@@ -91,7 +91,11 @@ def test_two_date_spellings(spark):
     "change",
     [
         {"Postal_Code": "bad"}, {"Postal_Code": "1e12"}, {"Postal_Code": "NaN"}, {"Postal_Code": "99999999999.0"},
-        {"Postal_Code": "10001.5"}, {"Sales": "x"}, {"Sales": "1.23456789"}, {"Profit": "-0.1234567"},
+        {"Postal_Code": "5d"}, {"Postal_Code": "1e3"}, {"Postal_Code": "5f"}, {"Postal_Code": "."}, {"Postal_Code": ""},
+        {"Sales": "x"}, {"Sales": "5d"}, {"Sales": "0x10"}, {"Quantity": "2L"},
+        {"Order_Date": "2016"}, {"Order_Date": "2016-11"}, {"Order_Date": "2016-11-08Tgarbage"}, {"Order_Date": "2016-11-08 25:99"},
+        {"Order_Date": "+2016-1-1"}, {"Order_Date": "2016-02-30"}, {"Order_Date": "13/45/2016"}, {"Order_Date": "11/8/16"},
+        {"Order_Date": "11/8/2016 x"}, {"Order_Date": "2016-11-08\n2017-01-01"}, {"Sales": "1.23456789"}, {"Profit": "-0.1234567"},
         {"Discount": "0.00001"}, {"Quantity": "2.5"}, {"Order_Date": "soon"},
     ],
 )
@@ -104,6 +108,29 @@ def test_bad_value_fails_or_is_set_aside(spark, change):
     assert rejected.first().failed_columns == list(change)
 
 
+@pytest.mark.parametrize("text", ["10001.5", "10001.0", "10001.", " 10001 ", "-3.99", "+7", "0.9", "007"])
+def test_fractions_of_postal_codes_are_cut_off(spark, text):
+    """On both sides: the plan, and the SQL that it is compared with."""
+    import duckdb
+
+    ours = S.repaired(raw(spark, {"Postal_Code": text})).first().Postal_Code
+    theirs = duckdb.sql(f"SELECT CAST(trunc(CAST('{text}' AS DOUBLE)) AS INTEGER)").fetchall()[0][0]
+    assert ours == theirs
+
+
+def test_other_date_formats(spark):
+    rows = raw(spark, {"Order_Date": "08.11.2016"}, {"Order_Date": "2016-11-8"}, {"Order_Date": " 01.02.2017 "})
+    found = S.silver_sales(rows, ["dd.MM.yyyy"])
+    assert set(column(found, "Order_Date")) <= {datetime.date(2016, 11, 8), datetime.date(2017, 2, 1)}
+    good, rejected = S.castable(rows, ["dd.MM.yyyy"])
+    assert (good.count(), rejected.count()) == (3, 0)
+    assert S.castable(rows)[1].count() == 2  # not among the usual formats
+    assert S.castable(raw(spark, {"Order_Date": "8.11.2016"}), ["dd.MM.yyyy"])[1].count() == 1
+    for wrong in ("MMM d yyyy", "yyyy-MM-dd'T'HH"):
+        with pytest.raises(ValueError):
+            S.typed_columns(True, [wrong])
+
+
 def test_extra_columns_stay(spark):
     rows = raw(spark, {}).withColumn("Ship_Mode", F.lit("First Class"))
     assert column(S.silver_sales(rows), "Ship_Mode") == ["First Class"]

@@ -4,7 +4,7 @@ import pytest
 
 from tallyhouse.plans import silver
 from tallyhouse.plans.warehouse import Warehouse
-from tallyhouse.sources.raw_csv import MALFORMED, RAW_COLUMNS, read_raw
+from tallyhouse.sources.raw_csv import MALFORMED, RAW_COLUMNS, SOURCE, read_raw
 from tallyhouse.sources.shared import SharedFolder
 
 
@@ -39,6 +39,7 @@ def test_irregular_lines_fail_or_are_kept_whole(spark, folder_of, line):
         read_raw(spark, path).collect()
     rows = read_raw(spark, path, keep_malformed=True).collect()
     assert {r[MALFORMED] for r in rows} == {None, line}
+    assert {r[SOURCE].rpartition("/")[2] for r in rows} == {"part0.csv"}
 
 
 def test_lenient_warehouse_sets_lines_aside(spark, folder_of):
@@ -52,6 +53,8 @@ def test_lenient_warehouse_sets_lines_aside(spark, folder_of):
     assert house.silver.count() == house.fact_sales.count() == 1
     assert {tuple(r.failed_columns) for r in house.rejected.collect()} >= {("Sales",)}
     assert house.rejected.count() == 3
+    assert all(r[SOURCE].endswith("/part0.csv") for r in house.rejected.collect())
+    assert SOURCE not in house.silver.columns
     assert house.bronze.count() == 4
     strict = Warehouse.from_csv(spark, path, SharedFolder.of(spark).root)
     with pytest.raises(Exception, match="(?i)malformed"):

@@ -47,6 +47,32 @@ def test_publish(spark, csv):
     assert total.first()[0] == house.fact_sales.select(F.sum("Sales")).first()[0]
 
 
+def test_a_build_that_dies_changes_nothing(spark, csv, monkeypatch):
+    """Half-way through the next build, readers and published tables still have the whole former one."""
+    root = SharedFolder.of(spark).root
+    old = Warehouse.from_csv(spark, csv, root).build(check=True)
+    for table in TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {table.replace('/', '.')}")
+    old.publish(spark)
+    total = old.fact_sales.select(F.sum("Sales")).first()[0]
+    with monkeypatch.context() as killed:
+        killed.setattr("tallyhouse.plans.gold.fact_sales", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+        new = Warehouse(root, lambda: old.bronze.filter("Quantity > 10"))
+        with pytest.raises(KeyboardInterrupt):
+            new.build()
+    assert new.silver.count() < old.silver.count()
+    opened = Warehouse.opened(spark, root)
+    assert opened.build_path == old.build_path
+    assert opened.fact_sales.select(F.sum("Sales")).first()[0] == total
+    assert spark.sql("SELECT sum(Sales) FROM gold.fact_sales JOIN gold.dim_date USING (Order_Date)").first()[0] == total
+    # The same build, carried on, becomes the current one; the old one stays readable.
+    new.build()
+    assert Warehouse.opened(spark, root).build_path == new.build_path
+    new.publish(spark)
+    assert spark.sql("SELECT sum(Sales) FROM gold.fact_sales").first()[0] == new.fact_sales.select(F.sum("Sales")).first()[0] < total
+    assert old.fact_sales.select(F.sum("Sales")).first()[0] == total
+
+
 def test_publish_refuses_bad_data(spark, house):
     root = SharedFolder.of(spark).root
     bad = Warehouse(root, lambda: house.bronze)
