@@ -21,7 +21,8 @@ Spark commits them as a whole, retries lost tasks and reaches any store.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ _WIDTH = np.full(16, 60, np.int64)
 for _selector, _bits in enumerate(BITS, 1):
     _COUNT[_selector], _WIDTH[_selector] = 60 // _bits, _bits
 _MOST = int(_COUNT.max())
+_ALNUM = np.array([bytes([b]).isalnum() for b in range(256)])
 _LIMITS = np.array([1 << bits for bits in BITS], np.uint64)
 
 
@@ -164,16 +166,15 @@ class WordIds:
         split = pc.ascii_split_whitespace(pa.array([p for own in parts for p in own], pa.large_string()))
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        found = list(map(self.number.get, distinct))
-        if new := [w for w, n in zip(distinct, found) if n is None]:
-            self._learn(new)
-            found = list(map(self.number.__getitem__, distinct))
-        numbers = np.array(found, np.int64)
+        numbers = self._numbers(distinct)
+        if len(new := np.flatnonzero(numbers < 0)):
+            unknown = [distinct[i] for i in new.tolist()]
+            self._learn(coded.dictionary.take(pa.array(new)), unknown)
+            numbers[new] = self._numbers(unknown)
         self.uses[numbers] += 1
         each = numbers[coded.indices.to_numpy()]
         ends = np.concatenate(([0], np.cumsum(self.length[each])))
-        offsets = np.append(self.start, len(self.pool))
-        ids = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(self.pool)).take(pa.array(each)).flatten().to_numpy()
+        ids = self._ids(each)
         borders = ends[split.offsets.to_numpy()[np.cumsum([0, *map(len, parts)])]]
         if len(self.number) > self.most:
             self._forget()
@@ -190,52 +191,72 @@ class WordIds:
         self.pool = self.pool[np.repeat(self.start[kept] - ends + lengths, lengths) + np.arange(lengths.sum())]
         self.start, self.length, self.uses = ends - lengths, lengths, np.zeros(len(kept), np.int64)
 
-    def _learn(self, new: list[bytes]) -> None:
-        parts = []
-        for w in new:
-            core = w.rstrip(self.MARKS) if not self._has_special(w) else b""
-            parts.append((w, core.lower(), w[len(core) :]) if core[-1:].isalnum() else (w, w, b""))
-        fresh = {p for _, core, marks in parts for p in (core, marks)}.difference(self.number)
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The words' numbers, -1 for unknown ones."""
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+
+    def _ids(self, numbers: np.ndarray) -> np.ndarray:
+        """All ids of the words with these numbers, in this order."""
+        offsets = np.append(self.start, len(self.pool))
+        return pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(self.pool)).take(pa.array(numbers)).flatten().to_numpy()
+
+    def _add(self, words: Iterable[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.start), len(self.start) + len(lengths)), strict=True))
+        self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(lengths) - lengths))
+        self.length = np.concatenate((self.length, lengths))
+        self.uses = np.concatenate((self.uses, np.zeros(len(lengths), np.int64)))
+        self.pool = np.concatenate((self.pool, ids.astype("<u4")))
+
+    def _learn(self, words: pa.LargeStringArray, raw: list[bytes]) -> None:
+        """Cut cores and marks off all words at once, encode the parts that are new, and put words together."""
+        special = self._special(raw)
+        cores = pc.ascii_rtrim(words, characters=self.MARKS.decode())
+        sizes, kept = (pc.binary_length(x).to_numpy().astype(np.int64) for x in (words, cores))
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words)]
+        data = np.frombuffer(words.buffers()[2], np.uint8)
+        cut = (kept > 0) & _ALNUM[data[offsets + np.maximum(kept, 1) - 1]] & ~special
+        cores = pc.if_else(pa.array(cut), pc.ascii_lower(cores), words)
+        behind = np.where(cut, sizes - kept, 0)
+        ends = np.cumsum(behind)
+        marks = data[np.repeat(offsets + kept - ends + behind, behind) + np.arange(ends[-1])]
+        marks = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(np.append(0, ends)), pa.py_buffer(marks))
+        parts = pa.concat_arrays([cores, marks]).dictionary_encode()
+        names = parts.dictionary.cast(pa.large_binary()).to_pylist()
+        fresh = [names[i] for i in np.flatnonzero(self._numbers(names) < 0).tolist()]
         alone, letters = [], []
-        for part in fresh:
+        for part, whole in zip(fresh, self._special(fresh).tolist(), strict=True):
             text = part.decode()
-            (letters if text.isalpha() and not self._has_special(part) else alone).append(text)
-        code: dict[bytes, bytes] = {}
+            (letters if not whole and text.isalpha() else alone).append(text)
         for i in range(0, len(letters), 4096):
-            code.update(self._letters(letters[i : i + 4096]))
-        code.update(self._each(alone))
-        for w, core, marks in parts:
-            if w not in code:
-                code[w] = self._code(core, code) + self._code(marks, code)
-        self.number.update(zip(code, range(len(self.start), len(self.start) + len(code))))
-        lengths = np.fromiter(map(len, code.values()), np.int64, len(code)) // 4
-        self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(lengths) - lengths))
-        self.length = np.concatenate((self.length, lengths))
-        self.uses = np.concatenate((self.uses, np.zeros(len(code), np.int64)))
-        self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(code.values()), "<u4")))
-
-    def _has_special(self, word: bytes) -> bool:
-        return any(t in word.lower() for t in self.special)
-
-    def _code(self, part: bytes, code: dict[bytes, bytes]) -> bytes:
-        if (known := code.get(part)) is None:
-            n = self.number[part]
-            known = self.pool[self.start[n] : self.start[n] + self.length[n]].tobytes()
-        return known
-
-    def _letters(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+            self._add_letters(letters[i : i + 4096])
+        self._add_each(alone)
+        each = self._numbers(names)[parts.indices.to_numpy()]
+        made = ~pc.equal(cores, words).to_numpy(zero_copy_only=False) | (behind > 0)  # others are parts themselves
+        pairs = each.reshape(2, -1)[:, made]
+        chosen = [raw[i] for i in np.flatnonzero(made).tolist()]
+        self._add(chosen, self._ids(pairs.T.ravel()), self.length[pairs].sum(axis=0))
+
+    def _special(self, words: list[bytes]) -> np.ndarray:
+        """Which words hold a special token. Most often none does, which one look at all together tells."""
+        together = b"\n".join(words).lower()
+        if not any(t in together for t in self.special):
+            return np.zeros(len(words), bool)
+        return np.array([any(t in w.lower() for t in self.special) for w in words], bool)
+
+    def _add_letters(self, texts: list[str]) -> None:
         """Words of letters only, in one call: the last id of each is that of a word's end."""
         (found,) = self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)
         ids = np.array(found.ids, "<u4")
-        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(stops) != len(texts):
-            return self._each(texts)
-        data, starts = ids.tobytes(), [0, *stops[:-1].tolist()]
-        return ((t.encode(), data[a:b]) for t, a, b in zip(texts, starts, stops.tolist(), strict=True))
-
-    def _each(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return ((t.encode(), np.array(e.ids, "<u4").tobytes()) for t, e in zip(texts, found, strict=True))
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(texts):
+            self._add((t.encode() for t in texts), ids, np.diff(stops, prepend=0))
+        else:
+            self._add_each(texts)
+
+    def _add_each(self, texts: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), "<u4", sum(map(len, found)))
+        self._add((t.encode() for t in texts), ids, np.array(list(map(len, found)), np.int64))
 
 
 _encoders: dict[str, WordIds] = {}
