@@ -20,6 +20,7 @@ Spark commits them as a whole, retries lost tasks and reaches any store.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, repeat
@@ -29,6 +30,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 MAGIC = b"S8b1"
 NO_ID = -(2**63)
@@ -43,6 +46,7 @@ _WIDTH = np.full(16, 60, np.int64)
 for _selector, _bits in enumerate(BITS, 1):
     _COUNT[_selector], _WIDTH[_selector] = 60 // _bits, _bits
 _MOST = int(_COUNT.max())
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch  # small letters that are NFC
 _ALNUM = np.array([bytes([b]).isalnum() for b in range(256)])
 _LIMITS = np.array([1 << bits for bits in BITS], np.uint64)
 
@@ -141,10 +145,11 @@ class WordIds:
     # Marks that are neither letters nor digits, without the apostrophe, which begins contractions.
     MARKS = b""".,!#$%&*|-+()"=<>/:;?@_~[]{}"""
 
-    def __init__(self, path: str, most: int = 300_000, special: bool = False):
-        from tokenizers import Tokenizer
-
+    def __init__(self, path: str, most: int = 450_000, special: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
+        # The same merges for words that are normalised and that its pattern would leave whole.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.tokenizer.encode_special_tokens = not special
         added = self.tokenizer.get_added_tokens_decoder().values() if special else ()
         # Looked for in lower case, as a core that is not special may become so by folding it.
@@ -223,12 +228,13 @@ class WordIds:
         parts = pa.concat_arrays([cores, marks]).dictionary_encode()
         names = parts.dictionary.cast(pa.large_binary()).to_pylist()
         fresh = [names[i] for i in np.flatnonzero(self._numbers(names) < 0).tolist()]
-        alone, letters = [], []
+        plain, letters, alone = [], [], []
         for part, whole in zip(fresh, self._special(fresh).tolist(), strict=True):
             text = part.decode()
-            (letters if not whole and text.isalpha() else alone).append(text)
-        for i in range(0, len(letters), 4096):
-            self._add_letters(letters[i : i + 4096])
+            (alone if whole or not text.isalpha() else plain if _PLAIN(text) else letters).append(text)
+        for texts, tokenizer in ((plain, self.plain), (letters, self.tokenizer)):
+            for i in range(0, len(texts), 4096):
+                self._add_letters(texts[i : i + 4096], tokenizer)
         self._add_each(alone)
         each = self._numbers(names)[parts.indices.to_numpy()]
         made = ~pc.equal(cores, words).to_numpy(zero_copy_only=False) | (behind > 0)  # others are parts themselves
@@ -243,9 +249,9 @@ class WordIds:
             return np.zeros(len(words), bool)
         return np.array([any(t in w.lower() for t in self.special) for w in words], bool)
 
-    def _add_letters(self, texts: list[str]) -> None:
+    def _add_letters(self, texts: list[str], tokenizer: Tokenizer) -> None:
         """Words of letters only, in one call: the last id of each is that of a word's end."""
-        (found,) = self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)
+        (found,) = tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)
         ids = np.array(found.ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) == len(texts):
@@ -284,7 +290,7 @@ def slices(text: str, most: int = 1 << 20) -> Iterator[str]:
     yield text[at:]
 
 
-def _groups(texts: Iterator[str], most: int = 1 << 22) -> Iterator[list[str]]:
+def _groups(texts: Iterator[str], most: int = 1 << 23) -> Iterator[list[str]]:
     group, size = [], 0
     for t in texts:
         group.append(t)
