@@ -28,15 +28,23 @@ BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption "
     "blockquote pre figure figcaption address details summary center hgroup fieldset hr".split()
 )
+_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr caption blockquote pre figcaption ul ol dl table thead tbody tfoot".split())
 # What an opening tag closes if it is still open, and where the search for it stops.
 CLOSES = {"li": ("li", {"ul", "ol"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr", {"table"})}
-NOT_TEXT = re.compile(
-    r"(?i)(?<!\S)(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|"
+_WORDS = (
+    r"(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|"
     r"side|aside|header|masthead|footer|cookies?|consent|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|"
-    r"signup|login|search|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|respond)(?!\S)"
+    r"signup|login|search|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|respond)"
 )
-# What speaks for the text around it, and the characters of text that make a page of an unwanted element.
-MARKS, LEAST_TEXT = frozenset("article main h1".split()), 200
+_ENDS = r"(?:ads?|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|cookies?|consent|newsletter|signup|popup|comments?)"
+# A name is one of these words, ends with one behind a hyphen (site-footer, but not no-sidebar), or begins so (ad-box).
+NOT_TEXT = re.compile(
+    rf"(?i)(?<!\S)(?:{_WORDS}|(?!(?:no|with|without|has|hide|show)[-_])[^\s_-]+(?:[-_]+[^\s_-]+)*?[-_]+{_ENDS}|"
+    r"(?:ads?|advert|sponsor|cookie|newsletter|comments?)[-_]\S+)(?!\S)"
+)
+# What speaks for the text around it.
+MARKS = frozenset("article main h1".split())
+ASKS = frozenset("input textarea select button".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 
 _MARKUP = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'](?=[^<\"']*>))*)>", re.S)
@@ -51,17 +59,37 @@ class Suspect:
     outer: Suspect | None
     form: bool
     chars: int = 0  # of text that is no link
+    paragraphs: int = 0
+    asks: bool = False  # a form with something to fill in or press
     marks: frozenset[str] = frozenset()
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
+    """An open element. Paths are put together for the few nodes that are asked for one, so that deep nesting
+    costs no more than wide pages; ``length`` is that of the path."""
+
     tag: str
-    path: str
+    step: str
     parent: Node | None
     dropped: bool
     suspect: Suspect | None = None  # what it is dropped for
     score: float = 0.0
+    worth: float = 0.0  # of all blocks below
+    full: bool = False  # whether there are any
+
+    def __post_init__(self):
+        self.length = self.parent.length + len(self.step) if self.parent is not None else 0
+        # The container that text in here stands in.
+        self.container = self if self.tag not in _LEAVES or self.parent is None else self.parent.container
+
+    @property
+    def path(self) -> str:
+        steps, node = [], self
+        while node is not None:
+            steps.append(node.step)
+            node = node.parent
+        return "".join(reversed(steps))
 
 
 @dataclass
@@ -80,13 +108,19 @@ def _step(tag: str, classes: str) -> str:
     return ".".join([tag, *named])
 
 
-def parse(page: str | None) -> list[Block]:
-    """Blocks of text in page order, without those in dropped elements; nodes have scores."""
+@dataclass
+class Page:
+    nodes: list[Node]  # parents before children
+    blocks: list[Block]  # in page order, without those in dropped elements
+
+
+def parse(page: str | None) -> Page:
+    """The elements of a page, with scores, and its text."""
     kept: set[int] = set()
     while True:
-        blocks, more = _parse(page or "", kept)
+        read, more = _parse(page or "", kept)
         if more <= kept:
-            return blocks
+            return read
         kept |= more
 
 
@@ -96,21 +130,24 @@ def _holding(suspects: dict[int, Suspect], chars: int, marks: set[str]) -> set[i
     for s in reversed(suspects.values()):
         if s.outer is not None:
             s.outer.chars += s.chars
+            s.outer.paragraphs += s.paragraphs
+            s.outer.asks |= s.asks
             s.outer.marks |= s.marks
 
     def holds(s: Suspect) -> bool:
         if s.marks & {"main", "h1"} or s.marks and not marks:
             return True
-        if s.chars < LEAST_TEXT:
-            return False
-        return s.form and 2 * s.chars > total or chars == 0 and 2 * s.chars > total and (s.outer is None or s.outer.chars == s.chars)
+        if s.form and (not s.asks or s.paragraphs > 1) and 2 * s.chars > total:
+            return True  # a form around the page; others have a line that says what they ask for
+        return s.chars > 0 and chars == 0 and 2 * s.chars > total and (s.outer is None or s.outer.chars == s.chars)
 
     return {k for k, s in suspects.items() if holds(s)}
 
 
-def _parse(page: str, kept: set[int]) -> tuple[list[Block], set[int]]:
-    """The blocks if the suspects of these numbers, in page order, are kept, and the numbers of those that should be."""
+def _parse(page: str, kept: set[int]) -> tuple[Page, set[int]]:
+    """The page if the suspects of these numbers, in page order, are kept, and the numbers of those that should be."""
     root = Node("", "", None, False)
+    nodes, opened = [root], Counter()
     here, blocks, pieces, links, in_link = root, [], [], 0, False
     suspects: dict[int, Suspect] = {}
     number, chars, marks = 0, 0, set()
@@ -120,13 +157,16 @@ def _parse(page: str, kept: set[int]) -> tuple[list[Block], set[int]]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                # Links weigh against a container; what stands deeper counts half a level up.
-                worth, node = len(text) - 2.0 * links, here
+                # Links weigh against a container; what stands deeper counts half a level up. A paragraph is no
+                # container: its parent gets the whole of it.
+                worth, node = len(text) - 2.0 * links, here.container
                 blocks.append(Block(text, here, worth))
-                while node is not None and abs(worth) >= 1:
+                here.worth, here.full = here.worth + worth, True
+                while abs(worth) >= 1:
                     node.score += worth
-                    # A paragraph is no container: its parent gets the whole of it.
-                    worth, node = worth if node.tag in _LEAVES else worth / 2, node.parent
+                    if node.parent is None:
+                        break
+                    worth, node = worth / 2, node.parent.container
             pieces, links = [], 0
 
     def words(text: str) -> None:
@@ -142,7 +182,15 @@ def _parse(page: str, kept: set[int]) -> tuple[list[Block], set[int]]:
         elif here.suspect is not None and not in_link:
             here.suspect.chars += len(text.strip())
 
-    def inside(tag: str, path: str, attributes: dict[str, str]) -> Node:
+    def leave(node: Node) -> Node:
+        """Close everything that is open below ``node``."""
+        left = here
+        while left is not node:
+            opened[left.tag] -= 1
+            left = left.parent
+        return node
+
+    def inside(tag: str, step: str, attributes: dict[str, str]) -> Node:
         nonlocal number
         hard = tag in DROPPED or "hidden" in attributes and tag not in ("html", "body")
         dropped, suspect = here.dropped or hard, None if hard else here.suspect
@@ -156,7 +204,11 @@ def _parse(page: str, kept: set[int]) -> tuple[list[Block], set[int]]:
                 suspect.marks |= {tag}
             elif not dropped:
                 marks.add(tag)
-        return Node(tag, path, here, dropped, suspect)
+        elif tag == "p" and suspect is not None:
+            suspect.paragraphs += 1
+        nodes.append(Node(tag, step, here, dropped, suspect))
+        opened[tag] += 1
+        return nodes[-1]
 
     at = 0
     while match := _MARKUP.search(page, at):
@@ -165,6 +217,8 @@ def _parse(page: str, kept: set[int]) -> tuple[list[Block], set[int]]:
         if not match[2]:
             continue
         tag = match[2].lower()
+        if tag in ASKS and here.suspect is not None and not re.search(r"(?i)type\s*=\s*[\"']?hidden", match[3]):
+            here.suspect.asks = True
         if not match[1] and tag in RAW:
             # Up to its own closing tag, whatever stands between.
             close = re.compile(rf"(?i)</{re.escape(tag)}(?=[\s/>])[^>]*>?").search(page, at)
@@ -178,27 +232,26 @@ def _parse(page: str, kept: set[int]) -> tuple[list[Block], set[int]]:
             in_link = not match[1]
         if tag not in BLOCKS and tag not in DROPPED and tag != "form":
             if match[1]:
-                here = _closed(here, tag, inline=True)
+                here = leave(_closed(here, tag, opened, inline=True))
             elif tag not in VOID and match[3] and _unwanted(attributes := _attributes(match[3])):
                 # An unwanted inline element hides its text, but parts no blocks.
-                here = inside(tag, here.path, attributes)
+                here = inside(tag, "", attributes)
             continue
         flush()
         in_link = False
         if match[1]:
-            here = _closed(here, tag)
+            here = leave(_closed(here, tag, opened))
         elif tag not in VOID:
             if tag in BLOCKS:
-                here = _closed_by(here, tag)
+                here = leave(_closed_by(here, tag, opened))
             attributes = _attributes(match[3])
-            path = f"{here.path}/{_step(tag, attributes.get('class', ''))}"
-            here = inside(tag, path, attributes)
+            here = inside(tag, "/" + _step(tag, attributes.get("class", "")), attributes)
     words(page[at:])
     flush()
-    return blocks, kept | _holding(suspects, chars, marks) if suspects else kept
-
-
-_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr caption blockquote pre figcaption ul ol dl table thead tbody tfoot".split())
+    for node in reversed(nodes[1:]):
+        node.parent.worth += node.worth
+        node.parent.full |= node.full
+    return Page(nodes, blocks), kept | _holding(suspects, chars, marks) if suspects else kept
 
 
 def _suspicious(tag: str, attributes: dict[str, str]) -> bool:
@@ -215,8 +268,10 @@ def _unwanted(attributes: dict[str, str]) -> bool:
     return "hidden" in attributes or _suspicious("", attributes)
 
 
-def _closed(here: Node, tag: str, inline: bool = False) -> Node:
+def _closed(here: Node, tag: str, opened: Counter[str], inline: bool = False) -> Node:
     """What is open after </tag>: an end without a beginning changes nothing."""
+    if not opened[tag]:
+        return here
     node = here
     while node.parent is not None:
         if node.tag == tag:
@@ -227,40 +282,32 @@ def _closed(here: Node, tag: str, inline: bool = False) -> Node:
     return here
 
 
-def _closed_by(here: Node, tag: str) -> Node:
+def _closed_by(here: Node, tag: str, opened: Counter[str]) -> Node:
     """What is open before <tag>: blocks end a paragraph, an item ends the one before."""
     if here.tag == "p":
         return here.parent
     ends, stops = CLOSES.get(tag, ("", ()))
     node = here
-    while ends and node.parent is not None and node.tag not in stops:
+    if not any(opened[end] for end in ends.split()):
+        return here
+    while node.parent is not None and node.tag not in stops:
         if node.tag in ends.split():
             return node.parent
         node = node.parent
     return here
 
 
-def containers(block: Block) -> Iterator[Node]:
-    node = block.inside
-    while node is not None:
-        if node.tag not in _LEAVES:
-            yield node
-        node = node.parent
-
-
-def best_path(blocks: list[Block]) -> tuple[str, float] | None:
-    """Path of the whole around the best container, and that one's score; of equal ones the first in code point order."""
-    found: dict[int, Node] = {}
-    worth: defaultdict[int, float] = defaultdict(float)
-    for b in blocks:
-        for n in containers(b):
-            found[id(n)] = n
-            worth[id(n)] += b.worth
-    best = min(found.values(), key=lambda n: (-n.score, n.path), default=None)
-    return None if best is None else (_whole(best, worth).path, best.score)
+def best_path(page: Page) -> tuple[str, float] | None:
+    """Path of the whole around the best container, and that one's score; of equal ones the shortest path, then the
+    first in the page."""
+    found = [n for n in page.nodes if n.full and n.container is n]
+    if not found:
+        return None
+    best = min(found, key=lambda n: (-n.score, n.length))
+    return _whole(best).path, best.score
 
 
-def _whole(best: Node, worth: dict[int, float]) -> Node:
+def _whole(best: Node) -> Node:
     """The highest container around ``best`` that adds more text than links: what is beside the largest section belongs
     to it. An article, and then a main element, is taken as it is, and nothing outside of main is."""
     around = [best]
@@ -269,17 +316,25 @@ def _whole(best: Node, worth: dict[int, float]) -> Node:
     last = {n.tag: i for i, n in enumerate(around)}  # of each tag the outermost
     at = last.get("article", last.get("main", 0))
     for i in range(at + 1, last.get("main", at if "article" in last else len(around) - 1) + 1):
-        if around[i].tag not in _LEAVES and worth[id(around[i])] > worth[id(around[at])]:
+        if around[i].container is around[i] and around[i].worth > around[at].worth:
             at = i
     return around[at]
 
 
-def text_below(blocks: list[Block], path: str | None) -> str:
+def _below(page: Page, path: str) -> list[str]:
+    """The blocks below containers of that path; a path is put together only where its length and end fit."""
+    inside: set[Node] = set()
+    for n in page.nodes:
+        if n.parent in inside or (n.container is n and n.length == len(path) and path.endswith(n.step) and n.path == path):
+            inside.add(n)
+    return [b.text for b in page.blocks if b.inside in inside]
+
+
+def text_below(page: Page, path: str | None) -> str:
     """The text in all containers of that path, or of the page's own best one if it has none."""
-    below = [b.text for b in blocks if any(n.path == path for n in containers(b))]
-    if not below and blocks:
-        own = best_path(blocks)[0]
-        below = [b.text for b in blocks if any(n.path == own for n in containers(b))]
+    below = _below(page, path) if path is not None else []
+    if not below and page.blocks:
+        below = _below(page, best_path(page)[0])
     return "\n\n".join(below)
 
 
@@ -316,7 +371,8 @@ def main_texts(
     """One row per row of ``pages``: id, url, text, n_chars.
 
     Pages without a host (a NULL url, too) vote together. A NULL or blank html, or one with nothing but dropped
-    elements, has an empty text. Repeated rows are kept and vote each; an empty table gives an empty
+    elements, has an empty text. A page of any length is read whole, in time and memory that grow with its length, nested
+    as deep as it may be. Of equal votes the higher score wins, then the path that is first. Repeated rows are kept and vote each; an empty table gives an empty
     result; other columns are ignored."""
     picked = keyed(pages, "row", id=id_col, url=url_col, html=html_col).drop("row")
     hosted = picked.withColumn("host", host_and_path(F.col("url"))[0])

@@ -10,7 +10,7 @@ PAGES = [
     (f"<html><body><div class='sidebar'><p>{'side ' * 90}</p></div><div class=post-18>{ARTICLE}</div><div id=comments><p>{'no ' * 90}</p></div>", TEXT),
     ("<html><body><div class=teaser><p>Much longer than what the article of this page has to say.</p></div><div class=post-3><p>Short.</p></div>", "Short."),
     ("<html><body><main><p>Another layout.</p></main></body></html>", "Another layout."),
-    ("<script>var a = '</p>';</script><style>p{}</style><!-- <p>x</p> --><form><p>form</p></form>", ""),
+    ("<script>var a = '</p>';</script><style>p{}</style><!-- <p>x</p> --><select><option>o</select>", ""),
     (None, ""), ("", ""), ("  \n ", ""), ("plain text", "plain text"),
 ]
 
@@ -52,7 +52,7 @@ def test_empty_table(spark, folder):
     ("<pre>a\n  b</pre>", "a b"),
 ])
 def test_blocks(html, text):
-    assert [b.text for b in mt.parse(html)] == [t for t in text.split("|") if t]
+    assert [b.text for b in mt.parse(html).blocks] == [t for t in text.split("|") if t]
 
 
 @pytest.mark.parametrize("html", ["<" * 30000, "<a " * 20000, "<!--" * 20000, '"<p "' * 10000, "<div>" * 3000 + "x", "&" * 30000, "<p>x" * 20000])
@@ -104,4 +104,57 @@ LONG = "<p>" + "words of the article " * 20 + "end</p>"
     (f"<div class=modal><span class=overlay><i>{LONG}</i></span></div>", LONG),
 ])
 def test_no_name_drops_the_text_of_a_page(page, text):
-    assert [b.text for b in mt.parse(page)] == [t.removeprefix("<p>") for t in text.split("</p>")[:-1]]
+    assert [b.text for b in mt.parse(page).blocks] == [t.removeprefix("<p>") for t in text.split("</p>")[:-1]]
+
+
+@pytest.mark.parametrize("size", [1, 5, 30, 199, 200, 2000])
+@pytest.mark.parametrize("layout", [
+    "<form><p>{}</p></form>", "<div class=related><p>{}</p></div>", "<form><input type=hidden><p>{}</p></form><header>Site</header>",
+    "<body><div class=comments><div class=ad>{}</div></div>", "<form><input type=search><p>{}</p></form>",
+])
+def test_length_decides_nothing(layout, size):
+    """Whatever the text of a page stands in, it is read alike at every length."""
+    text = ("word " * size)[:size].strip() or "w"
+    assert mt.text_below(mt.parse(layout.format(text)), None) == text
+
+
+@pytest.mark.parametrize("size", [1, 10, 60])
+@pytest.mark.parametrize("extra", [
+    "<form><p>Subscribe to our newsletter and never miss a thing</p><input type=email></form>", "<div class=user-comments><p>I agree with all of it</p></div>",
+    "<div class=ad-box>Buy now and save</div>", "<div id=cookie-banner><p>We use cookies on this site</p></div>", "<div class='site-footer x'>Imprint</div>",
+    "<ul class=main-nav><li>Home</ul>", "<div class=newsletter-signup>Join</div>", "<div class=page__sidebar>Links</div>",
+])
+def test_compound_names_are_no_text(extra, size):
+    text = "Short " * size + "end."
+    page = f"<body><div class=content><p>{text}</p>{extra}</div></body>"
+    assert mt.text_below(mt.parse(page), None) == text
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "with-comments", "section-header", "post-notice", "navigate", "commentary", "adverb", "menus-of-rome", "x-y"])
+def test_names_that_say_nothing(name):
+    page = f"<body><article><h1>T</h1><div class={name}><p>One.</p></div><p>Two.</p></article></body>"
+    assert mt.text_below(mt.parse(page), None) == "T\n\nOne.\n\nTwo."
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "x", "<div>x" * 30_000, "<ul><li>x" * 20_000, "<div><a>" * 20_000 + "</b>" * 20_000 + "y",
+                                  "<div class=a-b-c-d>x</div>" * 20_000, "<form><p>x" * 5_000])
+def test_deep_pages_take_time_and_memory_by_their_length(page):
+    import time
+    import tracemalloc
+
+    began = time.process_time()
+    read = mt.parse(page)
+    mt.text_below(read, mt.best_path(read)[0])
+    mt.text_below(mt.parse(page), None)
+    assert time.process_time() - began < 6  # two readings, and the machine may be slow
+    tracemalloc.start()
+    mt.parse(page)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
+
+
+def test_very_long_page():
+    page = "<body><nav>n</nav><article>" + "".join(f"<p>Paragraph {i} of a long page.</p>" for i in range(40_000)) + "</article>"
+    assert len(page) > 1_000_000
+    assert len(mt.text_below(mt.parse(page), None).split("\n\n")) == 40_000
