@@ -2,8 +2,10 @@
 
 Rules judge a url by its host and path. For other urls the host counts: trust flows from hosts that rules
 allow along links (a personalised PageRank), distrust flows from hosts that rules block against links,
-to those that link to them. A host is blocked if its distrust is above a border and above its trust.
-Both are in units of a host: a host of which rules block every page has a distrust of 1 to begin with.
+to those that link to them, by the share of their links that leads there. So distrust lies between 0 and 1: it
+is how likely a walk along links, which ends at any step with probability 0.15, comes to a blocked page. It
+depends on where a host links to, not on how many others link there, so a hundred hosts that link to one
+blocked host are blocked like a single one. A host is blocked if its distrust is above a border and above its trust.
 """
 
 from collections.abc import Sequence
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhouse.llm.common import SharedFolder, ascii_lower
 
-DAMPING, ROUNDS, BORDER, STILL = 0.85, 10, 0.5, 1e-9
+DAMPING, BORDER, STILL = 0.85, 0.5, 1e-6
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Absolute targets of links, and the host in each.
@@ -57,24 +59,20 @@ def rule_of(rules: Sequence[Rule], host: Column, path: Column, field: str) -> Co
 
 
 def host_edges(pages: DataFrame, host: Column, html: Column) -> DataFrame:
-    """src, dst, forward and backward: the pages of a host that link to another host, as a share of all its
-    links, and of all links to the other host. Links within a host don't count."""
+    """src, dst, n: the pages of a host that link to another host. Links within a host don't count."""
     targets = F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(_TARGET), F.lit(1)), ascii_lower))
     links = pages.select(host.alias("src"), F.explode(targets).alias("dst")).filter("src != '' AND src != dst")
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def host_scores(hosts: DataFrame, links: DataFrame, folder: SharedFolder, damping: float, rounds: int) -> DataFrame:
-    """host, trust, distrust. ``hosts``: host, trust_seed, distrust_seed."""
+def host_scores(hosts: DataFrame, links: DataFrame, folder: SharedFolder, damping: float, still: float) -> DataFrame:
+    """host, trust, distrust. ``hosts``: host, trust_seed, distrust_seed.
+
+    Rounds go on until none moves a score by ``still`` or more. Each shrinks what is left by the damping, so the scores
+    are then within still * damping / (1 - damping) of where they would end."""
     links = folder.keep(links, "links")
     out = links.groupBy("src").agg(F.sum("n").alias("n_out"))
-    into = links.groupBy("dst").agg(F.sum("n").alias("n_in"))
-    edges = folder.keep(
-        links.join(out, "src").join(into, "dst").select(
-            "src", "dst", (F.col("n") / F.col("n_out")).alias("forward"), (F.col("n") / F.col("n_in")).alias("backward")
-        ),
-        "edges",
-    )
+    edges = folder.keep(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("n_out")).alias("share")), "edges")
     # Hosts that are linked to but have no page here pass trust and distrust on, too.
     none = F.lit(0.0)
     everyone = hosts.unionByName(
@@ -84,18 +82,21 @@ def host_scores(hosts: DataFrame, links: DataFrame, folder: SharedFolder, dampin
     )
     seeds = folder.keep(everyone, "seeds")
     scores = seeds.select("host", F.col("trust_seed").alias("trust"), F.col("distrust_seed").alias("distrust"))
-    for _ in range(rounds):
+    moved = still
+    while moved >= still:
         trust = edges.join(scores, edges["src"] == scores["host"]).select(
-            F.col("dst").alias("host"), (F.col("trust") * F.col("forward")).alias("t"), none.alias("d")
+            F.col("dst").alias("host"), (F.col("trust") * F.col("share")).alias("t"), none.alias("d")
         )
         distrust = edges.join(scores, edges["dst"] == scores["host"]).select(
-            F.col("src").alias("host"), none.alias("t"), (F.col("distrust") * F.col("backward")).alias("d")
+            F.col("src").alias("host"), none.alias("t"), (F.col("distrust") * F.col("share")).alias("d")
         )
         got = trust.unionByName(distrust).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        value = lambda seed, flow: F.col(seed) + damping * F.coalesce(F.col(flow), none)
+        flow = lambda c: damping * F.coalesce(F.col(c), none)
+        # A walk that has come to a blocked page is there.
+        distrusted = F.col("distrust_seed") + (1 - F.col("distrust_seed")) * flow("d")
         new = folder.keep(
             seeds.join(got, "host", "left").select(
-                "host", value("trust_seed", "t").alias("trust"), value("distrust_seed", "d").alias("distrust")
+                "host", (F.col("trust_seed") + flow("t")).alias("trust"), distrusted.alias("distrust")
             ),
             "scores",
         )
@@ -103,8 +104,6 @@ def host_scores(hosts: DataFrame, links: DataFrame, folder: SharedFolder, dampin
         change = F.abs(F.col("trust") - F.col("t")) + F.abs(F.col("distrust") - F.col("d"))
         moved = new.join(old, "host").select(F.max(change)).first()[0] or 0.0
         scores = new
-        if moved < STILL:
-            break
     return scores
 
 
@@ -116,13 +115,13 @@ def judge(
     url_col: str = "url",
     html_col: str = "html",
     damping: float = DAMPING,
-    rounds: int = ROUNDS,
+    still: float = STILL,
     border: float = BORDER,
 ) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule, verdict, trust, distrust.
 
     A url that is NULL or has no host is allowed unless a rule says otherwise: nothing speaks against it. A NULL
-    html has no links. Repeated rows are kept and count as often; an empty table gives an empty result;
+    html has no links, one of any length is searched whole. Repeated rows are kept and count as often; an empty table gives an empty result;
     other columns are ignored."""
     host, path = host_and_path(pages[url_col])
     parsed = folder.keep(pages.select(pages[id_col].alias("id"), host.alias("host"), path.alias("path")), "urls")
@@ -132,7 +131,7 @@ def judge(
     hosts = (
         judged.filter("host != ''").groupBy("host").agg(share("allow").alias("trust_seed"), share("block").alias("distrust_seed"))
     )
-    scores = host_scores(hosts, host_edges(pages, host, pages[html_col]), folder, damping, rounds)
+    scores = host_scores(hosts, host_edges(pages, host, pages[html_col]), folder, damping, still)
     bad = (F.col("distrust") > border) & (F.col("distrust") > F.col("trust"))
     return judged.join(scores, "host", "left").select(
         F.col("id").alias(id_col),

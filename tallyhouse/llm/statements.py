@@ -107,19 +107,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-# Trust and distrust of ten rounds, each a table of its own.
-_ROUND = """
-, trust_{k} AS (
-  SELECT s.host, s.trust + 0.85 * coalesce(sum(t.trust * e.n / e.n_out), 0) AS trust
-  FROM seeds s LEFT JOIN edges e ON e.dst = s.host LEFT JOIN trust_{j} t ON t.host = e.src GROUP BY s.host, s.trust
-), distrust_{k} AS (
-  SELECT s.host, s.distrust + 0.85 * coalesce(sum(t.distrust * e.n / e.n_in), 0) AS distrust
-  FROM seeds s LEFT JOIN edges e ON e.src = s.host LEFT JOIN distrust_{j} t ON t.host = e.dst GROUP BY s.host, s.distrust
-)"""
+# Trust and distrust by a recursion of 100 rounds; what is left after them is below 1e-7 of a score.
 _SLASHED = "split_part(split_part(substr(url, strpos(url, '://') + 3), '?', 1), '#', 1)"
-URLS = (
-    f"""
-WITH parsed AS (
+URLS = f"""
+WITH RECURSIVE parsed AS (
   SELECT page_id, html, strpos(url, '://') > 0 AS whole, {_SLASHED} AS rest FROM pages
 ), parts AS (
   SELECT page_id, html, CASE WHEN whole THEN translate(split_part(rest, '/', 1), '{UPPER}', '{LOWER}') ELSE '' END AS host,
@@ -137,20 +128,28 @@ WITH parsed AS (
   FROM (SELECT host, unnest(list_distinct([translate(x, '{UPPER}', '{LOWER}') FOR x IN
           regexp_extract_all(html, '(?i)\\b(?:href|src)\\s*=\\s*["'']?\\s*(?:https?:)?//([^\\s"''<>/?#]+)', 1)])) AS dst FROM parts)
   WHERE host <> '' AND host <> dst GROUP BY ALL
-), edges AS (
-  SELECT *, sum(n) OVER (PARTITION BY src) AS n_out, sum(n) OVER (PARTITION BY dst) AS n_in FROM links
 ), seeds AS (
   SELECT host, avg(CASE WHEN told = 'allow' THEN 1.0 ELSE 0 END) AS trust,
          avg(CASE WHEN told = 'block' THEN 1.0 ELSE 0 END) AS distrust FROM judged WHERE host <> '' GROUP BY host
   UNION ALL SELECT DISTINCT dst, 0.0, 0.0 FROM links WHERE dst NOT IN (SELECT host FROM parts)
-), trust_0 AS (SELECT host, trust FROM seeds), distrust_0 AS (SELECT host, distrust FROM seeds)"""
-    + "".join(_ROUND.format(k=k, j=k - 1) for k in range(1, 11))
-    + """
+), shares AS (
+  SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM links
+), flows AS (  -- who gets how much of whose trust and distrust, and every host nothing of its own
+  SELECT f.*, s.trust, s.distrust FROM (
+    SELECT src AS giver, dst AS host, share AS t, 0.0 AS d FROM shares
+    UNION ALL SELECT dst, src, 0.0, share FROM shares UNION ALL SELECT host, host, 0.0, 0.0 FROM seeds) f
+  JOIN seeds s USING (host)
+), scores AS (
+  SELECT 0 AS round, host, CAST(trust AS DOUBLE) AS trust, CAST(distrust AS DOUBLE) AS distrust FROM seeds
+  UNION ALL
+  SELECT round + 1, f.host, CAST(any_value(f.trust) + 0.85 * sum(f.t * s.trust) AS DOUBLE),
+         CAST(any_value(f.distrust) + (1 - any_value(f.distrust)) * 0.85 * sum(f.d * s.distrust) AS DOUBLE)
+  FROM scores s JOIN flows f ON f.giver = s.host WHERE round < 100 GROUP BY round, f.host
+)
 SELECT page_id, j.host, path, rule,
        coalesce(told, CASE WHEN distrust > 0.5 AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
-FROM judged j LEFT JOIN trust_10 t ON t.host = j.host LEFT JOIN distrust_10 d ON d.host = j.host
+FROM judged j LEFT JOIN scores s ON s.host = j.host AND s.round = 100
 """
-)
 
 # Every window of 20 words as a text; all but the first of equal ones cover words that go.
 SUBSTRINGS = f"""

@@ -35,17 +35,37 @@ def test_distrust_flows_against_links_and_trust_along(spark, folder):
     assert rows[4].trust == pytest.approx(0.85)
 
 
-def test_scores_are_a_personalised_page_rank(spark, folder):
-    hosts = [f"h{i}.test" for i in range(9)] + ["a.net"]
-    links = {(i, j) for i in range(10) for j in range(10) if i != j and (i * 3 + j * 7) % 4 == 0}
-    pages = [(i, f"http://{hosts[i]}/", "".join(f'<a href="http://{hosts[j]}/">' for k, j in sorted(links) if k == i)) for i in range(10)]
-    rows = judged(spark, folder, pages, rounds=4)
-    into = {j: sum(v == j for _, v in links) for j in range(10)}
-    seed = [0.0] * 9 + [1.0]
-    scores = list(seed)
-    for _ in range(4):
-        scores = [seed[i] + 0.85 * sum(scores[j] / into[j] for k, j in links if k == i) for i in range(10)]
-    assert [rows[i].distrust for i in range(10)] == pytest.approx(scores)
+def test_scores_solve_their_equations(spark, folder):
+    """Against the linear systems, solved: trust = seed + 0.85 S' trust, distrust = seed + (1 - seed) 0.85 S distrust."""
+    import numpy as np
+
+    hosts = [f"h{i}.test" for i in range(9)] + ["a.net", "b.org"]
+    links = {(i, j) for i in range(11) for j in range(11) if i != j and (i * 3 + j * 7) % 4 == 0}
+    path = lambda i: "fr/" if i == 10 else ""
+    pages = [(i, f"http://{hosts[i]}/{path(i)}", "".join(f'<a href="http://{hosts[j]}/">' for k, j in sorted(links) if k == i)) for i in range(11)]
+    pages.append((11, "http://h3.test/x", ""))
+    rows = judged(spark, folder, pages, still=1e-12)
+    share = np.zeros((11, 11))
+    for i, j in links:
+        share[i, j] = 1 / sum(k == i for k, _ in links)
+    bad, good = np.eye(11)[9], np.eye(11)[10]
+    trust = np.linalg.solve(np.eye(11) - 0.85 * share.T, good)
+    distrust = np.linalg.solve(np.eye(11) - 0.85 * (1 - bad)[:, None] * share, bad)
+    assert [rows[i].trust for i in range(11)] == pytest.approx(trust.tolist())
+    assert [rows[i].distrust for i in range(11)] == pytest.approx(distrust.tolist())
+    assert 0 <= distrust.min() and distrust.max() <= 1
+
+
+@pytest.mark.parametrize("size", [1, 2, 10, 100])
+def test_farms_of_any_size_are_blocked(spark, folder, size):
+    """Hosts that link only to one blocked host; their neighbours, that also link elsewhere, are left alone."""
+    link = lambda *hosts: "".join(f"<a href='//{h}/'>" for h in hosts)
+    pages = [(0, "http://bad.net/", "")]
+    pages += [(i, f"http://farm{i}.test/", link("bad.net")) for i in range(1, size + 1)]
+    pages += [(200 + i, f"http://next{i}.test/", link("bad.net", "a.test", "b.test")) for i in range(3)]
+    pages += [(300, "http://chain.test/", link("farm1.test")), (301, "http://read.test/", ""), (302, "http://far.test/", link("next0.test"))]
+    rows = judged(spark, folder, pages)
+    assert {i for i, r in rows.items() if r.verdict == "block"} == {0, *range(1, size + 1), 300}
 
 
 def test_repeated_rows_and_an_empty_table(spark, folder):
