@@ -159,3 +159,14 @@ def test_special_tokens_as_by_the_librarys_default(spark, folder):
     packing.write_token_files(spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id bigint, text string"), path, WORDS, end_id=2)
     found = {r.doc_id: r.ids_crc32 for r in packing.read_token_files(spark, path).collect()}
     assert found == {i: zlib.crc32(np.array([*default(t), 2], "<u4").tobytes()) for i, t in enumerate(SPECIAL)}
+
+
+def test_random_texts_with_special_tokens():
+    """Special strings, odd blanks, marks, capitals without small letters, combining characters: as the library's default."""
+    library, words, draw = Tokenizer.from_file(WORDS), packing.WordIds(WORDS, most=500, special=True), random.Random(5)
+    parts = ["a", "B", "é", "É", "ß", "İ", "1", "'s", "'T", "'", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "|>", " ", "  ", "\n",
+             " ", " ", "́", ".", "!", "(", "-", "_", "ÀB", "ñ", "中", "🙂", "\x00", "\x1f", "\x85", "ǅ", "ﬁ", "don't", "It's,", "word"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 12))) for _ in range(6000)]
+    for i in range(0, len(texts), 500):
+        some = texts[i : i + 500]
+        assert [x.tolist() for x in words.encode(some)] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
