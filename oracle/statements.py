@@ -435,3 +435,12 @@ STATEMENTS: dict[str, str] = {
         AS margin_category
     FROM grouped ORDER BY total_profit DESC""",
 }
+
+# All pass/fail checks on figures, one after the other.
+STATEMENTS["all_checks"] = " UNION ALL ".join(
+    f"SELECT * FROM ({STATEMENTS[name]})"
+    for name in (
+        "check_not_null", "check_null_fks", "check_primary_keys", "check_foreign_keys",
+        "reconcile_counts", "reconcile_totals", "reconcile_orders", "crosscheck_dimensions",
+    )
+)

@@ -255,6 +255,7 @@ QUERIES: dict[str, Query] = {
     "reconcile_orders": Q.reconcile_orders,
     "dimension_counts": Q.dimension_counts,
     "crosscheck_dimensions": Q.crosscheck_dimensions,
+    "all_checks": Q.all_checks,
     "profile_silver": Q.profile_silver,
     # analyses
     "kpi_summary": lambda w: A.kpi_summary(w.fact_sales),

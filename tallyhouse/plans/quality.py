@@ -26,6 +26,13 @@ KEYS = {
     "dim_geography": "Geo_Key",
     "dim_date": "Order_Date",
 }
+# Names of the four audits.
+NULL_AUDITS = {
+    "null_geo_keys": "Geo_Key",
+    "null_product_keys": "Product_Key",
+    "null_customer_ids": "Customer_ID",
+    "null_order_dates": "Order_Date",
+}
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -61,14 +68,7 @@ def check_not_null(tables: Tables) -> DataFrame:
 
 
 def check_null_fks(tables: Tables) -> DataFrame:
-    # Names of the four audits.
-    audits = {
-        "null_geo_keys": "Geo_Key",
-        "null_product_keys": "Product_Key",
-        "null_customer_ids": "Customer_ID",
-        "null_order_dates": "Order_Date",
-    }
-    return _zero_expected(_count_nulls(tables["fact_sales"], audits))
+    return _zero_expected(_count_nulls(tables["fact_sales"], NULL_AUDITS))
 
 
 def check_key_types(tables: Tables) -> DataFrame:
@@ -194,44 +194,147 @@ def crosscheck_dimensions(tables: Tables) -> DataFrame:
     )
 
 
+# Which columns of silver and of the fact table are tallied beside the dimension keys, and the
+# dimensions whose rows must be the distinct values of a column of silver.
+_ORDERS = "Order_ID"
+_MEMBERS = {"dim_customer": "Customer_ID", "dim_product": "Product_ID", "dim_date": "Order_Date"}
+_AMOUNTS = ("Sales", "Profit")
+
+
+def _tally(tables: Tables) -> DataFrame:
+    """kind, value, and the rows each table has with that value in the column ``kind``.
+
+    Every table is read once. A row becomes one short row per tallied column, which are counted where
+    they are read, so a hot value reaches the shuffle as one row per task. Amounts go with the orders."""
+    kinds = {t: [k] for t, k in KEYS.items()}
+    kinds["silver"] = [_ORDERS, *_MEMBERS.values()]
+    kinds["fact_sales"] = [_ORDERS, *KEYS.values()]
+
+    def one(table: str) -> DataFrame:
+        amounts = _AMOUNTS if _ORDERS in kinds[table] else ()
+        items = F.array(
+            *[
+                F.struct(
+                    F.lit(k).alias("kind"),
+                    F.col(k).cast("string").alias("value"),
+                    *[F.when(F.lit(k == _ORDERS), F.col(a)).alias(a) for a in amounts],
+                )
+                for k in kinds[table]
+            ]
+        )
+        return tables[table].select(F.inline(items)).withColumn("table", F.lit(table))
+
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(t) for t in kinds])
+    here = {t: F.col("table") == t for t in kinds}
+    sums = [F.sum(F.when(here[t], F.col(a))).alias(f"{t}_{a}") for t in ("silver", "fact_sales") for a in _AMOUNTS]
+    return rows.groupBy("kind", "value").agg(*[F.count_if(here[t]).alias(t) for t in kinds], *sums)
+
+
+def _figures(tally: DataFrame) -> tuple[DataFrame, dict[str, tuple[str, str | None]]]:
+    """One row of figures, and per check the figure that is expected (none: zero) and the actual one."""
+    known = F.col("value").isNotNull()
+    figures: dict[str, Column] = {}
+    checks: dict[str, tuple[str, str | None]] = {}
+
+    def total(rows: str, condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col(rows))), F.lit(0))
+
+    def add(check: str, actual: Column, expected: Column | None = None) -> None:
+        at = len(checks)
+        figures[f"actual_{at}"] = actual
+        if expected is not None:
+            figures[f"expected_{at}"] = expected
+        checks[check] = (f"actual_{at}", None if expected is None else f"expected_{at}")
+
+    for table, key in KEYS.items():
+        kind = F.col("kind") == key
+        add(f"{table}.{key} not null", total(table, kind & ~known))
+        add(f"fact_sales.{key} not null", total("fact_sales", kind & ~known))
+        add(f"{table}.{key} unique", F.count_if(kind & (F.col(table) > 1)))
+        add(f"fact_sales.{key} in {table}", total("fact_sales", kind & known & (F.col(table) == 0)))
+    for audit, key in NULL_AUDITS.items():
+        add(audit, total("fact_sales", (F.col("kind") == key) & ~known))
+    orders = F.col("kind") == _ORDERS
+    add("rows", total("fact_sales", orders), total("silver", orders))
+    for amount in _AMOUNTS:
+        silver, fact = (
+            F.round(F.sum(f"{t}_{amount}"), 2).cast("decimal(38,2)") for t in ("silver", "fact_sales")
+        )
+        add(f"total_{amount.lower()}", fact, silver)
+    add("orders", *[F.count_if(orders & known & (F.col(t) > 0)) for t in ("fact_sales", "silver")])
+    for table, column in _MEMBERS.items():
+        distinct = F.count_if((F.col("kind") == column) & known & (F.col("silver") > 0))
+        add(f"{table} rows", total(table, F.col("kind") == KEYS[table]), distinct)
+    for table, key in KEYS.items():
+        figures[table] = total(table, F.col("kind") == key)
+    return tally.agg(*[v.alias(n) for n, v in figures.items()]), checks
+
+
+def _judged(check: str, actual: str, expected: str | None, shown: str) -> Column:
+    wanted = F.lit(0) if expected is None else F.col(expected)
+    return F.struct(
+        F.lit(check).alias("check"),
+        wanted.cast("double").cast(shown).alias("expected"),
+        F.col(actual).cast("double").cast(shown).alias("actual"),
+        wanted.eqNullSafe(F.col(actual)).alias("passed"),
+    )
+
+
+def all_checks(tables: Tables) -> DataFrame:
+    """Constraints and reconciliations, all figures from one tally of key values: each table is read
+    once, and no join is needed to find what a dimension lacks."""
+    figures, checks = _figures(_tally(tables))
+    return figures.select(F.inline(F.array(*[_judged(c, a, e, "double") for c, (a, e) in checks.items()])))
+
+
 def quality_report(tables: Tables, expected_rows: Mapping[str, int] | None = None) -> DataFrame:
     """Every pass/fail check in one table; ``expected_rows`` per dimension are checked if given."""
-    numeric = [
-        check_not_null, check_null_fks, check_primary_keys, check_foreign_keys,
-        reconcile_counts, reconcile_totals, reconcile_orders, crosscheck_dimensions,
-    ]
-    text = ["check", F.col("expected").cast("string"), F.col("actual").cast("string"), "passed"]
-    reports = [c(tables) for c in [*numeric, check_key_types]]
-    if expected_rows:
-        reports.append(dimension_counts(tables, expected_rows))
-    return _union([r.select(*text) for r in reports])
+    figures, checks = _figures(_tally(tables))
+    rows = [_judged(c, a, e, "string") for c, (a, e) in checks.items()]
 
+    def row(check: str, expected: Column, actual: Column) -> Column:
+        told = {"expected": expected, "actual": actual}
+        return F.struct(
+            F.lit(check).alias("check"),
+            *[v.cast("string").alias(n) for n, v in told.items()],
+            expected.eqNullSafe(actual).alias("passed"),
+        )
 
-def profile_silver(tables: Tables) -> DataFrame:
-    """The audits around cleaning: what was found in bronze and what is left in silver."""
-    bronze, clean = tables["bronze"], tables["silver"]
+    for table, key in KEYS.items():
+        types = [tables[t].schema[key].dataType.simpleString() for t in (table, "fact_sales")]
+        rows.append(row(f"fact_sales.{key} type", *map(F.lit, types)))
+    for table, n in (expected_rows or {}).items():
+        rows.append(row(f"{table} expected rows", F.lit(float(n)), F.col(table).cast("double")))
+    return figures.select(F.inline(F.array(*rows)))
 
-    def distinct(df: DataFrame, value: Column, measure: str) -> DataFrame:
-        return df.agg(F.count_distinct(value).alias("value")).select(
-            F.lit(measure).alias("measure"), "value"
-        )
 
-    found = bronze.agg(
-        F.count(F.lit(1)).alias("raw_rows"),
-        F.count_if(F.col("Customer_Name").isNull()).alias("null_customer_names"),
-        F.count_if(F.upper(F.trim("City")).isin(*cleaning.MISSING_CITY)).alias("missing_cities"),
-        F.count_if(cleaning.cased_state().like(cleaning.MISPLACED_STATE)).alias("misplaced_states"),
-        F.count_if(F.col("Category").isin(*cleaning.CATEGORY_CORRECTIONS)).alias("misspelt_categories"),
-        F.count_if(F.col("Postal_Code").isNull()).alias("null_postal_codes"),
+def profile_silver(tables: Tables) -> DataFrame:
+    """The audits around cleaning: what was found in bronze and what is left in silver.
+
+    Bronze is read once: its lines are counted per place and category, of which there are few, and
+    the distinct values are counted among those groups."""
+    counts = {
+        "raw_rows": F.lit(True),
+        "null_customer_names": F.col("Customer_Name").isNull(),
+        "missing_cities": F.upper(F.trim("City")).isin(*cleaning.MISSING_CITY),
+        "misplaced_states": cleaning.cased_state().like(cleaning.MISPLACED_STATE),
+        "misspelt_categories": F.col("Category").isin(*cleaning.CATEGORY_CORRECTIONS),
+        "null_postal_codes": F.col("Postal_Code").isNull(),
+    }
+    values = {
+        "distinct_cities": cleaning.city(),
+        "distinct_states_before_fix": cleaning.cased_state(),
+        "distinct_states": cleaning.state(),
+        "distinct_categories": cleaning.category(),
+    }
+    groups = tables["bronze"].groupBy(*[v.alias(n) for n, v in values.items()]).agg(
+        *[F.count_if(c).alias(n) for n, c in counts.items()]
     )
-    left = clean.agg(F.count(F.lit(1)).alias("clean_rows"))
-    return _union(
-        [
-            _rows(found, {c: F.col(c) for c in found.columns}, "measure", "value"),
-            _rows(left, {"clean_rows": F.col("clean_rows")}, "measure", "value"),
-            distinct(bronze, cleaning.city(), "distinct_cities"),
-            distinct(bronze, cleaning.cased_state(), "distinct_states_before_fix"),
-            distinct(bronze, cleaning.state(), "distinct_states"),
-            distinct(bronze, cleaning.category(), "distinct_categories"),
-        ]
+    found = groups.agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts],
+        *[F.count_distinct(n).alias(n) for n in values],
+    )
+    left = tables["silver"].agg(F.count(F.lit(1)).alias("clean_rows"))
+    return _rows(found, {c: F.col(c) for c in found.columns}, "measure", "value").unionByName(
+        _rows(left, {"clean_rows": F.col("clean_rows")}, "measure", "value")
     )

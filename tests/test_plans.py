@@ -182,3 +182,12 @@ def test_top_months_are_limited_before_the_shuffle(house):
 def test_self_join_does_not_scan_the_fact_table_twice(house):
     text = plan(QUERIES["self_join_next_year"](house))
     assert "fact_sales" not in text and "Order_Date" not in text
+
+
+def test_checks_read_each_table_once(house):
+    """Six tables, six scans; values are counted before the one shuffle of them."""
+    from tallyhouse.plans.quality import quality_report
+
+    text = plan(quality_report(house))
+    assert text.count("FileScan") == 6 and text.count("Exchange") == 2 and "Join" not in text
+    assert plan(QUERIES["profile_silver"](house)).count("FileScan") == 2

@@ -61,6 +61,28 @@ def nulled(df, column):
 def test_seeded_fault(tables, check, table, fault, expected):
     broken = {**tables, table: fault(tables[table])}
     assert failed(check(broken)) == expected
+    alone = {n for c in CHECKS for n in failed(c(broken))}
+    assert failed(Q.quality_report(broken)) == alone >= expected
+
+
+def test_all_checks_count_as_each_check_alone(tables):
+    """With NULLs, orphans, repeated keys and lost lines at once."""
+    broken = {
+        **tables,
+        "fact_sales": nulled(tables["fact_sales"], "Customer_ID"),
+        "dim_product": tables["dim_product"].union(tables["dim_product"].limit(2)),
+        "dim_customer": nulled(tables["dim_customer"].filter("Customer_ID <> 'CU-1'"), "Customer_ID"),
+        "silver": tables["silver"].filter("Quantity > 2"),
+        "dim_date": tables["dim_date"].limit(0),
+    }
+    alone = {tuple(r[c] for c in ("check", "expected", "actual", "passed")) for q in CHECKS if q is not Q.check_key_types for r in q(broken).collect()}
+    assert {tuple(r) for r in Q.all_checks(broken).collect()} == alone
+
+
+def test_checks_of_empty_tables(tables):
+    none = {t: df.limit(0) for t, df in tables.items()}
+    assert failed(Q.quality_report(none)) == set() and Q.quality_report(none).count() == 31
+    assert {r.value for r in Q.profile_silver(none).collect()} == {0}
 
 
 def test_foreign_key_check_counts_rows(tables):
