@@ -48,11 +48,11 @@ def _finds(text: Column, kind: str) -> Column:
     expression = _EXPRESSIONS[kind]
     gaps, found = F.split(text, expression, -1), F.regexp_extract_all(text, F.lit(expression), F.lit(0))
     each = F.transform(
-        F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value")),
+        F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), F.slice(gaps, 2, F.size(found)).alias("next"), found.alias("value")),
         lambda x, i: F.struct(
             F.lit(kind).alias("kind"), i.alias("i"), F.char_length(x["gap"]).alias("skip"),
             F.substring(x["gap"], -REACH, REACH).alias("left"),
-            F.substring(F.get(gaps, i + 1), 1, REACH).alias("right"), x["value"].alias("value"),
+            F.substring(x["next"], 1, REACH).alias("right"), x["value"].alias("value"),
         ),
     )
     return F.when(text.rlike(_NEEDS[kind]), each).otherwise(F.array().cast(_FINDS))
