@@ -140,7 +140,9 @@ def without_overlaps(found: DataFrame) -> DataFrame:
     base = _base(F.col("kind"))
     order = Window.partitionBy("row").orderBy("start", "end", "kind")
     before = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # From the end on: a frame that shrinks would be added up anew for every row.
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("end"), F.desc("kind"))
+    after = F.min(F.when(base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     hit = (F.coalesce(before, F.lit(-1)) > F.col("start")) | (F.coalesce(after, F.col("end")) < F.col("end"))
     kept = found.withColumn("hit", hit).filter(base | ~F.col("hit")).drop("hit")
     other = F.max(F.when(~base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
