@@ -2,7 +2,7 @@
 
     python -m tallyhouse build --csv lines.csv --root /shared/warehouse
     python -m tallyhouse check --root /shared/warehouse
-    python -m tallyhouse query kpi_summary --root /shared/warehouse [--out /shared/kpi]
+    python -m tallyhouse query kpi_summary --root /shared/warehouse [--out /shared/kpi] [--days 2016-01-01 2016-12-31]
 """
 
 import argparse
@@ -29,6 +29,7 @@ def main(arguments: list[str] | None = None) -> int:
     query = commands.add_parser("query", help="run one named query")
     query.add_argument("name", choices=sorted(QUERIES))
     query.add_argument("--out", help="write parquet here instead of printing the first rows")
+    query.add_argument("--days", nargs=2, metavar=("FIRST", "LAST"), help="only lines of these days, both included")
     for command in (build, check, query):
         command.add_argument("--root", required=True)
     options = parser.parse_args(arguments)
@@ -51,7 +52,7 @@ def main(arguments: list[str] | None = None) -> int:
         for row in rows:
             print(f"{'ok  ' if row.passed else 'FAIL'} {row['check']}: {row.actual} (expected {row.expected})")
         return 0 if all(row.passed for row in rows) else 1
-    result = QUERIES[options.name](house)
+    result = QUERIES[options.name](house.period(*options.days) if options.days else house)
     if options.out:
         result.write.mode("overwrite").parquet(options.out)
     else:

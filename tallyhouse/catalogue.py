@@ -14,8 +14,7 @@ from tallyhouse.functions import (
     sentence_case,
     text_length,
 )
-from tallyhouse.plans import analyses as A, quality as Q, silver as S
-from tallyhouse.plans.gold import PLACE
+from tallyhouse.plans import analyses as A, gold, quality as Q, silver as S
 from tallyhouse.plans.warehouse import Warehouse
 from tallyhouse.sources.raw_csv import RAW_COLUMNS, read_raw, write_raw
 
@@ -77,11 +76,15 @@ def _filter_predicates(w: Warehouse) -> DataFrame:
 
 
 def _scalar_subquery(w: Warehouse) -> DataFrame:
-    """Lines of the last day, each next to all sales: one subquery in WHERE, one in SELECT."""
+    """Lines of the last day, each next to all sales: one subquery in WHERE, one in SELECT.
+
+    The day comes from the dates' table, which has exactly the fact's days; of the fact only its year
+    is read, and the sales column for the total."""
     fact = w.fact_sales
-    last_day = fact.select(F.max("Order_Date")).scalar()
+    last_day = w.dim_date.select(F.max("Order_Date")).scalar()
     all_sales = fact.select(F.sum("Sales")).scalar()
-    return fact.filter(F.col("Order_Date") == last_day).select(
+    in_year = F.col(gold.YEAR) == F.year(last_day)
+    return fact.filter(in_year & (F.col("Order_Date") == last_day)).select(
         "Order_ID",
         "Product_ID",
         "Order_Date",
@@ -132,7 +135,7 @@ def _surrogate_keys(w: Warehouse) -> DataFrame:
         F.col("Product_ID").alias("member"),
         F.col("Product_Key").alias("surrogate_key"),
     )
-    place = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("?")) for c in PLACE])
+    place = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("?")) for c in gold.PLACE])
     geography = w.dim_geography.select(
         F.lit("geography").alias("dimension"),
         place.alias("member"),
@@ -208,7 +211,7 @@ QUERIES: dict[str, Query] = {
     "dim_product": lambda w: w.dim_product,
     "dim_geography": lambda w: w.dim_geography,
     "dim_date": lambda w: w.dim_date,
-    "fact_sales": lambda w: _doubled(w.fact_sales),
+    "fact_sales": lambda w: _doubled(w.fact_sales).drop(gold.YEAR),
     # typing and repair
     "cast_types": _cast_types,
     "postal_code_int": lambda w: _bronze_column(w, Postal_Code=S.postal_code()),

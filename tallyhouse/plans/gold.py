@@ -1,6 +1,6 @@
 """Silver lines to a star schema: four dimensions and one fact table."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhouse.operators.dedup import first_per_key
 from tallyhouse.operators.ordering import global_row_number
@@ -8,6 +8,9 @@ from tallyhouse.plans.silver import UNKNOWN
 from tallyhouse.sources.shared import SharedFolder
 
 PLACE = ("Country", "State", "City", "Region")
+# The fact table has a folder per year; files are sorted by day, so days skip row groups inside a year.
+YEAR = "Order_Year"
+CLUSTERED = ("Order_Date", "Customer_ID")
 
 
 def dim_customer(silver: DataFrame, prefer_known: bool = False) -> DataFrame:
@@ -71,3 +74,17 @@ def fact_sales(silver: DataFrame, geography: DataFrame, product: DataFrame) -> D
             "s.Order_Date", "s.Sales", "s.Quantity", "s.Profit", "s.Discount",
         )
     )
+
+
+def with_year(fact: DataFrame) -> DataFrame:
+    """The year of the order as last column; NULL without a date."""
+    return fact.withColumn(YEAR, F.year("Order_Date"))
+
+
+def within(fact: DataFrame, first_day: Column, last_day: Column) -> DataFrame:
+    """Lines of these days, both included, from the folders of their years only.
+
+    The days may be scalar subqueries: Spark runs these first and then prunes. Lines without a date
+    are in no period."""
+    years = F.col(YEAR).between(F.year(first_day), F.year(last_day))
+    return fact.filter(years & F.col("Order_Date").between(first_day, last_day))

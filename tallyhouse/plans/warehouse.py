@@ -7,6 +7,7 @@ killed, readers and published tables keep the build before."""
 import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from copy import copy
 from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,6 +24,9 @@ SILVER = "silver/sales"
 GOLD = ("dim_customer", "dim_product", "dim_geography", "dim_date", "fact_sales")
 BUILDS = "complete_builds"
 TABLES = (BRONZE, SILVER, *(f"gold/{t}" for t in GOLD))
+FACT = "gold/fact_sales"
+# Whether the catalog keeps a list of a table's folders.
+_LISTED = "spark.sql.hive.manageFilesourcePartitions"
 
 
 class QualityError(ValueError):
@@ -52,6 +56,7 @@ class Warehouse:
         self.build_path = f"builds/{uuid.uuid4().hex}"
         self._source = bronze
         self._tables: dict[str, DataFrame] = {}
+        self._days: tuple[str, str] | None = None
         self._building = RLock()
 
     @classmethod
@@ -73,9 +78,17 @@ class Warehouse:
         house = cls(root, lambda: house.bronze)
         builds = house.folder.read(spark, BUILDS)
         house.build_path = builds.orderBy(F.desc("finished"), "path").first()["path"]
-        house._tables = {t: house.folder.read(spark, f"{house.build_path}/{t}") for t in TABLES}
+        house._tables = {t: house.folder.read(spark, f"{house.build_path}/{t}") for t in TABLES if t != FACT}
+        house._tables[FACT] = house.folder.read(spark, f"{house.build_path}/{FACT}", house._new_fact().schema)
         return house
 
+    def period(self, first_day: str, last_day: str) -> "Warehouse":
+        """The same tables, but of the fact only the lines of these days, both included: every report
+        on it reads the years of the period. For reports; checks compare whole tables."""
+        part = copy(self)
+        part._days = (first_day, last_day)
+        return part
+
     @property
     def bronze(self) -> DataFrame:
         return self._table(BRONZE, self._source)
@@ -112,10 +125,18 @@ class Warehouse:
 
     @property
     def fact_sales(self) -> DataFrame:
-        return self._table(
-            "gold/fact_sales",
-            lambda: gold.fact_sales(self.silver, self.dim_geography, self.dim_product),
-        )
+        with self._building:
+            if FACT not in self._tables:
+                self._tables[FACT] = self.folder.replace_partitioned(
+                    self._new_fact(), f"{self.build_path}/{FACT}", gold.YEAR, gold.CLUSTERED
+                )
+        fact = self._tables[FACT]
+        if self._days is None:
+            return fact
+        return gold.within(fact, *[F.lit(day).cast("date") for day in self._days])
+
+    def _new_fact(self) -> DataFrame:
+        return gold.with_year(gold.fact_sales(self.silver, self.dim_geography, self.dim_product))
 
     def __getitem__(self, table: str) -> DataFrame:
         """A table by name: bronze, silver or one of the gold tables."""
@@ -165,7 +186,19 @@ class Warehouse:
                 spark.catalog.refreshTable(full)
             else:
                 spark.sql(f"DROP TABLE IF EXISTS {full}")
-                spark.sql(f"CREATE TABLE {full} USING parquet LOCATION '{path}'")
+                self._create(spark, full, table, path)
+
+    def _create(self, spark: SparkSession, full: str, table: str, path: str) -> None:
+        """The fact's folders are found by looking, not listed in the catalog: one change of the location
+        then moves all of them."""
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self._tables[table].schema)
+        folders = f"PARTITIONED BY ({gold.YEAR})" if table == FACT else ""
+        listed = spark.conf.get(_LISTED)
+        spark.conf.set(_LISTED, "false")
+        try:
+            spark.sql(f"CREATE TABLE {full} ({columns}) USING parquet {folders} LOCATION '{path}'")
+        finally:
+            spark.conf.set(_LISTED, listed)
 
     def _ours(self, spark: SparkSession, table: str) -> bool:
         """Whether there is no such table, or it lies under this root."""

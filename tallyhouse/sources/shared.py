@@ -2,8 +2,10 @@
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 
 _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
@@ -65,9 +67,20 @@ class SharedFolder:
         """Write ``df`` as table ``name``, overwriting an earlier build, and read it back."""
         return self._write(df, f"{self.root}/{name}")
 
+    def replace_partitioned(self, df: DataFrame, name: str, by: str, order: Sequence[str]) -> DataFrame:
+        """Like ``replace``, with a folder per value of ``by``, the last column, and files sorted by ``order``.
+
+        Adaptive execution deals the rows by ``by`` and splits and merges what it dealt to even sizes, so a
+        value that holds most rows is written by many tasks and a small one ends up in one file."""
+        dealt = df.hint("rebalance", F.col(by)).sortWithinPartitions(by, *order)
+        dealt.write.mode("overwrite").partitionBy(by).parquet(f"{self.root}/{name}")
+        return self.read(df.sparkSession, name, df.schema)
+
     def _write(self, df: DataFrame, path: str) -> DataFrame:
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    def read(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.root}/{name}")
+    def read(self, spark: SparkSession, name: str, schema: StructType | None = None) -> DataFrame:
+        """``schema`` is needed where a table with folders may have no row and so no file."""
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return reader.parquet(f"{self.root}/{name}")

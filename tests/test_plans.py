@@ -191,3 +191,27 @@ def test_checks_read_each_table_once(house):
     text = plan(quality_report(house))
     assert text.count("FileScan") == 6 and text.count("Exchange") == 2 and "Join" not in text
     assert plan(QUERIES["profile_silver"](house)).count("FileScan") == 2
+
+
+def test_last_day_reads_its_year_only(house):
+    """The years' folders are pruned by the result of the subquery; of seven years one is read."""
+    df = QUERIES["scalar_subquery"](house)
+    text = plan(df)
+    pruned = [l for l in text.splitlines() if "FileScan" in l and "Order_Year" in l and "Subquery" in l.split("PartitionFilters:")[1].split("PushedFilters")[0]]
+    assert pruned
+    lines = [l for l in text.splitlines() if "FileScan" in l and "Order_ID" in l]
+    assert lines == pruned
+    # The whole fact is read once, for its total; the lookups of the day are of the dates' table.
+    assert text.count("ReadSchema: struct<Sales:decimal(18,4)>") == 1
+    assert "ReadSchema: struct<Order_Date:date,Sales" not in text
+    assert house.fact_sales.select("Order_Year").distinct().count() == 7
+    assert df.count() == house.fact_sales.filter(house.fact_sales.Order_Date == df.first()["Order_Date"]).count() > 0
+
+
+@pytest.mark.parametrize("name", ["kpi_summary", "yoy_growth", "category_performance", "yoy_churn", "rank_months"])
+def test_reports_on_a_period_prune_years(house, name):
+    text = plan(QUERIES[name](house.period("1995-03-01", "1996-02-28")))
+    scans = [l for l in text.splitlines() if "FileScan" in l and "Order_Year" in l]
+    assert scans
+    for scan in scans:
+        assert "PartitionFilters: [isnotnull(Order_Year" in scan and "1995" in scan and "GreaterThanOrEqual(Order_Date,1995-03-01)" in scan

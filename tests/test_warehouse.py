@@ -73,6 +73,30 @@ def test_a_build_that_dies_changes_nothing(spark, csv, monkeypatch):
     assert old.fact_sales.select(F.sum("Sales")).first()[0] == total
 
 
+def test_a_period_is_the_fact_of_its_days(spark, house):
+    days = F.col("Order_Date").between("1995-03-01", "1996-02-28")
+    part = house.period("1995-03-01", "1996-02-28")
+    assert contents(part.fact_sales) == contents(house.fact_sales.filter(days))
+    assert 0 < part.fact_sales.count() < house.fact_sales.count()
+    plain = Warehouse(SharedFolder.of(spark).root, lambda: house.bronze)
+    plain._tables = {**house._tables, "gold/fact_sales": house.folder.keep(house.fact_sales.filter(days), "part")}
+    for name in ("kpi_summary", "region_performance", "rfm", "yoy_churn"):
+        assert contents(QUERIES[name](part)) == contents(QUERIES[name](plain)), name
+
+
+def test_fact_without_rows_or_dates(spark, house):
+    """An empty fact has no folder, lines without a date have one of their own; both can be opened and published."""
+    for lines, n in ((house.silver.limit(0), 0), (house.silver.limit(5).withColumn("Order_Date", F.lit(None).cast("date")), 5)):
+        root = SharedFolder.of(spark).root
+        built = Warehouse(root, lambda: house.bronze)
+        built._tables["silver/sales"] = built.folder.replace(lines, f"{built.build_path}/silver/sales")
+        built.build()
+        opened = Warehouse.opened(spark, root)
+        assert opened.fact_sales.schema == built.fact_sales.schema
+        assert opened.fact_sales.count() == n and opened.fact_sales.filter("Order_Year IS NULL").count() == n
+        assert opened.period("1900-01-01", "2100-01-01").fact_sales.count() == 0
+
+
 def test_publish_refuses_bad_data(spark, house):
     root = SharedFolder.of(spark).root
     bad = Warehouse(root, lambda: house.bronze)
@@ -114,6 +138,8 @@ def test_command_line(spark, csv, capsys):
     out = SharedFolder.of(spark).fresh("out")
     assert main(["query", "yoy_growth", "--root", root, "--out", out]) == 0
     assert spark.read.parquet(out).count() == 7
+    assert main(["query", "yoy_growth", "--root", root, "--out", out, "--days", "1995-01-01", "1996-06-30"]) == 0
+    assert spark.read.parquet(out).count() == 2
 
 
 def test_shared_folder_comes_from_the_session(spark):
