@@ -5,8 +5,11 @@ knows the most frequent words and the end; every other word is a class of words
 and within its class a word has its add-one share of the counts, as has any word never seen. So all
 words, known or not, have probabilities that add up to one.
 
-Counts cover every training token and are summed in Spark; the tasks of a training round each start
-from the same parameters, go once through their share of the tokens, and are averaged by tokens.
+Counts cover every training token and are summed in Spark. The learners of a training round each start
+from the same parameters and go once through their share of the texts; then every vector moves by the mean
+of the learners' moves, each weighted by the steps in which it touched that vector, so that a word that
+few learners met is not held back by the others. There is a learner per ``share`` training tokens, whatever
+the number of partitions.
 Training shares noise words within a batch, so it is matrix products. For scores, one product of the
 context and the word vectors gives all score parts, and normalisers are computed once per context.
 
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 from copy import deepcopy
 from dataclasses import dataclass
 from itertools import islice
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +51,7 @@ class Settings:
     ratio: int = 8  # noise words per token
     rate: float = 0.1
     rounds: int = 3
+    share: int = 1 << 22  # training tokens of a learner, over all rounds
     seed: int = 7
 
 
@@ -133,12 +138,14 @@ def vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
     tokens, types = int(n.sum()), int(v.sum())
     # Frequent words are those of whole grades, from the top, as long as they are not too many.
     grade = F.floor(F.log2("c") * 64)
-    border, room = None, s.frequent
+    chosen, room = F.lit(False), s.frequent
     for g, many in sorted(counts.groupBy(grade.alias("g")).count().collect(), reverse=True):
         if many > room:
+            if s.frequent - room < s.words:
+                chosen |= _part_of_grade(counts, grade == g, many, room)
             break
-        border, room = g, room - many
-    chosen = counts.filter(grade >= border).collect() if border is not None else []
+        chosen, room = grade >= g, room - many
+    chosen = counts.filter(chosen).collect()
     frequent = dict(sorted(((bytes(w), c) for w, c in chosen), key=lambda x: (-x[1], x[0])))
     model = list(islice(frequent, s.words))
     for w in model:
@@ -149,6 +156,18 @@ def vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
     return Vocabulary(code, frequent, weights, n + v + 1, tokens, types)
 
 
+def _part_of_grade(counts: DataFrame, in_grade: Column, many: int, room: int) -> Column:
+    """Up to ``room`` of the ``many`` words of a grade, by their hashes: parts of about a sixteenth of the room."""
+    part = F.pmod(F.xxhash64("token"), F.lit(1 << (16 * many // room).bit_length()))
+    sizes = counts.filter(in_grade & (part < 32)).groupBy(part.alias("k")).count().collect()
+    end = 0
+    for k, size in sorted(sizes):
+        if size > room:
+            break
+        end, room = k + 1, room - size
+    return in_grade & (part < end)
+
+
 class Model:
     """Vectors of the two contexts (the last row: before the text), vectors and biases of codes."""
 
@@ -163,14 +182,33 @@ class Model:
         self.b = np.log(share).astype(np.float32)
         # Sums of squared slopes per row: steps get shorter over all rounds.
         self.squares = [np.full(len(p), 1e-3, np.float32) for p in (*self.c, self.q, self.b)]
+        # Steps that touched a row, since the model was sent.
+        self.steps = [np.zeros(len(p), np.float32) for p in (*self.c, self.q, self.b)]
 
     @property
     def parameters(self) -> list[np.ndarray]:
         return [self.c[0], self.c[1], self.q, self.b]
 
-    @property
-    def state(self) -> list[np.ndarray]:
-        return [*self.parameters, *self.squares]
+    def moves(self, before: "Model") -> np.ndarray:
+        """What was learned since ``before``, row by row times the steps behind it, and these steps."""
+        moved = [
+            n.reshape(-1, *[1] * (p.ndim - 1)) * (p - old)
+            for own, base in ((self.parameters, before.parameters), (self.squares, before.squares))
+            for n, p, old in zip(self.steps, own, base)
+        ]
+        return np.concatenate([x.ravel() for x in (*moved, *self.steps)]).astype(np.float64)
+
+    def move(self, summed: np.ndarray) -> None:
+        """Every row by the mean of the moves that ``summed`` adds up."""
+        steps, at = [], len(summed) - sum(map(len, self.steps))
+        summed, tail = summed[:at], summed[at:]
+        for n in self.steps:
+            steps.append(np.maximum(tail[: len(n)], 1))
+            tail = tail[len(n) :]
+        at = 0
+        for n, p in zip(steps * 2, (*self.parameters, *self.squares)):
+            p += (summed[at : at + p.size].reshape(p.shape) / n.reshape(-1, *[1] * (p.ndim - 1))).astype(np.float32)
+            at += p.size
 
     def contexts(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         before = np.concatenate((np.full(2, len(self.b), codes.dtype), codes))
@@ -210,6 +248,7 @@ class Model:
             rows, starts = np.unique(index[order], return_index=True)
             sums = np.add.reduceat(slope[order], starts, axis=0)
             squares[p][rows] += (sums * sums).mean(axis=1)
+            self.steps[p][rows] += 1
             moved = s.rate * sums / np.sqrt(squares[p][rows])[:, None]
             self.parameters[p][rows] -= moved if p < 3 else moved[:, 0]
 
@@ -288,8 +327,14 @@ def encoded(docs: DataFrame, vocabulary_: Vocabulary, s: Settings) -> DataFrame:
 
 
 def trained(texts: DataFrame, vocabulary_: Vocabulary, s: Settings, sums: int = 8) -> Model:
-    """Rounds over disjoint shares of the texts; each averages what its tasks have learned."""
+    """Rounds over disjoint shares of the texts; each averages what its learners have learned.
+
+    Learners are partitions dealt by row, so neither equal texts nor long inputs make one of them larger.
+    Rounds and the order inside a learner go by id and text, so one learner's result does not depend on how the
+    input is divided; of several, which texts meet in one does."""
     model = Model(vocabulary_.weights, s)
+    learners = -(-vocabulary_.tokens // s.share) or 1
+    sums = min(max(sums, isqrt(learners)), learners)
     for number in range(s.rounds):
         sent = texts.sparkSession.sparkContext.broadcast(model)
 
@@ -299,8 +344,7 @@ def trained(texts: DataFrame, vocabulary_: Vocabulary, s: Settings, sums: int =
             own, task = deepcopy(sent.value), TaskContext.get().partitionId()
             seen = own.train((np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for b in batches for x in b.column(0)), number, task)
             if seen:
-                flat = np.concatenate([p.ravel() for p in own.state]).astype(np.float64) * seen
-                yield _sum_row(task, seen, flat)
+                yield _sum_row(task, seen, own.moves(sent.value))
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen, total = 0, 0.0
@@ -311,17 +355,15 @@ def trained(texts: DataFrame, vocabulary_: Vocabulary, s: Settings, sums: int =
             if seen:
                 yield _sum_row(0, seen, total)
 
-        share = texts.filter(~F.col("held_out") & (F.pmod(F.xxhash64("row"), F.lit(s.rounds)) == number)).select("codes")
+        order = F.xxhash64("id", "codes")
+        share = texts.filter(~F.col("held_out") & (F.pmod(order, F.lit(s.rounds)) == number)).select("row", order.alias("order"), "codes")
+        share = share.repartition(learners, "row").sortWithinPartitions("order").select("codes")
         schema = "task int, seen bigint, flat binary"
         # In two steps, each a running sum: the driver gets one set of parameters, however many tasks there are.
         summed = share.mapInArrow(learn, schema).repartition(sums, "task").mapInArrow(add, schema)
         parts = summed.repartition(1).mapInArrow(add, schema).collect()
-        seen = sum(p.seen for p in parts)
-        if seen:
-            flat, at = sum(np.frombuffer(p.flat) for p in parts) / seen, 0
-            for p in model.state:
-                p[...] = flat[at : at + p.size].reshape(p.shape)
-                at += p.size
+        for part in parts:  # one
+            model.move(np.frombuffer(part.flat))
     return model
 
 

@@ -62,6 +62,41 @@ def test_beats_the_base_on_held_out_texts(spark, folder):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_many_words_of_one_count_are_modelled(spark, folder):
+    """300 words once each, more than may travel: a part of them does, and the model is full."""
+    docs = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(300)))], "id bigint, text string")
+    vocab = lm.vocabulary(folder.keep(lm.token_counts(docs), "counts"), TINY)
+    assert TINY.words <= len(vocab.code) <= TINY.frequent
+    assert sum(k < TINY.words for k in vocab.code.values()) == TINY.words
+    assert vocab.types == vocab.tokens == vocab.weights.sum() == 301
+
+
+def test_rows_move_by_the_learners_that_touched_them():
+    base = lm.Model(np.ones(5), TINY)
+    one, two = lm.deepcopy(base), lm.deepcopy(base)
+    one.q[0] += 1
+    one.steps[2][0] = 3
+    one.q[1] += 1
+    one.steps[2][1] = 1
+    two.q[1] += 5
+    two.steps[2][1] = 3
+    after = lm.deepcopy(base)
+    after.move(one.moves(base) + two.moves(base))
+    assert after.q - base.q == pytest.approx(np.array([1, 4, 0, 0, 0])[:, None] * np.ones(TINY.size), abs=1e-5)
+    assert (after.b == base.b).all() and (after.c == base.c).all()
+
+
+@pytest.mark.parametrize("share, close", [(1 << 22, 1e-6), (1 << 14, 0.01)])
+def test_scores_do_not_depend_on_partitions(spark, folder, share, close):
+    """Mean held-out scores of a token over 1 and 40 partitions: the same by one learner, close by several."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    means = []
+    for n in (1, 40):
+        out = [r for r in lm.score(docs.repartition(n), folder, settings=lm.Settings(share=share)).collect() if r.held_out]
+        means.append(sum(r.score for r in out) / sum(r.n_tokens for r in out))
+    assert means[0] == pytest.approx(means[1], rel=close)
+
+
 def test_tokens_of_slices():
     import pyarrow as pa
 
