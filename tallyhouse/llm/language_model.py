@@ -329,7 +329,7 @@ def encoded(docs: DataFrame, vocabulary_: Vocabulary, s: Settings) -> DataFrame:
 def trained(texts: DataFrame, vocabulary_: Vocabulary, s: Settings, sums: int = 8) -> Model:
     """Rounds over disjoint shares of the texts; each averages what its learners have learned.
 
-    Learners are partitions dealt by row, so neither equal texts nor long inputs make one of them larger.
+    Learners are partitions dealt in turn, so neither equal texts nor long inputs make one of them larger.
     Rounds and the order inside a learner go by id and text, so one learner's result does not depend on how the
     input is divided; of several, which texts meet in one does."""
     model = Model(vocabulary_.weights, s)
@@ -356,8 +356,8 @@ def trained(texts: DataFrame, vocabulary_: Vocabulary, s: Settings, sums: int =
                 yield _sum_row(0, seen, total)
 
         order = F.xxhash64("id", "codes")
-        share = texts.filter(~F.col("held_out") & (F.pmod(order, F.lit(s.rounds)) == number)).select("row", order.alias("order"), "codes")
-        share = share.repartition(learners, "row").sortWithinPartitions("order").select("codes")
+        share = texts.filter(~F.col("held_out") & (F.pmod(order, F.lit(s.rounds)) == number)).select(order.alias("order"), "codes")
+        share = share.repartition(learners).sortWithinPartitions("order").select("codes")
         schema = "task int, seen bigint, flat binary"
         # In two steps, each a running sum: the driver gets one set of parameters, however many tasks there are.
         summed = share.mapInArrow(learn, schema).repartition(sums, "task").mapInArrow(add, schema)
