@@ -33,12 +33,20 @@ def full_match(name: str, pattern: str) -> Column:
     return F.trim(F.col(name)).rlike(f"^(?:{pattern})\\z")
 
 
+def _unrounded(data_type: str) -> str:
+    """Plain numbers with no more digits than a decimal type has: most texts, and no cast can round them."""
+    digits, scale = map(int, re.findall("[0-9]+", data_type))
+    return f"[+-]?[0-9]{{1,{digits - scale}}}(?:\\.[0-9]{{0,{scale}}})?"
+
+
 def parse(name: str, data_type: str, date_formats: Sequence[str] = ()) -> Column:
     """The text column as ``data_type``; NULL where the whole text does not fit. Dates that are not ISO are
     tried against ``date_formats`` (of y, M and d) in turn."""
-    value = F.when(full_match(name, _PATTERNS[data_type.split("(")[0]]), F.col(name).try_cast(data_type))
+    fits, value = full_match(name, _PATTERNS[data_type.split("(")[0]]), F.col(name).try_cast(data_type)
     if data_type.startswith("decimal"):  # a value that the cast would round doesn't fit
-        value = F.when(value == F.col(name).try_cast("decimal(38,18)"), value)
+        whole = fits & (value == F.col(name).try_cast("decimal(38,18)"))
+        return F.when(full_match(name, _unrounded(data_type)) | whole, value)
+    value = F.when(fits, value)
     if data_type == "date":
         others = [F.when(full_match(name, date_pattern(f)), F.try_to_date(F.trim(F.col(name)), f)) for f in date_formats]
         value = F.coalesce(value, *others)
@@ -47,7 +55,7 @@ def parse(name: str, data_type: str, date_formats: Sequence[str] = ()) -> Column
 
 def whole_part(name: str) -> Column:
     """A number without its fraction, as int; NULL for exponents, suffixes and what is too large."""
-    number = F.regexp_extract(F.trim(F.col(name)), r"^([+-]?[0-9]+)", 1)
+    number = F.substring_index(F.trim(F.col(name)), ".", 1)
     return F.when(full_match(name, WHOLE_PART), number.try_cast("int"))
 
 
@@ -57,9 +65,12 @@ def misfit(name: str, parsed: Column) -> Column:
 
 
 def strict(name: str, parsed: Column, data_type: str) -> Column:
-    """``parsed``, failing the job on the first text that does not fit."""
+    """``parsed``, failing the job on the first text that does not fit.
+
+    ``parsed`` stands in it once: a projection over all columns must stay below the 8000 bytes of code
+    beyond which Java leaves a method uncompiled (tested)."""
     message = F.concat(F.lit(f"column {name} is not a valid {data_type}: "), F.col(name))
-    return F.when(misfit(name, parsed), F.raise_error(message).cast(data_type)).otherwise(parsed)
+    return F.coalesce(parsed, F.when(F.col(name).isNotNull(), F.raise_error(message).cast(data_type)))
 
 
 def fill_null(name: str, replacement: str) -> Column:

@@ -238,3 +238,20 @@ def test_dedup_of_a_key_that_holds_a_third_of_all_rows(spark, house):
     assert kept.count() == house.silver.count()
     columns = house.silver.columns
     assert kept.select(columns).exceptAll(house.silver).count() == 0
+
+
+def test_decimals_with_and_without_the_wide_cast(spark):
+    """Plain numbers are read by one cast; others still only where no digit is lost."""
+    from tallyhouse.operators.repair import parse, whole_part
+
+    texts = {
+        "1": "1.0000", " +1.5 ": "1.5000", "-.25": "-0.2500", "1.": "1.0000", "1.23450": "1.2345", "1.23451": None,
+        "99999999999999.9999": "99999999999999.9999", "100000000000000": None, "000000000000000000012.5": "12.5000",
+        "1e2": "100.0000", "1e-4": "0.0001", "1e-5": None, "1.5d": None, "": None, ".": None, "1\n": None, None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["v"] for r in df.select("t", parse("t", "decimal(18,4)").alias("v")).collect()}
+    assert got == {t: v if v is None else Decimal(v) for t, v in texts.items()}
+    texts = {"10001.0": 10001, " -7. ": -7, "+12.99": 12, "12": 12, ".5": None, "1.2.3": None, "1e3": None, "9999999999.0": None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["v"] for r in df.select("t", whole_part("t").alias("v")).collect()} == texts

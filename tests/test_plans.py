@@ -215,3 +215,17 @@ def test_reports_on_a_period_prune_years(house, name):
     assert scans
     for scan in scans:
         assert "PartitionFilters: [isnotnull(Order_Year" in scan and "1995" in scan and "GreaterThanOrEqual(Order_Date,1995-03-01)" in scan
+
+
+def test_cleaning_stays_below_what_java_compiles(spark, house):
+    """A generated method of more than 8000 bytes stays interpreted, which is several times slower."""
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    good, rejected = S.castable(house.bronze)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # whole plans at once
+    try:
+        for df in (S.repaired(house.bronze), S.silver_sales(house.bronze), S.repaired(good), rejected, house._source()):
+            code = debug.codegenString(df.select("*")._jdf.queryExecution().executedPlan())
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+            assert sizes and max(sizes) < 8000, sizes
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
