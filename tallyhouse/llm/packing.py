@@ -20,10 +20,9 @@ Spark commits them as a whole, retries lost tasks and reaches any store.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, repeat
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,6 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 MAGIC = b"S8b1"
 NO_ID = -(2**63)
@@ -46,40 +44,62 @@ _WIDTH = np.full(16, 60, np.int64)
 for _selector, _bits in enumerate(BITS, 1):
     _COUNT[_selector], _WIDTH[_selector] = 60 // _bits, _bits
 _MOST = int(_COUNT.max())
-_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch  # small letters that are NFC
+# How many selectors fit tells the selector, as whatever does not fit one fits no narrower one.
+_CHOICE = np.array([ESCAPE, *range(len(BITS), 0, -1)], np.uint8)
+_STEPS = _COUNT[_CHOICE].astype(np.uint8).tobytes().ljust(256)
+_LEVELS = np.searchsorted(np.array([1 << bits for bits in BITS]), np.arange(1 << 16), side="right").astype(np.uint8)
+_PLAIN = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"  # small letters that are NFC
 _ALNUM = np.array([bytes([b]).isalnum() for b in range(256)])
+# Letters that stand for bytes beyond printable ASCII in byte-level vocabularies, where they are not the bytes' own.
+_LETTERS = {chr(b): chr(256 + i) for i, b in enumerate(b for b in range(256) if not 33 <= b <= 126 and not 161 <= b != 173) if b > 126}
 _LIMITS = np.array([1 << bits for bits in BITS], np.uint64)
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
     """One block of ids below 2**60 as words; the last word may have room left."""
-    n = len(ids)
-    level = np.searchsorted(_LIMITS, ids, side="right").astype(np.uint8)  # selectors up to this one are too narrow
-    choice = np.full(n, ESCAPE, np.uint8)
+    return pack_blocks(ids, max(len(ids), 1))[0]
+
+
+def pack_blocks(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarray]:
+    """Ids below 2**60 as the words of all blocks, and each block's first word."""
+    n, blocks, width = len(ids), -(-len(ids) // block), block + _MOST
+    small = n and int(ids.max()) < len(_LEVELS)
+    # Selectors up to an id's level are too narrow; the last word of a block may have room left.
+    levels = _spread(_LEVELS[ids] if small else np.searchsorted(_LIMITS, ids, side="right"), block, np.uint8)
+    fitting, span = np.zeros(len(levels), np.uint8), 1
     for selector in range(len(BITS), 0, -1):  # from few wide ids to many narrow ones
-        count = int(_COUNT[selector])
-        wide = np.zeros(n + 1 + count, np.int32)
-        np.cumsum(level >= selector, out=wide[1 : n + 1])
-        wide[n + 1 :] = wide[n]
-        fits = wide[count : count + n] == wide[:n]
-        if not fits.any():
-            break  # what doesn't fit here fits no narrower selector
-        choice[fits] = selector
-    after = (np.arange(n) + _COUNT[choice]).tolist()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i = after[i]
-    first = np.array(starts, np.int64)
-    selectors = choice[first]
-    padded = np.concatenate((ids.astype(np.uint64), np.zeros(_MOST, np.uint64)))
+        # The highest level of so many ids, as that of two shorter runs which cover them.
+        more = int(_COUNT[selector]) - span
+        np.maximum(levels[:-more], levels[more:], out=levels[:-more])
+        span += more
+        fitting += levels < selector
+    steps = fitting.tobytes().translate(_STEPS)
+    starts, filled = bytearray(len(levels)), [min(block, n - b * block) for b in range(blocks)]
+    for b, size in enumerate(filled):
+        i, end = b * width, b * width + size
+        while i < end:
+            starts[i] = 1
+            i += steps[i]
+    first = np.flatnonzero(np.frombuffer(starts, np.uint8))
+    selectors = _CHOICE[fitting[first]]
+    room = _spread(ids, block, np.uint64)
     words = selectors.astype(np.uint64) << np.uint64(60)
-    for selector in np.unique(selectors):
+    for selector in np.flatnonzero(np.bincount(selectors, minlength=16)):
         rows = np.flatnonzero(selectors == selector)
-        within = np.arange(_COUNT[selector])
-        shifted = padded[first[rows][:, None] + within] << (within * _WIDTH[selector]).astype(np.uint64)
-        words[rows] |= np.bitwise_or.reduce(shifted, axis=1)
-    return words
+        at, packed = first[rows], words[rows]
+        for i in range(_COUNT[selector]):
+            packed |= room[at + i] << np.uint64(i * _WIDTH[selector])
+        words[rows] = packed
+    return words, np.searchsorted(first, np.arange(blocks) * width)
+
+
+def _spread(values: np.ndarray, block: int, kind: type) -> np.ndarray:
+    """The values with zeros behind each block, as many as a word may hold, and behind all."""
+    whole, rest = divmod(len(values), block)
+    out = np.zeros((whole + 1, block + _MOST), kind)
+    out[:whole, :block] = values[: whole * block].reshape(whole, block)
+    out[whole, :rest] = values[whole * block :]
+    return out.ravel()
 
 
 def unpack(words: np.ndarray, n: int) -> np.ndarray:
@@ -97,16 +117,17 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    blocks = [pack(ids[i : i + BLOCK_IDS]) for i in range(0, len(ids), BLOCK_IDS)]
-    sizes = np.array([0, *map(len, blocks)])
+    runs = [pack_blocks(ids[i : i + 2 * SEGMENT_IDS]) for i in range(0, len(ids), 2 * SEGMENT_IDS)]
+    sizes = np.cumsum([0, *[len(words) for words, _ in runs]])
+    blocks = [at + size for (_, begins), size in zip(runs, sizes.tolist()) for at in begins.tolist()]
     return b"".join(
         (
             MAGIC,
             np.array([len(doc_ids), len(ids), len(blocks)], "<u4").tobytes(),
             np.array([NO_ID if d is None else d for d in doc_ids], "<i8").tobytes(),
             np.array(lengths, "<u4").tobytes(),
-            np.cumsum(sizes)[:-1].astype("<u4").tobytes() if blocks else b"",
-            *[b.astype("<u8").tobytes() for b in blocks],
+            np.array(blocks, "<u4").tobytes(),
+            *[words.astype("<u8").tobytes() for words, _ in runs],
         )
     )
 
@@ -139,17 +160,15 @@ class WordIds:
     those of its words, and a word's those of its core in lower case and of the ASCII marks behind it if
     the core ends in an ASCII letter or digit. With ``special``, the strings of special tokens have those
     tokens' ids, as by the library's default, and a word with one is encoded whole; otherwise they are
-    ordinary text. What has been encoded once is looked up: a word has a
-    number, and numbers have places in one pool of ids. Words seen once only make room when it is full."""
+    ordinary text. What has been encoded once is looked up: a core, or marks, or another word has a
+    number, and numbers have places in one pool of ids. When it is full the half used least makes room."""
 
     # Marks that are neither letters nor digits, without the apostrophe, which begins contractions.
     MARKS = b""".,!#$%&*|-+()"=<>/:;?@_~[]{}"""
 
     def __init__(self, path: str, most: int = 450_000, special: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        # The same merges for words that are normalised and that its pattern would leave whole.
-        self.plain = Tokenizer(self.tokenizer.model)
-        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.model = self.tokenizer.model
         self.tokenizer.encode_special_tokens = not special
         added = self.tokenizer.get_added_tokens_decoder().values() if special else ()
         # Looked for in lower case, as a core that is not special may become so by folding it.
@@ -168,33 +187,44 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         parts = [list(slices(t)) for t in texts]
-        split = pc.ascii_split_whitespace(pa.array([p for own in parts for p in own], pa.large_string()))
-        coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        numbers = self._numbers(distinct)
+        coded = [self._encode(run) for run in _groups(chain.from_iterable(parts))]
+        ids = np.concatenate([np.zeros(0, "<u4"), *[found for found, _ in coded]])
+        ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *[lengths for _, lengths in coded]]))
+        borders = ends[np.cumsum([0, *map(len, parts)])].tolist()
+        return [ids[i:j] for i, j in pairwise(borders)]
+
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts, and how many each has."""
+        split = pc.ascii_split_whitespace(pa.array(parts, pa.large_string()))
+        cores, marks, marked = self._cut(split.flatten())
+        coded = pa.concat_arrays([cores, marks]).dictionary_encode()
+        names = _bytes(coded.dictionary)
+        numbers = self._numbers(names)
         if len(new := np.flatnonzero(numbers < 0)):
-            unknown = [distinct[i] for i in new.tolist()]
+            unknown = [names[i] for i in new.tolist()]
             self._learn(coded.dictionary.take(pa.array(new)), unknown)
             numbers[new] = self._numbers(unknown)
         self.uses[numbers] += 1
-        each = numbers[coded.indices.to_numpy()]
+        found = numbers[coded.indices.to_numpy()]
+        place = np.arange(len(cores) + 1)  # of a core among all, each with its marks behind it
+        place[1:] += np.cumsum(marked)
+        each = np.empty(len(found), np.int64)
+        each[place[:-1]] = found[: len(cores)]
+        each[place[1:][marked] - 1] = found[len(cores) :]
         ends = np.concatenate(([0], np.cumsum(self.length[each])))
         ids = self._ids(each)
-        borders = ends[split.offsets.to_numpy()[np.cumsum([0, *map(len, parts)])]]
         if len(self.number) > self.most:
             self._forget()
-        return [ids[i:j] for i, j in zip(borders[:-1].tolist(), borders[1:].tolist())]
+        return ids, np.diff(ends[place[split.offsets.to_numpy()]])
 
     def _forget(self) -> None:
-        kept = np.flatnonzero(self.uses > 1)
-        if 2 * len(kept) > self.most:
-            kept = kept[:0]
+        kept = np.sort(np.argsort(self.uses, kind="stable")[len(self.uses) - self.most // 2 :])
         place = dict(zip(kept.tolist(), range(len(kept))))
         self.number = {w: place[n] for w, n in self.number.items() if n in place}
         lengths = self.length[kept]
         ends = np.cumsum(lengths)
         self.pool = self.pool[np.repeat(self.start[kept] - ends + lengths, lengths) + np.arange(lengths.sum())]
-        self.start, self.length, self.uses = ends - lengths, lengths, np.zeros(len(kept), np.int64)
+        self.start, self.length, self.uses = ends - lengths, lengths, self.uses[kept] // 2
 
     def _numbers(self, words: list[bytes]) -> np.ndarray:
         """The words' numbers, -1 for unknown ones."""
@@ -212,57 +242,80 @@ class WordIds:
         self.uses = np.concatenate((self.uses, np.zeros(len(lengths), np.int64)))
         self.pool = np.concatenate((self.pool, ids.astype("<u4")))
 
-    def _learn(self, words: pa.LargeStringArray, raw: list[bytes]) -> None:
-        """Cut cores and marks off all words at once, encode the parts that are new, and put words together."""
-        special = self._special(raw)
-        cores = pc.ascii_rtrim(words, characters=self.MARKS.decode())
-        sizes, kept = (pc.binary_length(x).to_numpy().astype(np.int64) for x in (words, cores))
-        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words)]
-        data = np.frombuffer(words.buffers()[2], np.uint8)
-        cut = (kept > 0) & _ALNUM[data[offsets + np.maximum(kept, 1) - 1]] & ~special
-        cores = pc.if_else(pa.array(cut), pc.ascii_lower(cores), words)
-        behind = np.where(cut, sizes - kept, 0)
+    def _cut(self, words: pa.LargeStringArray) -> tuple[pa.LargeStringArray, pa.LargeStringArray, np.ndarray]:
+        """The core of every word, or the word itself; the marks cut off; behind which words there were some."""
+        lower = pc.ascii_lower(words)
+        cores = pc.ascii_rtrim(lower, characters=self.MARKS.decode())
+        offsets, data = _buffers(words)
+        kept = np.diff(_buffers(cores)[0])
+        cut = (kept > 0) & ~self._special(lower)
+        cut[cut] = _ALNUM[data[(offsets[:-1] + kept)[cut] - 1]]
+        cores = pc.if_else(pa.array(cut), cores, words)
+        marked = cut & (kept < np.diff(offsets))
+        behind = (np.diff(offsets) - kept)[marked]
         ends = np.cumsum(behind)
-        marks = data[np.repeat(offsets + kept - ends + behind, behind) + np.arange(ends[-1])]
-        marks = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(np.append(0, ends)), pa.py_buffer(marks))
-        parts = pa.concat_arrays([cores, marks]).dictionary_encode()
-        names = parts.dictionary.cast(pa.large_binary()).to_pylist()
-        fresh = [names[i] for i in np.flatnonzero(self._numbers(names) < 0).tolist()]
-        plain, letters, alone = [], [], []
-        for part, whole in zip(fresh, self._special(fresh).tolist(), strict=True):
-            text = part.decode()
-            (alone if whole or not text.isalpha() else plain if _PLAIN(text) else letters).append(text)
-        for texts, tokenizer in ((plain, self.plain), (letters, self.tokenizer)):
-            for i in range(0, len(texts), 4096):
-                self._add_letters(texts[i : i + 4096], tokenizer)
-        self._add_each(alone)
-        each = self._numbers(names)[parts.indices.to_numpy()]
-        made = ~pc.equal(cores, words).to_numpy(zero_copy_only=False) | (behind > 0)  # others are parts themselves
-        pairs = each.reshape(2, -1)[:, made]
-        chosen = [raw[i] for i in np.flatnonzero(made).tolist()]
-        self._add(chosen, self._ids(pairs.T.ravel()), self.length[pairs].sum(axis=0))
-
-    def _special(self, words: list[bytes]) -> np.ndarray:
-        """Which words hold a special token. Most often none does, which one look at all together tells."""
-        together = b"\n".join(words).lower()
-        if not any(t in together for t in self.special):
-            return np.zeros(len(words), bool)
-        return np.array([any(t in w.lower() for t in self.special) for w in words], bool)
-
-    def _add_letters(self, texts: list[str], tokenizer: Tokenizer) -> None:
+        marks = data[np.repeat(offsets[1:][marked] - ends, behind) + np.arange(behind.sum())]
+        ends = np.append(0, ends)
+        return cores, pa.LargeStringArray.from_buffers(len(behind), pa.py_buffer(ends), pa.py_buffer(marks)), marked
+
+    def _special(self, lower: pa.LargeStringArray) -> np.ndarray:
+        """Which words, in lower case, hold a special token. Most often none does, which one look at all together tells."""
+        held = np.zeros(len(lower), bool)
+        together = _buffers(lower)[1].tobytes()
+        for token in self.special:
+            if token in together:
+                held |= pc.match_substring(lower, token.decode()).to_numpy(zero_copy_only=False)
+        return held
+
+    def _learn(self, words: pa.LargeStringArray, raw: list[bytes]) -> None:
+        """Encode words that are new: small letters by the merges alone, other letters in one call, the rest each by itself."""
+        special = self._special(pc.ascii_lower(words))
+        small = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False) & ~special
+        plain, letters, alone = [raw[i] for i in np.flatnonzero(small).tolist()], [], []
+        for i in np.flatnonzero(~small).tolist():
+            text = raw[i].decode()
+            (letters if text.isalpha() and not special[i] else alone).append(text)
+        found = [self._plain(plain), *[self._together(letters[i : i + 4096]) for i in range(0, len(letters), 4096)], self._each(alone)]
+        ids, lengths = map(np.concatenate, zip(*found))
+        self._add(chain(plain, (t.encode() for t in chain(letters, alone))), ids, lengths)
+
+    def _plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words that are normalised and that the pattern would leave whole: by the library's merges of their bytes."""
+        spelt = b"\n".join(words).decode("latin-1")
+        for byte, letter in _LETTERS.items():
+            spelt = spelt.replace(byte, letter)
+        return _joined([[t.id for t in self.model.tokenize(w)] for w in spelt.split("\n")] if words else [])
+
+    def _together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words of letters only, in one call: the last id of each is that of a word's end."""
-        (found,) = tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)
+        (found,) = self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)
         ids = np.array(found.ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(texts):
-            self._add((t.encode() for t in texts), ids, np.diff(stops, prepend=0))
-        else:
-            self._add_each(texts)
+        return (ids, np.diff(stops, prepend=0)) if len(stops) == len(texts) else self._each(texts)
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _joined([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+
+def _joined(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and how many each list has."""
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(chain.from_iterable(found), "<u4", lengths.sum()), lengths
+
+
+def _buffers(strings: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the strings begin and the last one ends, and the bytes of all."""
+    _, offsets, data = strings.buffers()
+    if not len(strings):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    offsets = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    return offsets, np.frombuffer(data or b"", np.uint8)
+
 
-    def _add_each(self, texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.fromiter(chain.from_iterable(found), "<u4", sum(map(len, found)))
-        self._add((t.encode() for t in texts), ids, np.array(list(map(len, found)), np.int64))
+def _bytes(strings: pa.LargeStringArray) -> list[bytes]:
+    offsets, data = _buffers(strings)
+    whole = data.tobytes()
+    return [whole[i:j] for i, j in pairwise(offsets.tolist())]
 
 
 _encoders: dict[str, WordIds] = {}
@@ -290,7 +343,7 @@ def slices(text: str, most: int = 1 << 20) -> Iterator[str]:
     yield text[at:]
 
 
-def _groups(texts: Iterator[str], most: int = 1 << 23) -> Iterator[list[str]]:
+def _groups(texts: Iterable[str], most: int = 1 << 22) -> Iterator[list[str]]:
     group, size = [], 0
     for t in texts:
         group.append(t)
