@@ -18,18 +18,20 @@ def _three_ways(selector: Column, upper_case: Column, lower_case: Column, as_is:
 
 
 def order_feed(spark: SparkSession, folder: str) -> DataFrame:
-    lines = _table(spark, folder, "lineitem")
-    orders = _table(spark, folder, "orders")
+    """One row per line and arrival. Lines are shuffled twice, by part and by order; what hangs on an order is
+    joined to the orders, which are fewer, and places come last: lines carry no names of them."""
+    lines = _table(spark, folder, "lineitem").withColumn("ship_day", F.to_date("l_shipdate"))
+    orders = _table(spark, folder, "orders").withColumn("order_day", F.to_date("o_orderdate"))
     customers = _table(spark, folder, "customer")
     parts = _table(spark, folder, "part")
-    places = _table(spark, folder, "nation").join(
-        _table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
-    )
+    nations = _table(spark, folder, "nation")
+    regions = _table(spark, folder, "region")
+    bought = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     joined = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
     )
 
     order, line, who = F.col("l_orderkey"), F.col("l_linenumber"), F.col("c_custkey")
@@ -47,8 +49,8 @@ def order_feed(spark: SparkSession, folder: str) -> DataFrame:
 
     values = {
         "Order_ID": F.concat(F.lit("OR-"), order.cast("string")),
-        "Order_Date": F.date_add(F.to_date("o_orderdate"), F.col("day_shift")).cast("string"),
-        "Ship_Date": F.to_date("l_shipdate").cast("string"),
+        "Order_Date": F.date_add("order_day", F.col("day_shift")).cast("string"),
+        "Ship_Date": F.col("ship_day").cast("string"),
         "Customer_ID": F.concat(F.lit("CU-"), who.cast("string")),
         "Customer_Name": F.when((order + line) % 33 == 0, F.lit(None)).otherwise(
             F.concat(F.when(who % 5 == 0, "Zoe ").otherwise("Ann "), who.cast("string"))

@@ -1,0 +1,117 @@
+"""What builds and queries leave on the disk, and that cutting the work into shares changes no row."""
+
+import re
+import time
+
+import pytest
+from pyspark.sql import functions as F, types as T
+
+from tallyhouse.catalogue import QUERIES
+from tallyhouse.plans.warehouse import Warehouse
+from tallyhouse.sources import raw_csv, shared
+from tallyhouse.sources.raw_csv import RAW_COLUMNS, raw_schema
+from tallyhouse.sources.shared import SharedFolder, shares
+from tests.test_plans import plan
+
+
+def _raw(spark):
+    """Lines of 40 orders in three years, some twice, some without order, product or name."""
+    rows = []
+    for i in range(240):
+        line = dict.fromkeys(RAW_COLUMNS, "x") | {
+            "Order_ID": f"O{i % 40}" if i % 23 else None,
+            "Product_ID": f"P{i % 9}" if i % 31 else None,
+            "Customer_ID": f"C{i % 7}",
+            "Customer_Name": f"N{i % 2}" if i % 5 else None,
+            "Order_Date": f"{2015 + i % 3}-0{1 + i % 9}-1{i % 10}",
+            "Ship_Date": "2018-01-01",
+            "Sales": f"{i}.25", "Quantity": str(i % 4), "Discount": "0.1", "Profit": f"{i - 100}.5",
+            "Postal_Code": "10001.0", "City": f"Town {i % 3}",
+        }
+        rows.append(tuple(line[c] for c in RAW_COLUMNS))
+    return spark.createDataFrame(rows, raw_schema())
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {name for name in files.split("\n") if re.search("/shuffle_[0-9]", name)}
+
+
+def _left_by(spark, write):
+    before = _shuffle_files(spark)
+    write()
+    for _ in range(50):  # the files are removed beside the driver's next work
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    return left
+
+
+@pytest.mark.parametrize("write", [
+    lambda folder, df: folder.keep(df, "kept"),
+    lambda folder, df: folder.replace(df, "table"),
+    lambda folder, df: folder.keep_bucketed(df, "bucketed", 4, "g"),
+    lambda folder, df: folder.replace_partitioned([df.withColumn("y", F.col("g") % 3)], "folders", "y", ["g"]),
+])
+def test_shuffle_files_go_when_the_table_is_written(spark, write):
+    df = spark.range(20_000).groupBy((F.col("id") % 5_000).alias("g")).agg(F.sum("id").alias("s"))
+    folder = SharedFolder(SharedFolder.of(spark).root, lean=True)
+    before = spark.conf.get(shared._CLEANUP)
+    assert not _left_by(spark, lambda: write(folder, df))
+    assert spark.conf.get(shared._CLEANUP) == before
+
+
+def test_a_warehouse_leaves_no_shuffle_files(spark):
+    house = Warehouse(SharedFolder.of(spark).root, lambda: _raw(spark).repartition(3))
+    assert not _left_by(spark, house.build)
+
+
+def test_shares_are_all_rows_and_keep_keys_together(spark, folder, monkeypatch):
+    table = folder.keep(_raw(spark), "raw")
+    assert len(shares(table, ["Order_ID", "Product_ID"])) == 1
+    monkeypatch.setattr(shared, "SHARE_BYTES", 1)
+    parts = shares(table, ["Order_ID", "Product_ID"])
+    assert len(parts) == shared.MOST_SHARES > 1
+    found = [[tuple(r) for r in p.collect()] for p in parts]
+    assert all(found)
+    assert sorted(sum(found, []), key=str) == sorted(map(tuple, table.collect()), key=str)
+    at = [RAW_COLUMNS.index(c) for c in ("Order_ID", "Product_ID")]
+    keys = [{tuple(r[i] for i in at) for r in rows} for rows in found]
+    assert not set.intersection(*keys) and any(None in k for k in keys[0] | keys[1])
+
+
+def test_a_build_by_shares_has_the_same_tables(spark, monkeypatch):
+    tables = ("silver", "fact_sales", "dim_product", "dim_customer")
+    names = ("check_key_types", "rfm_scores", "pareto_customers", "all_checks", "agg_basic", "rank_months")
+
+    def results():
+        house = Warehouse(SharedFolder.of(spark).root, lambda: _raw(spark).repartition(3))
+        frames = {t: house[t] for t in tables} | {n: QUERIES[n](house) for n in names}
+        return {n: (sorted(map(tuple, f.collect()), key=str), f.dtypes) for n, f in frames.items()}
+
+    whole = results()
+    assert len(whole["silver"][0]) < 240 and len(whole["fact_sales"][0]) == len(whole["silver"][0])
+    monkeypatch.setattr(shared, "SHARE_BYTES", 1)
+    written = []
+    save = SharedFolder._save
+    monkeypatch.setattr(SharedFolder, "_save", lambda self, df, path, mode, *f: (written.append((path, mode)), save(self, df, path, mode, *f)))
+    assert results() == whole
+    modes = lambda table: [m for p, m in written if p.endswith(table)]
+    assert modes("/silver/sales") == modes("/gold/fact_sales") == ["overwrite", *["append"] * (shared.MOST_SHARES - 1)]
+
+
+def test_lines_are_shuffled_by_part_and_by_order_only(spark, house):
+    """Nations and regions are small enough for broadcasts; here nothing is broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan(house._source().select("*")).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = [len(re.match(r"[ :+-]*", line)[0]) for line in lines]
+    keys = []
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            below = [l for j, l in enumerate(lines) if j > i and all(d > depth[i] for d in depth[i + 1 : j + 1])]
+            if any("FileScan" in l and "l_orderkey" in l for l in below):
+                keys.append(re.search(r"hashpartitioning\((\w+)#", line)[1])
+    assert [k for k in keys if k not in ("c_nationkey", "n_regionkey")] == ["l_orderkey", "l_partkey"]
