@@ -22,9 +22,9 @@ Query = Callable[[Warehouse], DataFrame]
 
 
 def _bronze_ingest(w: Warehouse) -> DataFrame:
-    """The raw lines through a CSV file and back, all columns text."""
+    """The raw lines through a CSV file and back, all columns text. As plain text the file would be four times bronze."""
     path = w.folder.fresh("landing")
-    write_raw(w.bronze, path)
+    write_raw(w.bronze, path, "gzip")
     return read_raw(w.bronze.sparkSession, path, RAW_COLUMNS)
 
 

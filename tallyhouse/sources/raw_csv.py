@@ -13,6 +13,8 @@ RAW_COLUMNS = (
 
 #: Holds a line that does not have the header's fields.
 MALFORMED = "malformed_line"
+#: Lines in a compressed file.
+MOST_LINES = 1_000_000
 #: The file that a line comes from.
 SOURCE = "source_file"
 
@@ -51,10 +53,15 @@ def read_raw(
     return lines.select("*", F.col("_metadata.file_path").alias(SOURCE)) if keep_malformed else lines
 
 
-def write_raw(df: DataFrame, path: str) -> None:
-    """Write order lines so that ``read_raw`` returns the same values, outer blanks included."""
+def write_raw(df: DataFrame, path: str, compression: str = "none") -> None:
+    """Write order lines so that ``read_raw`` returns the same values, outer blanks included.
+
+    Compressed files cannot be split, so they hold a million lines at most: no reader gets more in one piece."""
+    writer = df.write.mode("overwrite")
+    if compression != "none":
+        writer = writer.option("compression", compression).option("maxRecordsPerFile", MOST_LINES)
     (
-        df.write.mode("overwrite")
+        writer
         .option("header", True)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)

@@ -115,3 +115,12 @@ def test_lines_are_shuffled_by_part_and_by_order_only(spark, house):
             if any("FileScan" in l and "l_orderkey" in l for l in below):
                 keys.append(re.search(r"hashpartitioning\((\w+)#", line)[1])
     assert [k for k in keys if k not in ("c_nationkey", "n_regionkey")] == ["l_orderkey", "l_partkey"]
+
+
+def test_raw_lines_land_compressed(spark, monkeypatch):
+    house = Warehouse(SharedFolder.of(spark).root, lambda: _raw(spark).coalesce(1))
+    monkeypatch.setattr(raw_csv, "MOST_LINES", 100)
+    back = QUERIES["bronze_ingest"](house)
+    files = back.inputFiles()
+    assert len(files) == 3 and all(f.endswith(".csv.gz") for f in files)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, house.bronze.collect()), key=str)
