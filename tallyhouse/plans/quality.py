@@ -202,32 +202,30 @@ _AMOUNTS = ("Sales", "Profit")
 
 
 def _tally(tables: Tables) -> DataFrame:
-    """kind, value, and the rows each table has with that value in the column ``kind``.
+    """kind, value, and the rows with that value in the column ``kind``: of its dimension, of silver and of the fact.
 
     Every table is read once. A row becomes one short row per tallied column, which are counted where
-    they are read, so a hot value reaches the shuffle as one row per task. Amounts go with the orders."""
+    they are read, so a hot value reaches the shuffle as one row per task. Amounts are kinds of their own,
+    one per table, so a task sends one row of them."""
     kinds = {t: [k] for t, k in KEYS.items()}
     kinds["silver"] = [_ORDERS, *_MEMBERS.values()]
     kinds["fact_sales"] = [_ORDERS, *KEYS.values()]
 
     def one(table: str) -> DataFrame:
-        amounts = _AMOUNTS if _ORDERS in kinds[table] else ()
-        items = F.array(
-            *[
-                F.struct(
-                    F.lit(k).alias("kind"),
-                    F.col(k).cast("string").alias("value"),
-                    *[F.when(F.lit(k == _ORDERS), F.col(a)).alias(a) for a in amounts],
-                )
-                for k in kinds[table]
-            ]
-        )
-        return tables[table].select(F.inline(items)).withColumn("table", F.lit(table))
+        def item(kind: str, value: Column, amounts: bool) -> Column:
+            sums = [F.when(F.lit(amounts), F.col(a)).alias(a) for a in _AMOUNTS if table not in KEYS]
+            return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"), *sums)
+
+        items = [item(k, F.col(k), False) for k in kinds[table]]
+        if table not in KEYS:
+            items.append(item(table, F.lit(None), True))
+        return tables[table].select(F.inline(F.array(*items))).withColumn("table", F.lit(table))
 
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(t) for t in kinds])
-    here = {t: F.col("table") == t for t in kinds}
-    sums = [F.sum(F.when(here[t], F.col(a))).alias(f"{t}_{a}") for t in ("silver", "fact_sales") for a in _AMOUNTS]
-    return rows.groupBy("kind", "value").agg(*[F.count_if(here[t]).alias(t) for t in kinds], *sums)
+    table = F.col("table")
+    here = {"dimension": table.isin(*KEYS), "silver": table == "silver", "fact_sales": table == "fact_sales"}
+    counts = [F.count_if(c).alias(n) for n, c in here.items()]
+    return rows.groupBy("kind", "value").agg(*counts, *[F.sum(a).alias(a) for a in _AMOUNTS])
 
 
 def _figures(tally: DataFrame) -> tuple[DataFrame, dict[str, tuple[str, str | None]]]:
@@ -248,25 +246,26 @@ def _figures(tally: DataFrame) -> tuple[DataFrame, dict[str, tuple[str, str | No
 
     for table, key in KEYS.items():
         kind = F.col("kind") == key
-        add(f"{table}.{key} not null", total(table, kind & ~known))
+        add(f"{table}.{key} not null", total("dimension", kind & ~known))
         add(f"fact_sales.{key} not null", total("fact_sales", kind & ~known))
-        add(f"{table}.{key} unique", F.count_if(kind & (F.col(table) > 1)))
-        add(f"fact_sales.{key} in {table}", total("fact_sales", kind & known & (F.col(table) == 0)))
+        add(f"{table}.{key} unique", F.count_if(kind & (F.col("dimension") > 1)))
+        add(f"fact_sales.{key} in {table}", total("fact_sales", kind & known & (F.col("dimension") == 0)))
     for audit, key in NULL_AUDITS.items():
         add(audit, total("fact_sales", (F.col("kind") == key) & ~known))
     orders = F.col("kind") == _ORDERS
     add("rows", total("fact_sales", orders), total("silver", orders))
     for amount in _AMOUNTS:
         silver, fact = (
-            F.round(F.sum(f"{t}_{amount}"), 2).cast("decimal(38,2)") for t in ("silver", "fact_sales")
+            F.round(F.sum(F.when(F.col("kind") == t, F.col(amount))), 2).cast("decimal(38,2)")
+            for t in ("silver", "fact_sales")
         )
         add(f"total_{amount.lower()}", fact, silver)
     add("orders", *[F.count_if(orders & known & (F.col(t) > 0)) for t in ("fact_sales", "silver")])
     for table, column in _MEMBERS.items():
         distinct = F.count_if((F.col("kind") == column) & known & (F.col("silver") > 0))
-        add(f"{table} rows", total(table, F.col("kind") == KEYS[table]), distinct)
+        add(f"{table} rows", total("dimension", F.col("kind") == KEYS[table]), distinct)
     for table, key in KEYS.items():
-        figures[table] = total(table, F.col("kind") == key)
+        figures[table] = total("dimension", F.col("kind") == key)
     return tally.agg(*[v.alias(n) for n, v in figures.items()]), checks
 
 

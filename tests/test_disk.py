@@ -124,3 +124,14 @@ def test_raw_lines_land_compressed(spark, monkeypatch):
     files = back.inputFiles()
     assert len(files) == 3 and all(f.endswith(".csv.gz") for f in files)
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, house.bronze.collect()), key=str)
+
+
+def test_tallied_rows_are_narrow(spark, house):
+    """A row of the tally holds the rows of three tables at most, and amounts are not summed by order."""
+    from tallyhouse.plans.quality import _tally
+
+    tally = _tally(house)
+    assert tally.columns == ["kind", "value", "dimension", "silver", "fact_sales", "Sales", "Profit"]
+    amounts = tally.filter("Sales IS NOT NULL OR Profit IS NOT NULL")
+    assert sorted(r["kind"] for r in amounts.collect()) == ["fact_sales", "silver"]
+    assert isinstance(tally.schema["Sales"].dataType, T.DecimalType)
