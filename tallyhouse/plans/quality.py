@@ -13,6 +13,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhouse.plans import silver as cleaning
+from tallyhouse.sources.shared import in_share, share_count
 
 if TYPE_CHECKING:
     from tallyhouse.plans.warehouse import Warehouse
@@ -199,14 +200,16 @@ def crosscheck_dimensions(tables: Tables) -> DataFrame:
 _ORDERS = "Order_ID"
 _MEMBERS = {"dim_customer": "Customer_ID", "dim_product": "Product_ID", "dim_date": "Order_Date"}
 _AMOUNTS = ("Sales", "Profit")
+# In how many shares of the values at most a large warehouse is tallied.
+TALLY_SHARES = 2
 
 
-def _tally(tables: Tables) -> DataFrame:
+def _tally(tables: Tables, share: tuple[int, int] = (0, 1)) -> DataFrame:
     """kind, value, and the rows with that value in the column ``kind``: of its dimension, of silver and of the fact.
 
     Every table is read once. A row becomes one short row per tallied column, which are counted where
     they are read, so a hot value reaches the shuffle as one row per task. Amounts are kinds of their own,
-    one per table, so a task sends one row of them."""
+    one per table, so a task sends one row of them. ``share`` (which, of how many) takes a part of the values."""
     kinds = {t: [k] for t, k in KEYS.items()}
     kinds["silver"] = [_ORDERS, *_MEMBERS.values()]
     kinds["fact_sales"] = [_ORDERS, *KEYS.values()]
@@ -222,6 +225,8 @@ def _tally(tables: Tables) -> DataFrame:
         return tables[table].select(F.inline(F.array(*items))).withColumn("table", F.lit(table))
 
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(t) for t in kinds])
+    if share[1] > 1:
+        rows = rows.filter(in_share(*share, ["kind", "value"]))
     table = F.col("table")
     here = {"dimension": table.isin(*KEYS), "silver": table == "silver", "fact_sales": table == "fact_sales"}
     counts = [F.count_if(c).alias(n) for n, c in here.items()]
@@ -269,6 +274,19 @@ def _figures(tally: DataFrame) -> tuple[DataFrame, dict[str, tuple[str, str | No
     return tally.agg(*[v.alias(n) for n, v in figures.items()]), checks
 
 
+def _all_figures(tables: Tables) -> tuple[DataFrame, dict[str, tuple[str, str | None]]]:
+    """``_figures`` of all values. Over a large warehouse they are counted in shares of the values, one after
+    the other, so that the disk never holds shuffle files of all; every figure is a sum over values."""
+    folder = getattr(tables, "folder", None)
+    n = 1 if folder is None else share_count(TALLY_SHARES, tables["silver"], tables["fact_sales"])
+    if n == 1:
+        return _figures(_tally(tables))
+    parts = [_figures(_tally(tables, (i, n))) for i in range(n)]
+    kept = _union([folder.keep(figures, "figures") for figures, _ in parts])
+    sums = [F.sum(f.name).cast(f.dataType).alias(f.name) for f in kept.schema]
+    return kept.agg(*sums), parts[0][1]
+
+
 def _judged(check: str, actual: str, expected: str | None, shown: str) -> Column:
     wanted = F.lit(0) if expected is None else F.col(expected)
     return F.struct(
@@ -281,14 +299,14 @@ def _judged(check: str, actual: str, expected: str | None, shown: str) -> Column
 
 def all_checks(tables: Tables) -> DataFrame:
     """Constraints and reconciliations, all figures from one tally of key values: each table is read
-    once, and no join is needed to find what a dimension lacks."""
-    figures, checks = _figures(_tally(tables))
+    once (a large warehouse once per share of the values), and no join is needed to find what a dimension lacks."""
+    figures, checks = _all_figures(tables)
     return figures.select(F.inline(F.array(*[_judged(c, a, e, "double") for c, (a, e) in checks.items()])))
 
 
 def quality_report(tables: Tables, expected_rows: Mapping[str, int] | None = None) -> DataFrame:
     """Every pass/fail check in one table; ``expected_rows`` per dimension are checked if given."""
-    figures, checks = _figures(_tally(tables))
+    figures, checks = _all_figures(tables)
     rows = [_judged(c, a, e, "string") for c, (a, e) in checks.items()]
 
     def row(check: str, expected: Column, actual: Column) -> Column:

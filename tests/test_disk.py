@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from tallyhouse.catalogue import QUERIES
-from tallyhouse.plans.warehouse import Warehouse
+from tallyhouse.plans.quality import TALLY_SHARES, quality_report
+from tallyhouse.plans.warehouse import FACT_SHARES, Warehouse
 from tallyhouse.sources import raw_csv, shared
 from tallyhouse.sources.raw_csv import RAW_COLUMNS, raw_schema
 from tallyhouse.sources.shared import SharedFolder, shares
@@ -71,7 +72,7 @@ def test_shares_are_all_rows_and_keep_keys_together(spark, folder, monkeypatch):
     assert len(shares(table, ["Order_ID", "Product_ID"])) == 1
     monkeypatch.setattr(shared, "SHARE_BYTES", 1)
     parts = shares(table, ["Order_ID", "Product_ID"])
-    assert len(parts) == shared.MOST_SHARES > 1
+    assert len(parts) == 2
     found = [[tuple(r) for r in p.collect()] for p in parts]
     assert all(found)
     assert sorted(sum(found, []), key=str) == sorted(map(tuple, table.collect()), key=str)
@@ -97,7 +98,9 @@ def test_a_build_by_shares_has_the_same_tables(spark, monkeypatch):
     monkeypatch.setattr(SharedFolder, "_save", lambda self, df, path, mode, *f: (written.append((path, mode)), save(self, df, path, mode, *f)))
     assert results() == whole
     modes = lambda table: [m for p, m in written if p.endswith(table)]
-    assert modes("/silver/sales") == modes("/gold/fact_sales") == ["overwrite", *["append"] * (shared.MOST_SHARES - 1)]
+    assert modes("/silver/sales") == ["overwrite", "append"]
+    assert modes("/gold/fact_sales") == ["overwrite", *["append"] * (FACT_SHARES - 1)]
+    assert len([p for p, _ in written if "/figures-" in p]) == TALLY_SHARES
 
 
 def test_lines_are_shuffled_by_part_and_by_order_only(spark, house):
@@ -135,3 +138,22 @@ def test_tallied_rows_are_narrow(spark, house):
     amounts = tally.filter("Sales IS NOT NULL OR Profit IS NOT NULL")
     assert sorted(r["kind"] for r in amounts.collect()) == ["fact_sales", "silver"]
     assert isinstance(tally.schema["Sales"].dataType, T.DecimalType)
+
+
+def test_a_tally_by_shares_finds_every_fault(spark, monkeypatch):
+    """Faults of each kind, counted whole and in shares; an empty fact as well."""
+    house = Warehouse(SharedFolder.of(spark).root, lambda: _raw(spark).repartition(3)).build()
+    fact, product = house.fact_sales, house.dim_product
+    odd = fact.withColumn("Product_Key", F.when(F.col("Product_Key") == 2, F.lit(99)).otherwise(F.col("Product_Key")))
+    odd = odd.withColumn("Sales", (F.col("Sales") + 1).cast("decimal(18,4)"))
+    for facts in (odd, fact.limit(0)):
+        tables = {"gold/fact_sales": facts, "gold/dim_product": product.union(product.limit(1))}
+        changed = {name: house.folder.keep(df, "odd") for name, df in tables.items()}
+        monkeypatch.setattr(house, "_tables", house._tables | changed)
+        asked = lambda: [(sorted(map(tuple, df.collect()), key=str), df.dtypes) for df in (QUERIES["all_checks"](house), quality_report(house, {"dim_date": 3}))]
+        whole = asked()
+        failed = {r[0] for r in whole[0][0] if not r[3]}
+        assert {"dim_product.Product_Key unique", "total_sales"} <= failed
+        with monkeypatch.context() as m:
+            m.setattr(shared, "SHARE_BYTES", 1)
+            assert asked() == whole
